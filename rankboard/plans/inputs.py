@@ -87,12 +87,12 @@ def responses_by_email(events: DataFrame) -> DataFrame:
 
 
 def responses_with_blanks(events: DataFrame) -> DataFrame:
-    eid = F.col("event_id")
-    r = responses(events).withColumn("_eid", eid)
-    blank = (F.when(F.col("_eid") % 11 == 0, F.lit(None).cast("string"))
-              .when(F.col("_eid") % 17 == 0, F.lit(""))
+    """Responses with a NULL answer where ``event_id % 11 = 0`` and ``''`` where ``% 17 = 0``."""
+    eid = F.col("response_id").cast("long")
+    blank = (F.when(eid % 11 == 0, F.lit(None).cast("string"))
+              .when(eid % 17 == 0, F.lit(""))
               .otherwise(F.col("user_answer")))
-    return r.withColumn("user_answer", blank).drop("_eid")
+    return responses(events).withColumn("user_answer", blank)
 
 
 def quiz_bank(spark: SparkSession, events: DataFrame) -> DataFrame:
