@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .. import schemas as S
 from ..functions import feedback_text, grade_points
+from ..sources.literal import literal_frame
 from .joins import broadcast_if_small
 
 
 def question_bank(spark: SparkSession, rows=None) -> DataFrame:
     """The question bank as a DataFrame (``id`` is the question's 1-based position)."""
-    return spark.createDataFrame(rows if rows is not None else K.QUESTION_BANK, S.QUESTION_BANK)
+    return literal_frame(spark, rows if rows is not None else K.QUESTION_BANK, S.QUESTION_BANK)
 
 
 def valid_submissions(responses: DataFrame) -> DataFrame:

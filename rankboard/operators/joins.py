@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       known_rows: int | None = None) -> DataFrame:
     """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
 
-    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the join is
+    ``known_rows`` is an upper bound the caller already holds (a literal table);
+    otherwise the check reads at most ``max_rows + 1`` rows.  Beyond the bound the join is
     left to the planner (sort-merge, or AQE's runtime broadcast by measured size,
     with AQE skew splitting).
     """
-    n = df.limit(max_rows + 1).count()
+    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 

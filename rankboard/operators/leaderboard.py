@@ -41,10 +41,14 @@ def board_from_totals(roster: DataFrame, totals: DataFrame, key: str = "user_id"
                       totals_key: str = "user_id", keep_key: bool = False) -> DataFrame:
     """Zero-filled left join of the roster with per-key totals.
 
-    Roster rows with a NULL key never match and skip the shuffle.
+    For a key other than the primary key ``user_id`` (e.g. ``email``), roster
+    rows with a NULL key never match and skip the shuffle.
     """
     t = totals.select(F.col(totals_key).alias("_resp_key"), "total_points", "questions_answered")
-    joined = left_join_null_safe(roster, t, key, "_resp_key")
+    if key == "user_id":
+        joined = roster.join(t, F.col(key) == F.col("_resp_key"), "left").drop("_resp_key")
+    else:
+        joined = left_join_null_safe(roster, t, key, "_resp_key")
     cols = ["user_id"] if keep_key else []
     return joined.select(
         *cols, "display_name", "email",

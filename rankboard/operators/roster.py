@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .. import schemas as S
 from ..functions import first_email
+from ..sources.literal import literal_frame
 
 
 def directory_users(pages: DataFrame) -> DataFrame:
@@ -78,13 +79,13 @@ def rejected_logins(logins: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def default_users(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(K.DEFAULT_USERS, "user_id string, email string, "
-                                 "display_name string, user_name string")
+    return literal_frame(spark, K.DEFAULT_USERS, "user_id string, email string, "
+                         "display_name string, user_name string")
 
 
 def demo_participants(spark: SparkSession) -> DataFrame:
-    return (spark.createDataFrame(K.DEMO_PARTICIPANTS, "user_id string, display_name string, "
-                                  "email string, user_name string")
+    return (literal_frame(spark, K.DEMO_PARTICIPANTS, "user_id string, display_name string, "
+                          "email string, user_name string")
                  .select(*S.ROSTER_COLUMNS, F.lit(K.STATUS_DEMO_LABEL).alias("status_label")))
 
 

@@ -21,6 +21,7 @@ from ..operators import roster as R
 from ..operators import snapshot as P
 from ..session import ensure_checkpoint_dir, shared_path
 from ..sources import directory as D
+from ..operators.joins import broadcast_if_small
 from ..sources import tables as TB
 from ..streaming import jobs as ST
 from . import inputs as I
@@ -40,9 +41,15 @@ def _roster(spark, sf):
     return I.roster(_t(spark, sf, "customer"))
 
 
-def _graded(spark, sf):
+def _quiz_key(spark):
+    """The quiz's answer key, broadcast: a literal of ``len(EVENT_QUIZ)`` rows."""
+    return broadcast_if_small(G.answer_key(I.quiz_bank(spark)), known_rows=len(I.EVENT_QUIZ))
+
+
+def _graded(spark, sf, responses=None):
     events = _t(spark, sf, "events")
-    return G.grade(G.valid_submissions(I.responses(events)), I.quiz_bank(spark, events))
+    r = responses if responses is not None else I.responses(events)
+    return G.grade(G.valid_submissions(r), None, key=_quiz_key(spark))
 
 
 def _board(spark, sf, keep_key=True):
@@ -50,7 +57,7 @@ def _board(spark, sf, keep_key=True):
 
 
 def _n_questions(spark, sf) -> int:
-    return G.max_score(I.quiz_bank(spark, _t(spark, sf, "events"))).first()["n_questions"]
+    return len(I.EVENT_QUIZ)
 
 
 def _unique(name: str) -> str:
@@ -144,11 +151,11 @@ def q_answer_feedback(spark, sf):
 
 
 def q_question_options(spark, sf):
-    return G.question_options(I.quiz_bank(spark, _t(spark, sf, "events")))
+    return G.question_options(I.quiz_bank_in_use(spark, _t(spark, sf, "events")))
 
 
 def q_max_score(spark, sf):
-    return G.max_score(I.quiz_bank(spark, _t(spark, sf, "events")))
+    return G.max_score(I.quiz_bank_in_use(spark, _t(spark, sf, "events")))
 
 
 # --- response-sum leaderboard ---------------------------------------------------------
@@ -158,8 +165,7 @@ def q_leaderboard(spark, sf):
 
 
 def q_leaderboard_by_email(spark, sf):
-    events = _t(spark, sf, "events")
-    graded = G.grade(G.valid_submissions(I.responses_by_email(events)), I.quiz_bank(spark, events))
+    graded = _graded(spark, sf, I.responses_by_email(_t(spark, sf, "events")))
     return L.leaderboard(_roster(spark, sf), graded, key="email", response_key="user_id")
 
 
@@ -270,7 +276,7 @@ def q_stream_grade(spark, sf):
     ensure_checkpoint_dir(spark)
     root = shared_path(spark, "stream_grade")
     events = _event_stream(spark, sf)
-    bank = I.quiz_bank(spark, _t(spark, sf, "events"))
+    bank = I.quiz_bank(spark)
     q = ST.start_grading(I.responses(events), bank, f"{root}/sink", f"{root}/checkpoint")
     q.awaitTermination()
     if q.exception() is not None:
@@ -282,7 +288,7 @@ def q_stream_leaderboard(spark, sf):
     ensure_checkpoint_dir(spark)
     root = shared_path(spark, "stream_leaderboard")
     events = _event_stream(spark, sf)
-    bank = I.quiz_bank(spark, _t(spark, sf, "events"))
+    bank = I.quiz_bank(spark)
     graded = ST.graded_stream(I.responses(events), bank)
     board = ST.refresh_now(graded, _roster(spark, sf), _unique("rb_totals"), _unique("rb_board"),
                            root, f"{root}/checkpoint")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import roster as R
+from ..sources.literal import literal_frame
 
 # FIXTURE VALUES: question id -> correct answer for the event-based quiz.
 EVENT_QUIZ = [(1, "view"), (2, "signup"), (3, "error"), (4, "click"), (5, "purchase")]
@@ -23,8 +24,18 @@ ABSENT_USER = "no-such-user"
 NAME_EDGES = ["", "Ann", "Ann ", " Ann", None]
 
 
+# Declared schemas of the driver's tables this package reads: no footer-inference pass.
+TABLE_SCHEMAS = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    ddl = TABLE_SCHEMAS.get(name)
+    return spark.read.schema(ddl).parquet(path) if ddl else spark.read.parquet(path)
 
 
 def _email(c_name) -> F.Column:
@@ -95,16 +106,17 @@ def responses_with_blanks(events: DataFrame) -> DataFrame:
     return responses(events).withColumn("user_answer", blank)
 
 
-def quiz_bank(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """The event quiz: one question per event type that occurs in ``events``."""
-    fixed = spark.createDataFrame(EVENT_QUIZ, "id int, correct_answer string")
+def quiz_bank(spark: SparkSession) -> DataFrame:
+    """The event quiz used for grading: question ``i`` is answered by ``EVENT_QUIZ[i]``."""
+    rows = [(i, f"Which event is answer {i}?", list(EVENT_TYPES), a) for i, a in EVENT_QUIZ]
+    return literal_frame(spark, rows, S.QUESTION_BANK)
+
+
+def quiz_bank_in_use(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The quiz restricted to event types that occur in ``events`` (what the log can answer)."""
     present = events.select(F.col("event_type").alias("correct_answer")).distinct()
-    return (fixed.join(present, "correct_answer", "left_semi")
-                 .select("id",
-                         F.concat(F.lit("Which event is answer "), F.col("id").cast("string"),
-                                  F.lit("?")).alias("question"),
-                         F.array(*[F.lit(t) for t in EVENT_TYPES]).alias("options"),
-                         "correct_answer"))
+    return quiz_bank(spark).join(present, "correct_answer", "left_semi").select(
+        *[f.name for f in S.QUESTION_BANK.fields])
 
 
 def logins(customer: DataFrame) -> DataFrame:
@@ -139,5 +151,5 @@ def increments(events: DataFrame, roster_df: DataFrame) -> DataFrame:
 
 
 def names(spark: SparkSession, part: DataFrame) -> DataFrame:
-    edges = spark.createDataFrame([(n,) for n in NAME_EDGES], "name string")
+    edges = literal_frame(spark, [(n,) for n in NAME_EDGES], "name string")
     return part.select(F.col("p_name").alias("name")).unionByName(edges)

@@ -32,6 +32,10 @@ RESPONSES = """responses AS (
   FROM events)"""
 
 BANK = """bank AS (
+  SELECT id, correct_answer
+  FROM (VALUES (1, 'view'), (2, 'signup'), (3, 'error'), (4, 'click'), (5, 'purchase')) b(id, correct_answer))"""
+
+BANK_IN_USE = """bank AS (
   SELECT id, correct_answer
   FROM (VALUES (1, 'view'), (2, 'signup'), (3, 'error'), (4, 'click'), (5, 'purchase')) b(id, correct_answer)
   WHERE correct_answer IN (SELECT event_type FROM events))"""
@@ -162,13 +166,13 @@ SELECT *,
        coalesce(user_answer = correct_answer, false) AS exact_match,
        (points_earned > 0) <> coalesce(user_answer = correct_answer, false) AS disagrees
 FROM graded""",
-    "question_options": with_(BANK) + """
+    "question_options": with_(BANK_IN_USE) + """
 SELECT id AS question_id, CAST(pos AS INTEGER) AS pos, option, option = correct_answer AS is_correct
 FROM (SELECT id, correct_answer,
              unnest(['view', 'signup', 'error', 'click', 'purchase']) AS option,
              unnest(range(1, 6)) AS pos
       FROM bank) x""",
-    "max_score": with_(BANK) + """
+    "max_score": with_(BANK_IN_USE) + """
 SELECT CAST(count(*) AS BIGINT) AS n_questions, CAST(count(*) * 10 AS BIGINT) AS max_score FROM bank""",
     "leaderboard": with_(*BASE) + """
 SELECT u.display_name, u.email,
