@@ -1,0 +1,45 @@
+from pyspark.sql import functions as F
+
+from rankboard.operators import roster as R
+from rankboard.operators import snapshot as P
+
+RSCHEMA = "user_id string, email string, display_name string, user_name string"
+
+
+def test_seed_rank_by_user_name_and_status(spark):
+    roster = spark.createDataFrame([("a", "z@x", "Zed Zulu", "zed"), ("b", "a@x", "Al Alpha", "al"),
+                                    ("c", None, "Mo", "mo")], RSCHEMA)
+    seed = {r["participant_id"]: r for r in P.participants_seed(roster).collect()}
+    assert [seed[k]["rank"] for k in ("b", "c", "a")] == [1, 2, 3]
+    assert all(r["is_active"] and r["status"] == "Active" and r["score"] == 0 for r in seed.values())
+    assert all(r["last_updated"] is not None for r in seed.values())
+
+
+def test_seed_demo_rows_keep_list_order_and_are_inactive(spark):
+    empty = R.label_status(spark.createDataFrame([], RSCHEMA))
+    seeded = P.participants_seed(R.with_defaults(empty, R.demo_participants(spark)), with_timestamp=False)
+    got = [(r["participant_id"], r["rank"], r["is_active"], r["status"]) for r in seeded.orderBy("rank").collect()]
+    assert got == [(f"demo-user-{i}", i, False, "Inactive") for i in range(1, 6)]
+
+
+def _snapshot(spark):
+    rows = [("p1", 1, "Ann Lee", "a@x", "ann", True, "Active", 0),
+            ("p2", 2, "Bob Stone", "b@x", "bob", True, "Active", 0),
+            ("p3", 3, "Cy", "a@x", "cy", True, "Active", 5),     # duplicate email
+            ("p4", 4, "Di Di", None, "di", True, "Active", 0)]
+    return spark.createDataFrame(rows, "participant_id string, rank int, display_name string, email string, "
+                                       "username string, is_active boolean, status string, score int")
+
+
+def test_apply_increments(spark):
+    inc = spark.createDataFrame([("a@x", 10), ("a@x", 10), ("b@x", 10), (None, 10), ("zz@x", 10)],
+                                "email string, points int")
+    got = {r["participant_id"]: (r["score"], r["rank"]) for r in P.apply_increments(_snapshot(spark), inc).collect()}
+    assert got == {"p1": (20, 1), "p2": (10, 2), "p3": (25, 3), "p4": (0, 4)}
+
+
+def test_view_orders_by_score_then_seed_rank(spark):
+    snap = _snapshot(spark).withColumn("score", F.when(F.col("participant_id") == "p4", 5).otherwise(F.col("score")))
+    got = [(r["position"], r["first_name"], r["last_name"], r["score"])
+           for r in P.leaderboard_view(snap).orderBy("position").collect()]
+    assert got == [(1, "Cy", "Cy", 5), (2, "Di", "Di", 5), (3, "Ann", "Lee", 0), (4, "Bob", "Stone", 0)]
