@@ -10,6 +10,7 @@ from .expressions import (  # noqa: F401
     is_complete,
     last_token,
     medal,
+    PY_WHITESPACE,
     normalize_answer,
     progress_label,
     progress_pct,

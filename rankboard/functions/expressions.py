@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 
-# Python's str.strip() removes Unicode whitespace (incl. NBSP, tabs, newlines);
-# SQL trim() removes only ' '.  (?U) makes \s Unicode-aware in Java regex.
-_EDGE_WS = r"(?U)^\s+|\s+$"
+# Python's str.strip() removes every character for which str.isspace() holds
+# (tabs, newlines, NBSP, ideographic space, ...); SQL trim() removes only ' '.
+# The set is derived from that rule, then trimmed with btrim (no regex per row).
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
 
 
 def _c(x) -> Column:
@@ -22,16 +23,19 @@ def _c(x) -> Column:
 
 def normalize_answer(x) -> Column:
     """``s.strip().lower()`` for grading."""
-    return F.lower(F.regexp_replace(_c(x), _EDGE_WS, ""))
+    return F.lower(F.btrim(_c(x), F.lit(PY_WHITESPACE)))
 
 
-def grade_points(answer, correct, points: int = K.POINTS_PER_QUESTION) -> Column:
+def grade_points(answer, correct, points: int = K.POINTS_PER_QUESTION,
+                 correct_is_normalized: bool = False) -> Column:
     """Points for one answer: ``points`` when the normalised texts agree, else 0.
 
-    A NULL answer or NULL correct answer earns 0 (the reference stores nothing
-    for those; ``valid_submissions`` removes them before grading).
+    Pass ``correct_is_normalized`` when ``correct`` was normalised once upstream
+    (the answer key), so only the answer is normalised per row.  A NULL answer or
+    NULL correct answer earns 0 (``valid_submissions`` removes those first).
     """
-    return (F.when(normalize_answer(answer) == normalize_answer(correct), F.lit(points))
+    c = _c(correct) if correct_is_normalized else normalize_answer(correct)
+    return (F.when(normalize_answer(answer) == c, F.lit(points))
             .otherwise(F.lit(0)).cast("int"))
 
 

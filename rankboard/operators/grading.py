@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .. import schemas as S
-from ..functions import feedback_text, grade_points
+from ..functions import feedback_text, grade_points, normalize_answer
 from ..sources.literal import literal_frame
 from .joins import broadcast_if_small
 
@@ -26,8 +26,9 @@ def valid_submissions(responses: DataFrame) -> DataFrame:
 
 
 def answer_key(bank: DataFrame) -> DataFrame:
-    """``question_id -> correct_answer`` from the bank."""
-    return bank.select(F.col("id").cast("int").alias("question_id"), "correct_answer")
+    """``question_id -> correct_answer`` plus its normalised form, computed once per question."""
+    return bank.select(F.col("id").cast("int").alias("question_id"), "correct_answer",
+                       normalize_answer("correct_answer").alias("_correct_norm"))
 
 
 def grade(responses: DataFrame, bank: DataFrame, points: int = K.POINTS_PER_QUESTION,
@@ -44,7 +45,9 @@ def grade(responses: DataFrame, bank: DataFrame, points: int = K.POINTS_PER_QUES
         key = broadcast_if_small(answer_key(bank))
     base = responses.drop("correct_answer", "points_earned")
     return (base.join(key, "question_id", "inner")
-                .withColumn("points_earned", grade_points("user_answer", "correct_answer", points)))
+                .withColumn("points_earned",
+                            grade_points("user_answer", "_correct_norm", points, correct_is_normalized=True))
+                .drop("_correct_norm"))
 
 
 def answer_feedback(graded: DataFrame) -> DataFrame:

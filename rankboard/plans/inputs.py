@@ -143,11 +143,15 @@ def update_batch(customer: DataFrame) -> DataFrame:
 
 
 def increments(events: DataFrame, roster_df: DataFrame) -> DataFrame:
-    """One ``(email, 10)`` increment per purchase event of a roster user."""
-    buys = events.where(F.col("event_type") == "purchase").select(
-        F.col("user_id").cast("string").alias("user_id"))
-    return buys.join(roster_df.select("user_id", "email"), "user_id").select(
-        "email", F.lit(10).alias("points"))
+    """Score increments ``(email, points)``: 10 per purchase event of a roster user.
+
+    Purchases are counted per user before the roster join, so the join sees one
+    row per buying user instead of one per event.
+    """
+    per_user = (events.where(F.col("event_type") == "purchase")
+                      .groupBy(F.col("user_id").cast("string").alias("user_id"))
+                      .agg((F.count(F.lit(1)) * 10).alias("points")))
+    return per_user.join(roster_df.select("user_id", "email"), "user_id").select("email", "points")
 
 
 def names(spark: SparkSession, part: DataFrame) -> DataFrame:
