@@ -31,7 +31,24 @@ def answer_key(bank: DataFrame) -> DataFrame:
                        normalize_answer("correct_answer").alias("_correct_norm"))
 
 
-def grade(responses: DataFrame, bank: DataFrame, points: int = K.POINTS_PER_QUESTION,
+def assign_response_ids(responses: DataFrame, col: str = "response_id") -> DataFrame:
+    """Give rows without an id a random UUID (the reference's ``uuid4``).
+
+    ``uuid()`` is non-deterministic: a recomputed task draws new ids.  Streams
+    and replayable loads should carry ids from their source instead.
+    """
+    if col not in responses.columns:
+        return responses.withColumn(col, F.expr("uuid()"))
+    return responses.withColumn(col, F.coalesce(F.col(col), F.expr("uuid()")))
+
+
+def grade_supplied(responses: DataFrame, points: int = K.POINTS_PER_QUESTION) -> DataFrame:
+    """Grade responses that already carry their ``correct_answer`` (the reference's
+    ``submit_response(user_id, question_id, user_answer, correct_answer)``)."""
+    return responses.withColumn("points_earned", grade_points("user_answer", "correct_answer", points))
+
+
+def grade(responses: DataFrame, bank: DataFrame | None, points: int = K.POINTS_PER_QUESTION,
           key: DataFrame | None = None) -> DataFrame:
     """Attach ``correct_answer`` and ``points_earned`` to each response.
 
