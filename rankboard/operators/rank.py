@@ -8,9 +8,11 @@ one task.  ``global_row_number`` instead:
    score value is spread over many partitions;
 2. tags each row with ``monotonically_increasing_id()`` (partition index in the
    upper 31 bits, position inside the sorted partition in the lower 33 bits);
-3. cuts the lineage with a reliable ``checkpoint()`` so the sampled range bounds,
-   and therefore the slices, are fixed for both passes below, even if an executor
-   is lost and partitions are recomputed;
+3. cuts the lineage by writing that frame as parquet to the shared folder
+   (``session.cut_lineage``), so the sampled range bounds, and therefore the ids,
+   are fixed for both passes below even if an executor is lost; the partition
+   and position travel inside the id, so reading the files back in any split is
+   fine;
 4. counts rows per partition (one row per partition: its size is bounded by the
    partition count, not by the data), turns the counts into prefix offsets, and
    broadcasts that tiny table back: ``rank = offset(p) + position + 1``.
@@ -27,6 +29,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
 
@@ -47,14 +51,12 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out_col: str = "ra
 
     ``order`` must be a total order (end it with a unique key); ties would
     otherwise be numbered arbitrarily, as plain ``row_number`` does.
-    The output keeps the range partitioning, so a later sort on the same order
-    is a per-partition sort only.
     """
     n = _partitions(df, num_partitions)
     tagged = (df.repartitionByRange(n, *order)
                 .sortWithinPartitions(*order)
                 .withColumn("_rk_mid", F.monotonically_increasing_id()))
-    tagged = tagged.checkpoint(eager=True)
+    tagged = cut_lineage(tagged, "rank")
     tagged = tagged.withColumn("_rk_pid", F.shiftright(F.col("_rk_mid"), _POS_BITS))
     before = Window.orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (tagged.groupBy("_rk_pid").agg(F.count(F.lit(1)).alias("_rk_n"))

@@ -71,3 +71,16 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
 
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def cut_lineage(df, label: str = "stage"):
+    """Write ``df`` as parquet under the shared folder and read it back.
+
+    Used where two passes must see identical data (e.g. after a sampled range
+    partitioning): the files are immutable, so a lost executor only re-reads
+    them, and parquet is columnar and compressed, unlike RDD checkpoint files.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "lineage", label)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
