@@ -7,6 +7,14 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# Streaming state (per-user running totals) lives in RocksDB, off the JVM heap,
+# with changelog checkpointing so each trigger uploads only what changed.
+STREAMING_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 # Settings every job relies on.  AQE re-plans joins from runtime sizes (a join
 # side is broadcast only when its *measured* size is under the threshold) and
 # splits skewed shuffle partitions.
@@ -14,9 +22,14 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # size-driven coalescing: on a cluster set shuffle.partitions high, AQE merges
+    # small partitions up to the advisory size instead of keeping them all
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    **STREAMING_CONF,
 }
 
 

@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.grading import answer_key, grade, valid_submissions
 from ..operators.joins import broadcast_if_small
 from ..operators.leaderboard import board_from_totals, score_totals
+from ..session import STREAMING_CONF
 from ..sources.tables import publish_version, table_location
 
 TOTALS_DDL = "user_id STRING, total_points BIGINT, questions_answered BIGINT"
@@ -107,6 +108,9 @@ def start_leaderboard(graded: DataFrame, roster: DataFrame, totals_table: str, b
                       root: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
     """T2: keep ``board_table`` equal to the batch ``leaderboard`` of everything seen."""
     spark = graded.sparkSession
+    for k, v in STREAMING_CONF.items():   # only where the session has not chosen already
+        if spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
     _init_tables(spark, roster, totals_table, board_table, root)
     totals = score_totals(graded, "user_id")
     w = (totals.writeStream.outputMode("update")
