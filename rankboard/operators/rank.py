@@ -39,21 +39,20 @@ _POS_MASK = (1 << _POS_BITS) - 1
 TOPK_MAX_ROWS = 100_000
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def global_row_number(df: DataFrame, order: Sequence[Column], out_col: str = "rank",
                       num_partitions: int | None = None) -> DataFrame:
     """Add ``out_col`` = 1-based position of each row in ``order``.
 
     ``order`` must be a total order (end it with a unique key); ties would
     otherwise be numbered arbitrarily, as plain ``row_number`` does.
+
+    Without ``num_partitions`` the range shuffle is sized by AQE from the data
+    (adjacent ranges are merged up to the advisory partition size, which keeps
+    every partition a contiguous slice of the order).
     """
-    n = _partitions(df, num_partitions)
-    tagged = (df.repartitionByRange(n, *order)
+    ranged = (df.repartitionByRange(num_partitions, *order) if num_partitions
+              else df.repartitionByRange(*order))
+    tagged = (ranged
                 .sortWithinPartitions(*order)
                 .withColumn("_rk_mid", F.monotonically_increasing_id()))
     tagged = cut_lineage(tagged, "rank")

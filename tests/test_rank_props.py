@@ -35,3 +35,27 @@ def test_null_keys_bypass_the_join(spark):
     right = spark.createDataFrame([("a", 10), ("z", 99)], "rk string, w int")
     got = sorted((r["v"], r["w"]) for r in left_join_null_safe(left, right, "k", "rk").collect())
     assert got == [(1, 10), (2, None), (3, None), (4, None)]
+
+
+def test_global_row_number_with_aqe_coalesced_ranges(spark):
+    keys = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize",
+            "spark.sql.shuffle.partitions"]
+    old = {k: spark.conf.get(k) for k in keys}
+    spark.conf.set(keys[0], "96k")
+    spark.conf.set(keys[1], "1k")
+    spark.conf.set(keys[2], "40")
+    try:
+        df = spark.range(60000).select((F.col("id") % 5).alias("a"), F.format_string("u%06d", "id").alias("user_id"))
+        order = [F.col("a").desc(), F.col("user_id").asc()]
+        ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        ranged.write.format("noop").mode("overwrite").save()
+        mine = global_row_number(df, order)
+        got = {r["user_id"]: r["rank"] for r in mine.collect()}
+        want = {r["user_id"]: r["rank"] for r in
+                df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).collect()}
+        assert got == want
+        n_parts = ranged.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert 1 < n_parts < 40   # sized by AQE, not by the configured count
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
