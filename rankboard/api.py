@@ -80,6 +80,15 @@ class Workshop:
     def ranked_leaderboard(self) -> DataFrame:
         return L.ranked(self.get_leaderboard(keep_key=True))
 
+    def refresh_leaderboard_table(self, table: str = K.LEADERBOARD_TABLE) -> str:
+        """Materialise the ranked board into ``table`` (created on first use), as one new version."""
+        board = self.ranked_leaderboard()
+        if not self.spark.catalog.tableExists(table):
+            loc = f" LOCATION '{self._loc(table)}'" if self.location else ""
+            cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in board.schema.fields)
+            self.spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet{loc}")
+        return TB.replace_contents(board, table)
+
 
 class Snapshot:
     """Snapshot model: seeded participants with a mutable score column."""

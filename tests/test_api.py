@@ -41,6 +41,10 @@ def test_workshop_end_to_end(spark, scratch):
     assert board == {"demo@example.com": (20, 2), "test2@example.com": (0, 1), "admin@example.com": (10, 1)}
     top = w.ranked_leaderboard().orderBy("rank").first()
     assert (top["user_id"], top["medal"]) == ("1", "🥇")
+    lb = f"rb_api_{sfx}.leaderboard"
+    w.refresh_leaderboard_table(lb)
+    w.refresh_leaderboard_table(lb)
+    assert [r["user_id"] for r in spark.table(lb).orderBy("rank").collect()] == ["1", "3", "2"]
 
 
 def test_snapshot_end_to_end(spark, scratch):
