@@ -23,17 +23,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
 
 
 def left_join_null_safe(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Left outer equi-join whose NULL-key left rows bypass the shuffle.
+    """Left outer equi-join that spreads NULL-key left rows instead of piling them up.
 
     NULL never matches, yet a shuffled join hashes every NULL key to the same
-    reducer; when many rows lack the key that reducer gets them all.  The NULL
-    rows are unioned back with NULL right-side columns instead.
+    reducer.  Here the join keys are ``(key IS NULL, coalesce(key, row hash))``
+    on the left and ``(false, key)`` on the right: a NULL-key row can never
+    match (its flag is true), and the deterministic row hash scatters those rows
+    over all partitions.  One pass, no second scan of ``left``.
     """
-    right_cols = [c for c in right.columns if c != right_key]
-    r = right.withColumnRenamed(right_key, "_jk")
-    keyed = (left.where(F.col(left_key).isNotNull())
-                 .join(r, F.col(left_key) == F.col("_jk"), "left")
-                 .drop("_jk"))
-    nulls = left.where(F.col(left_key).isNull()).select(
-        *left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right_cols])
-    return keyed.unionByName(nulls)
+    key_type = left.schema[left_key].dataType
+    lk = F.col(left_key)
+    salt = F.xxhash64(*[F.col(c) for c in left.columns]).cast(key_type)
+    l2 = left.withColumn("_jn", lk.isNull()).withColumn("_jk", F.coalesce(lk, salt))
+    r2 = (right.withColumnRenamed(right_key, "_jk_r")
+               .withColumn("_jn_r", F.lit(False)))
+    cond = (F.col("_jn") == F.col("_jn_r")) & (F.col("_jk") == F.col("_jk_r"))
+    return l2.join(r2, cond, "left").drop("_jn", "_jk", "_jn_r", "_jk_r")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import first_token, last_token
+from .joins import left_join_null_safe
 from .rank import global_row_number
 from .roster import label_status
 
@@ -46,14 +47,13 @@ def apply_increments(snapshot: DataFrame, increments: DataFrame) -> DataFrame:
     """Bulk form of ``UPDATE t SET score = score + p WHERE email = e``.
 
     Every snapshot row with that email gets the summed increments; rank and
-    last_updated are untouched.  Rows without an email cannot match and bypass
-    the join (no NULL-key hot partition).
+    last_updated are untouched.  Rows without an email cannot match and are
+    scattered rather than hashed to one reducer (``left_join_null_safe``).
     """
     deltas = score_deltas(increments)
-    keyed = snapshot.where(F.col("email").isNotNull()).join(deltas, "email", "left")
-    keyed = keyed.withColumn("score", (F.col("score") + F.coalesce(F.col("_delta"), F.lit(0))).cast("int"))
-    keyed = keyed.select(*snapshot.columns)
-    return keyed.unionByName(snapshot.where(F.col("email").isNull()))
+    joined = left_join_null_safe(snapshot, deltas, "email", "email")
+    score = (F.col("score") + F.coalesce(F.col("_delta"), F.lit(0))).cast("int")
+    return joined.withColumn("score", score).select(*snapshot.columns)
 
 
 def viewer_order():
