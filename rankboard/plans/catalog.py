@@ -19,9 +19,9 @@ from ..operators import grading as G
 from ..operators import leaderboard as L
 from ..operators import roster as R
 from ..operators import snapshot as P
+from ..operators.joins import broadcast_if_small
 from ..session import ensure_checkpoint_dir, shared_path
 from ..sources import directory as D
-from ..operators.joins import broadcast_if_small
 from ..sources import tables as TB
 from ..streaming import jobs as ST
 from . import inputs as I
@@ -47,8 +47,7 @@ def _quiz_key(spark):
 
 
 def _graded(spark, sf, responses=None):
-    events = _t(spark, sf, "events")
-    r = responses if responses is not None else I.responses(events)
+    r = responses if responses is not None else I.responses(_t(spark, sf, "events"))
     return G.grade(G.valid_submissions(r), None, key=_quiz_key(spark))
 
 
@@ -56,10 +55,6 @@ def _board(spark, sf, keep_key=True):
     return L.leaderboard(_roster(spark, sf), _graded(spark, sf), keep_key=keep_key)
 
 
-def _n_questions(spark, sf) -> int:
-    return len(I.EVENT_QUIZ)
-
-
 def _unique(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex[:10]}"
 
@@ -186,7 +181,7 @@ def q_leaderboard_page(spark, sf):
 
 
 def q_leaderboard_progress(spark, sf):
-    n = _n_questions(spark, sf)
+    n = len(I.EVENT_QUIZ)
     return L.progress(_board(spark, sf), n * K.POINTS_PER_QUESTION, n)
 
 
