@@ -93,25 +93,35 @@ class LeaderboardRefresher:
 
 
 def _init_tables(spark: SparkSession, roster: DataFrame, totals_table: str, board_table: str,
-                 root: str) -> None:
+                 root: str, zero_board: bool = True) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {totals_table} ({TOTALS_DDL}) USING parquet "
               f"LOCATION '{root}/totals/initial'")
     if not spark.catalog.tableExists(board_table):
         spark.sql(f"CREATE TABLE {board_table} ({BOARD_DDL}) USING parquet "
                   f"LOCATION '{root}/board/initial'")
-        empty = spark.table(totals_table)
-        publish_version(board_from_totals(roster, empty, keep_key=True), board_table,
-                        f"{root}/board/initial-zero")
+        if zero_board:
+            _publish_zero_board(spark, roster, totals_table, board_table, root)
+
+
+def _publish_zero_board(spark, roster, totals_table, board_table, root) -> None:
+    """Every roster row at 0/0: the board before any answer has been processed."""
+    publish_version(board_from_totals(roster, spark.table(totals_table), keep_key=True), board_table,
+                    f"{root}/board/initial-zero")
 
 
 def start_leaderboard(graded: DataFrame, roster: DataFrame, totals_table: str, board_table: str,
-                      root: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
-    """T2: keep ``board_table`` equal to the batch ``leaderboard`` of everything seen."""
+                      root: str, checkpoint: str, trigger: str | None = None,
+                      zero_board: bool = True) -> StreamingQuery:
+    """T2: keep ``board_table`` equal to the batch ``leaderboard`` of everything seen.
+
+    With ``zero_board`` an all-zero board is published before the first trigger,
+    so readers of a live board never find it empty.
+    """
     spark = graded.sparkSession
     for k, v in STREAMING_CONF.items():   # only where the session has not chosen already
         if spark.conf.get(k, None) in (None, ""):
             spark.conf.set(k, v)
-    _init_tables(spark, roster, totals_table, board_table, root)
+    _init_tables(spark, roster, totals_table, board_table, root, zero_board)
     totals = score_totals(graded, "user_id")
     w = (totals.writeStream.outputMode("update")
                .option("checkpointLocation", checkpoint)
@@ -122,11 +132,14 @@ def start_leaderboard(graded: DataFrame, roster: DataFrame, totals_table: str, b
 def refresh_now(graded: DataFrame, roster: DataFrame, totals_table: str, board_table: str,
                 root: str, checkpoint: str) -> DataFrame:
     """T3: process everything available, then return the published board."""
-    q = start_leaderboard(graded, roster, totals_table, board_table, root, checkpoint, "availableNow")
+    q = start_leaderboard(graded, roster, totals_table, board_table, root, checkpoint, "availableNow",
+                          zero_board=False)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
     spark = graded.sparkSession
+    if table_location(spark, board_table).rstrip("/").endswith("/board/initial"):
+        _publish_zero_board(spark, roster, totals_table, board_table, root)   # nothing to process
     return spark.read.parquet(table_location(spark, board_table))
 
 

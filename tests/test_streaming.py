@@ -63,3 +63,15 @@ def test_refresher_batch_retry_is_idempotent(spark, scratch):
            for r in spark.read.parquet(ST.table_location(spark, board_t)).collect()}
     assert got == {"1": (30, 3), "2": (10, 1)}
     assert spark.table(totals_t).count() == 2
+
+
+def test_refresh_with_no_input_gives_zero_board(spark, scratch):
+    ev = I.table(spark, SF, "events")
+    src = f"{scratch}/empty_src"
+    ev.where("false").write.parquet(src)
+    roster = I.roster(I.table(spark, SF, "customer"))
+    graded = ST.graded_stream(I.responses(_stream(spark, src, ev.schema)), I.quiz_bank(spark))
+    board = ST.refresh_now(graded, roster, f"t_{uuid.uuid4().hex[:8]}", f"b_{uuid.uuid4().hex[:8]}",
+                           f"{scratch}/lb", f"{scratch}/lb_ck")
+    assert board.count() == roster.count()
+    assert board.where("total_points <> 0 OR questions_answered <> 0").count() == 0
