@@ -22,20 +22,57 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     return F.broadcast(df) if n <= max_rows else df
 
 
-def left_join_null_safe(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Left outer equi-join that spreads NULL-key left rows instead of piling them up.
-
-    NULL never matches, yet a shuffled join hashes every NULL key to the same
-    reducer.  Here the join keys are ``(key IS NULL, coalesce(key, row hash))``
-    on the left and ``(false, key)`` on the right: a NULL-key row can never
-    match (its flag is true), and the deterministic row hash scatters those rows
-    over all partitions.  One pass, no second scan of ``left``.
+# A left key with at least this many rows is "hot": its rows are salted over
+# ceil(rows / HOT_KEY_ROWS) reducers.  There are at most N / HOT_KEY_ROWS hot keys,
+# which bounds the broadcast hot-key table.
+HOT_KEY_ROWS = 1_000_000
+
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """``(_hk, _hs)``: keys of ``df`` with at least ``hot_rows`` rows and their salt count.
+
+    A partial aggregation on one column; at most ``rows / hot_rows`` results.
+    """
+    return (df.where(F.col(key).isNotNull())
+              .groupBy(F.col(key).alias("_hk")).agg(F.count(F.lit(1)).alias("_hn"))
+              .where(F.col("_hn") >= hot_rows)
+              .select("_hk", F.ceil(F.col("_hn") / F.lit(hot_rows)).cast("int").alias("_hs")))
+
+
+def left_join_skew_safe(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
+                        hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Left outer equi-join that survives a hot left key and many NULL keys.
+
+    ``right`` should hold one row per key (e.g. an aggregate).  AQE cannot split
+    a skewed partition when the right side comes straight out of an aggregate,
+    so hot keys are salted explicitly:
+
+    * hot keys of ``left`` (``hot_keys``: bounded, broadcast) get
+      ``ceil(rows / hot_rows)`` salts; each left row takes ``row_hash % salts``
+      and each matching right row is replicated once per salt;
+    * NULL keys never match: their join key is the row hash and their NULL flag
+      must equal the right side's constant ``false``, so they scatter over all
+      partitions instead of piling onto one reducer.
+
+    The join keys are ``(key or row hash, salt)``; results equal a plain left join.
     """
     key_type = left.schema[left_key].dataType
     lk = F.col(left_key)
-    salt = F.xxhash64(*[F.col(c) for c in left.columns]).cast(key_type)
-    l2 = left.withColumn("_jn", lk.isNull()).withColumn("_jk", F.coalesce(lk, salt))
-    r2 = (right.withColumnRenamed(right_key, "_jk_r")
-               .withColumn("_jn_r", F.lit(False)))
-    cond = (F.col("_jn") == F.col("_jn_r")) & (F.col("_jk") == F.col("_jk_r"))
-    return l2.join(r2, cond, "left").drop("_jn", "_jk", "_jn_r", "_jk_r")
+    hot = F.broadcast(hot_keys(left, left_key, hot_rows))
+    row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
+    flagged = left.join(hot, lk == F.col("_hk"), "left")
+    salt = F.when(F.col("_hs").isNotNull(), F.pmod(row_hash, F.col("_hs").cast("long"))).otherwise(F.lit(0))
+    l2 = flagged.select(*[F.col(c) for c in left.columns],
+                        lk.isNull().alias("_jn"),
+                        F.coalesce(lk, row_hash.cast(key_type)).alias("_jk"),
+                        salt.cast("long").alias("_js"))
+    r = right.withColumnRenamed(right_key, "_jk_r")
+    reps = F.coalesce(F.col("_hs"), F.lit(1))
+    r2 = (r.join(hot, F.col("_jk_r") == F.col("_hk"), "left")
+           .select(*[F.col(c) for c in r.columns],
+                   F.explode(F.sequence(F.lit(0).cast("long"), (reps - 1).cast("long"))).alias("_js_r"),
+                   F.lit(False).alias("_jn_r")))
+    cond = ((F.col("_jn") == F.col("_jn_r")) & (F.col("_jk") == F.col("_jk_r"))
+            & (F.col("_js") == F.col("_js_r")))
+    return l2.join(r2, cond, "left").drop("_jn", "_jk", "_js", "_jn_r", "_jk_r", "_js_r")
+

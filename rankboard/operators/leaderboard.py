@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import answered_label, is_complete, medal, progress_label, progress_pct, row_class, tier
-from .joins import left_join_null_safe
+from .joins import left_join_skew_safe
 from .rank import global_row_number, rank_window, top_k
 
 
@@ -42,13 +42,13 @@ def board_from_totals(roster: DataFrame, totals: DataFrame, key: str = "user_id"
     """Zero-filled left join of the roster with per-key totals.
 
     For a key other than the primary key ``user_id`` (e.g. ``email``), roster
-    rows with a NULL key never match and skip the shuffle.
+    rows sharing a key are salted and NULL keys scattered (``left_join_skew_safe``).
     """
     t = totals.select(F.col(totals_key).alias("_resp_key"), "total_points", "questions_answered")
     if key == "user_id":
         joined = roster.join(t, F.col(key) == F.col("_resp_key"), "left").drop("_resp_key")
     else:
-        joined = left_join_null_safe(roster, t, key, "_resp_key")
+        joined = left_join_skew_safe(roster, t, key, "_resp_key")
     cols = ["user_id"] if keep_key else []
     return joined.select(
         *cols, "display_name", "email",

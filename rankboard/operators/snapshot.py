@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import first_token, last_token
-from .joins import left_join_null_safe
+from .joins import HOT_KEY_ROWS, left_join_skew_safe
 from .rank import global_row_number
 from .roster import label_status
 
@@ -43,15 +43,17 @@ def score_deltas(increments: DataFrame) -> DataFrame:
                       .groupBy("email").agg(F.sum("points").cast("long").alias("_delta")))
 
 
-def apply_increments(snapshot: DataFrame, increments: DataFrame) -> DataFrame:
+def apply_increments(snapshot: DataFrame, increments: DataFrame,
+                     hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Bulk form of ``UPDATE t SET score = score + p WHERE email = e``.
 
     Every snapshot row with that email gets the summed increments; rank and
-    last_updated are untouched.  Rows without an email cannot match and are
-    scattered rather than hashed to one reducer (``left_join_null_safe``).
+    last_updated are untouched.  Increments are summed per email first; snapshot
+    rows sharing one email (e.g. ``''``) are salted across reducers and rows
+    without an email are scattered (``joins.left_join_skew_safe``).
     """
     deltas = score_deltas(increments)
-    joined = left_join_null_safe(snapshot, deltas, "email", "email")
+    joined = left_join_skew_safe(snapshot, deltas, "email", "email", hot_rows)
     score = (F.col("score") + F.coalesce(F.col("_delta"), F.lit(0))).cast("int")
     return joined.withColumn("score", score).select(*snapshot.columns)
 

@@ -3,7 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rankboard.operators.joins import broadcast_if_small, left_join_null_safe
+from rankboard.operators.joins import broadcast_if_small, left_join_skew_safe
 from rankboard.operators.rank import global_row_number
 
 ROWS = st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2)), min_size=0, max_size=120)
@@ -33,10 +33,21 @@ def test_broadcast_if_small_falls_back_when_large(spark):
 def test_null_keys_bypass_the_join(spark):
     left = spark.createDataFrame([("a", 1), (None, 2), (None, 3), ("b", 4)], "k string, v int")
     right = spark.createDataFrame([("a", 10), ("z", 99)], "rk string, w int")
-    got = sorted((r["v"], r["w"]) for r in left_join_null_safe(left, right, "k", "rk").collect())
+    got = sorted((r["v"], r["w"]) for r in left_join_skew_safe(left, right, "k", "rk").collect())
     assert got == [(1, 10), (2, None), (3, None), (4, None)]
 
 
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(keys=st.lists(st.one_of(st.none(), st.sampled_from(["a", "b", "c", "d"])), max_size=80),
+       rkeys=st.lists(st.sampled_from(["a", "b", "c", "e"]), unique=True), hot_rows=st.integers(1, 10))
+def test_skew_safe_join_equals_left_join(spark, keys, rkeys, hot_rows):
+    left = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "v int, k string")
+    right = spark.createDataFrame([(k, ord(k)) for k in rkeys], "rk string, w int")
+    got = sorted((r["v"], r["w"]) for r in left_join_skew_safe(left, right, "k", "rk", hot_rows).collect())
+    want = sorted((r["v"], r["w"]) for r in left.join(right, left.k == right.rk, "left").collect())
+    assert got == want
+
+
 def test_global_row_number_with_aqe_coalesced_ranges(spark):
     keys = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize",
             "spark.sql.shuffle.partitions"]
