@@ -99,9 +99,13 @@ def q_roster_upsert(spark, sf):
     return spark.table(table).select(*S.ROSTER_COLUMNS)
 
 
+def _empty_roster(roster):
+    """The roster filtered to nothing by a data predicate (the scan still runs)."""
+    return roster.where(F.col("user_id").isNull())
+
+
 def q_default_rows_empty(spark, sf):
-    empty = _roster(spark, sf).where(F.lit(False))
-    return R.with_defaults(empty, R.default_users(spark))
+    return R.with_defaults(_empty_roster(_roster(spark, sf)), R.default_users(spark))
 
 
 def q_default_rows_nonempty(spark, sf):
@@ -248,7 +252,7 @@ def q_id_truncate(spark, sf):
 def q_demo_flag(spark, sf):
     roster = R.label_status(_roster(spark, sf))
     demo = R.demo_participants(spark)
-    empty = R.with_defaults(roster.where(F.lit(False)), demo)
+    empty = R.with_defaults(_empty_roster(roster), demo)
     full = R.with_defaults(roster, demo)
     return (R.contains_demo_rows(empty).select(F.lit("empty_roster").alias("input"), "is_demo")
             .unionByName(R.contains_demo_rows(full).select(F.lit("roster").alias("input"), "is_demo")))

@@ -130,12 +130,14 @@ SELECT coalesce(t.user_id, s.user_id) AS user_id,
        CASE WHEN s.user_id IS NOT NULL THEN s.display_name ELSE t.display_name END AS display_name,
        CASE WHEN s.user_id IS NOT NULL THEN s.user_name ELSE t.user_name END AS user_name
 FROM roster t FULL OUTER JOIN batch s ON t.user_id = s.user_id""",
-    "default_rows_empty": """
+    "default_rows_empty": with_(DIR, ROSTER) + """, empty AS (SELECT * FROM roster WHERE user_id IS NULL)
+SELECT * FROM empty
+UNION ALL
 SELECT * FROM (VALUES ('1', 'user1@example.com', 'User One', 'user1'),
                       ('2', 'user2@example.com', 'User Two', 'user2'),
                       ('3', 'user3@example.com', 'User Three', 'user3'))
        d(user_id, email, display_name, user_name)
-WHERE NOT EXISTS (SELECT 1 FROM customer WHERE false)""",
+WHERE NOT EXISTS (SELECT 1 FROM empty)""",
     "default_rows_nonempty": with_(DIR, ROSTER) + """
 SELECT * FROM roster
 UNION ALL
@@ -233,7 +235,7 @@ FROM names""",
 SELECT name, CASE WHEN length(name) > 15 THEN substring(name, 1, 12) || '...' ELSE name END AS short_id
 FROM (SELECT c_name AS name FROM customer UNION ALL SELECT p_name FROM part) x""",
     "demo_flag": with_(DIR, ROSTER) + """
-SELECT 'empty_roster' AS input, NOT EXISTS (SELECT 1 FROM roster WHERE false) AS is_demo
+SELECT 'empty_roster' AS input, NOT EXISTS (SELECT 1 FROM roster WHERE user_id IS NULL) AS is_demo
 UNION ALL
 SELECT 'roster', NOT EXISTS (SELECT 1 FROM roster)""",
     "submitted_clock": """
