@@ -120,26 +120,29 @@ def quiz_bank_in_use(spark: SparkSession, events: DataFrame) -> DataFrame:
 
 
 def logins(customer: DataFrame) -> DataFrame:
+    """Login attempts: every customer's email, and an unknown address for every customer."""
     k = F.col("c_custkey")
-    good = customer.where(k % 5 == 0).select(_email(F.col("c_name")).alias("email"))
-    bad = customer.where(k % 50 == 0).select(
-        F.concat(F.lit("x"), k.cast("string"), F.lit("@example.com")).alias("email"))
+    good = customer.select(_email(F.col("c_name")).alias("email"))
+    bad = customer.select(F.concat(F.lit("x"), k.cast("string"), F.lit("@example.com")).alias("email"))
     return good.unionByName(bad)
 
 
 def update_batch(customer: DataFrame) -> DataFrame:
+    """A directory sync over every customer (even keys changed their email), plus a new
+    user per customer (id ``c_custkey + 1000000``)."""
     k = F.col("c_custkey")
-    changed = customer.where(k % 2 == 0).select(
-        k.cast("string").alias("user_id"),
-        F.concat(F.lit("updated."), _email(F.col("c_name"))).alias("email"),
+    email = F.when(k % 2 == 0, F.concat(F.lit("updated."), _email(F.col("c_name")))).otherwise(
+        _email(F.col("c_name")))
+    existing = customer.select(
+        k.cast("string").alias("user_id"), email.alias("email"),
         F.replace(F.col("c_name"), F.lit("#"), F.lit(" ")).alias("display_name"),
         F.lower("c_name").alias("user_name"))
-    new = customer.where(k % 100 == 0).select(
+    new = customer.select(
         (k + 1000000).cast("string").alias("user_id"),
         F.concat(F.lit("new"), k.cast("string"), F.lit("@example.com")).alias("email"),
         F.replace(F.col("c_name"), F.lit("#"), F.lit(" ")).alias("display_name"),
         F.concat(F.lower("c_name"), F.lit("-new")).alias("user_name"))
-    return changed.unionByName(new)
+    return existing.unionByName(new)
 
 
 def increments(events: DataFrame, roster_df: DataFrame) -> DataFrame:

@@ -91,18 +91,19 @@ BOARD_BASE = BASE + (BOARD,)
 
 UPDATE_BATCH = """batch AS (
   SELECT CAST(c_custkey AS VARCHAR) AS user_id,
-         'updated.' || lower(c_name) || '@example.com' AS email,
+         CASE WHEN c_custkey % 2 = 0 THEN 'updated.' || lower(c_name) || '@example.com'
+              ELSE lower(c_name) || '@example.com' END AS email,
          replace(c_name, '#', ' ') AS display_name, lower(c_name) AS user_name
-  FROM customer WHERE c_custkey % 2 = 0
+  FROM customer
   UNION ALL
   SELECT CAST(c_custkey + 1000000 AS VARCHAR), 'new' || CAST(c_custkey AS VARCHAR) || '@example.com',
          replace(c_name, '#', ' '), lower(c_name) || '-new'
-  FROM customer WHERE c_custkey % 100 = 0)"""
+  FROM customer)"""
 
 LOGINS = """logins AS (
-  SELECT lower(c_name) || '@example.com' AS email FROM customer WHERE c_custkey % 5 = 0
+  SELECT lower(c_name) || '@example.com' AS email FROM customer
   UNION ALL
-  SELECT 'x' || CAST(c_custkey AS VARCHAR) || '@example.com' FROM customer WHERE c_custkey % 50 = 0)"""
+  SELECT 'x' || CAST(c_custkey AS VARCHAR) || '@example.com' FROM customer)"""
 
 NAMES = """names AS (
   SELECT p_name AS name FROM part
