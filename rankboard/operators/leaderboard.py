@@ -61,7 +61,8 @@ def board_order() -> list[Column]:
     return [F.col("total_points").desc(), F.col("questions_answered").desc(), F.col("user_id").asc()]
 
 
-def _podium(df: DataFrame) -> DataFrame:
+def podium(df: DataFrame) -> DataFrame:
+    """Medal, tier, row class and highlight from a ``rank`` column."""
     return (df.withColumn("medal", medal("rank"))
               .withColumn("tier", tier("rank"))
               .withColumn("row_class", row_class("rank"))
@@ -73,12 +74,12 @@ def ranked(board: DataFrame, num_partitions: int | None = None) -> DataFrame:
 
     ``board`` must carry ``user_id`` (``leaderboard(..., keep_key=True)``).
     """
-    return _podium(global_row_number(board, board_order(), "rank", num_partitions))
+    return podium(global_row_number(board, board_order(), "rank", num_partitions))
 
 
 def top(board: DataFrame, n: int = K.DISPLAY_LIMIT) -> DataFrame:
     """The first ``n`` board rows with rank and podium columns."""
-    return _podium(top_k(board, board_order(), n, "rank"))
+    return podium(top_k(board, board_order(), n, "rank"))
 
 
 def page(board: DataFrame, page_no: int, page_size: int = K.PAGE_SIZE,
@@ -87,7 +88,7 @@ def page(board: DataFrame, page_no: int, page_size: int = K.PAGE_SIZE,
     first = (page_no - 1) * page_size + 1
     last = page_no * page_size
     out = rank_window(board, board_order(), first, last, "rank", num_partitions)
-    return _podium(out).withColumn("page", F.lit(page_no))
+    return podium(out).withColumn("page", F.lit(page_no))
 
 
 def progress(board: DataFrame, max_score: int, n_questions: int) -> DataFrame:

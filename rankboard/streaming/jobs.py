@@ -5,8 +5,8 @@ T1  ``start_grading``: response stream -> guard -> broadcast stream-static join
     checkpoint make it exactly-once; response ids come from the source).
 T2  ``start_leaderboard``: running per-user totals in the state store
     (``update`` mode: only users whose totals changed are emitted), merged by
-    ``foreachBatch`` into a totals table, then joined with the static roster and
-    published as the board.  Each step writes a directory named after the batch
+    ``foreachBatch`` into a totals table, then joined with the static roster,
+    ranked (distributed global rank) and published as the board.  Each step writes a directory named after the batch
     id and publishes it last, so a retried batch is idempotent.
 T3  ``refresh_now``: T2 with ``availableNow`` (the refresh button).
 
@@ -18,17 +18,29 @@ the zero-filled board needs both.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.grading import answer_key, grade, valid_submissions
 from ..operators.joins import broadcast_if_small
 from ..operators.leaderboard import board_from_totals, score_totals
+from ..operators.leaderboard import podium
+from ..operators.leaderboard import ranked as ranked_board
 from ..session import STREAMING_CONF
 from ..sources.tables import publish_version, table_location
 
 TOTALS_DDL = "user_id STRING, total_points BIGINT, questions_answered BIGINT"
-BOARD_DDL = ("user_id STRING, display_name STRING, email STRING, "
-             "total_points BIGINT, questions_answered BIGINT")
+
+
+def _board(roster: DataFrame, totals: DataFrame, ranked: bool) -> DataFrame:
+    """The zero-filled board; ranked boards are written in rank order, so readers
+    paging with ``rank BETWEEN a AND b`` skip row groups by their statistics."""
+    board = board_from_totals(roster, totals, keep_key=True)
+    return ranked_board(board).sortWithinPartitions("rank") if ranked else board
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def stream_files(spark: SparkSession, path: str, schema, glob: str | None = None,
@@ -66,11 +78,13 @@ class LeaderboardRefresher:
     harmless; version directories are keyed by batch id and published last.
     """
 
-    def __init__(self, roster: DataFrame, totals_table: str, board_table: str, root: str):
+    def __init__(self, roster: DataFrame, totals_table: str, board_table: str, root: str,
+                 ranked: bool = True):
         self.roster = roster
         self.totals_table = totals_table
         self.board_table = board_table
         self.root = root.rstrip("/")
+        self.ranked = ranked
 
     def _version(self, kind: str, batch_id: int) -> str:
         return f"{self.root}/{kind}/v{batch_id:012d}"
@@ -88,30 +102,33 @@ class LeaderboardRefresher:
                 changed.unpersist()
         board_v = self._version("board", batch_id)
         if table_location(spark, self.board_table).rstrip("/") != board_v:
-            board = board_from_totals(self.roster, spark.table(self.totals_table), keep_key=True)
+            board = _board(self.roster, spark.table(self.totals_table), self.ranked)
             publish_version(board, self.board_table, board_v)
 
 
 def _init_tables(spark: SparkSession, roster: DataFrame, totals_table: str, board_table: str,
-                 root: str, zero_board: bool = True) -> None:
+                 root: str, zero_board: bool = True, ranked: bool = True) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {totals_table} ({TOTALS_DDL}) USING parquet "
               f"LOCATION '{root}/totals/initial'")
     if not spark.catalog.tableExists(board_table):
-        spark.sql(f"CREATE TABLE {board_table} ({BOARD_DDL}) USING parquet "
+        shape = _board(roster, spark.table(totals_table), ranked=False)
+        if ranked:   # the ranked schema, built lazily (ranking itself would run jobs)
+            shape = podium(shape.withColumn("rank", F.lit(None).cast("long")))
+        spark.sql(f"CREATE TABLE {board_table} ({_ddl(shape)}) USING parquet "
                   f"LOCATION '{root}/board/initial'")
         if zero_board:
-            _publish_zero_board(spark, roster, totals_table, board_table, root)
+            _publish_zero_board(spark, roster, totals_table, board_table, root, ranked)
 
 
-def _publish_zero_board(spark, roster, totals_table, board_table, root) -> None:
+def _publish_zero_board(spark, roster, totals_table, board_table, root, ranked=True) -> None:
     """Every roster row at 0/0: the board before any answer has been processed."""
-    publish_version(board_from_totals(roster, spark.table(totals_table), keep_key=True), board_table,
+    publish_version(_board(roster, spark.table(totals_table), ranked), board_table,
                     f"{root}/board/initial-zero")
 
 
 def start_leaderboard(graded: DataFrame, roster: DataFrame, totals_table: str, board_table: str,
                       root: str, checkpoint: str, trigger: str | None = None,
-                      zero_board: bool = True) -> StreamingQuery:
+                      zero_board: bool = True, ranked: bool = True) -> StreamingQuery:
     """T2: keep ``board_table`` equal to the batch ``leaderboard`` of everything seen.
 
     With ``zero_board`` an all-zero board is published before the first trigger,
@@ -121,25 +138,25 @@ def start_leaderboard(graded: DataFrame, roster: DataFrame, totals_table: str, b
     for k, v in STREAMING_CONF.items():   # only where the session has not chosen already
         if spark.conf.get(k, None) in (None, ""):
             spark.conf.set(k, v)
-    _init_tables(spark, roster, totals_table, board_table, root, zero_board)
+    _init_tables(spark, roster, totals_table, board_table, root, zero_board, ranked)
     totals = score_totals(graded, "user_id")
     w = (totals.writeStream.outputMode("update")
                .option("checkpointLocation", checkpoint)
-               .foreachBatch(LeaderboardRefresher(roster, totals_table, board_table, root)))
+               .foreachBatch(LeaderboardRefresher(roster, totals_table, board_table, root, ranked)))
     return _trigger(w, trigger).start()
 
 
 def refresh_now(graded: DataFrame, roster: DataFrame, totals_table: str, board_table: str,
-                root: str, checkpoint: str) -> DataFrame:
+                root: str, checkpoint: str, ranked: bool = True) -> DataFrame:
     """T3: process everything available, then return the published board."""
     q = start_leaderboard(graded, roster, totals_table, board_table, root, checkpoint, "availableNow",
-                          zero_board=False)
+                          zero_board=False, ranked=ranked)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
     spark = graded.sparkSession
     if table_location(spark, board_table).rstrip("/").endswith("/board/initial"):
-        _publish_zero_board(spark, roster, totals_table, board_table, root)   # nothing to process
+        _publish_zero_board(spark, roster, totals_table, board_table, root, ranked)   # nothing to process
     return spark.read.parquet(table_location(spark, board_table))
 
 

@@ -41,8 +41,8 @@ def test_stream_leaderboard_equals_batch_over_two_batches(spark, scratch):
     totals_t, board_t = f"t_{uuid.uuid4().hex[:8]}", f"b_{uuid.uuid4().hex[:8]}"
     board = ST.refresh_now(graded, roster, totals_t, board_t, f"{scratch}/lb", f"{scratch}/lb_ck")
     assert "v000000000001" in ST.table_location(spark, board_t)       # two micro-batches ran
-    want = L.leaderboard(roster, G.grade(G.valid_submissions(I.responses(ev)), bank), keep_key=True)
-    cols = ["user_id", "total_points", "questions_answered"]
+    want = L.ranked(L.leaderboard(roster, G.grade(G.valid_submissions(I.responses(ev)), bank), keep_key=True))
+    cols = ["user_id", "total_points", "questions_answered", "rank", "medal", "tier"]
     assert sorted(tuple(r) for r in board.select(*cols).collect()) == \
         sorted(tuple(r) for r in want.select(*cols).collect())
 
