@@ -8,6 +8,7 @@ operation), so readers see either the old or the new version, never a mix.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,20 @@ def table_location(spark: SparkSession, table: str) -> str:
     return rows[0]["data_type"]
 
 
+def _bare(path: str) -> str:
+    """A path without its URI scheme and authority: the catalog reports qualified
+    locations (``file:/x``, ``hdfs://nn/x``) for paths given as ``/x``."""
+    p = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:", "", path.rstrip("/"))
+    if p.startswith("//"):
+        p = "/" + p[2:].split("/", 1)[-1]
+    return p
+
+
+def points_at(spark: SparkSession, table: str, path: str) -> bool:
+    """Whether ``table`` is currently published at ``path``."""
+    return _bare(table_location(spark, table)) == _bare(path)
+
+
 def insert(df: DataFrame, table: str, columns: list[str] | None = None) -> None:
     """``INSERT INTO table (columns) SELECT ...``: omitted columns take their DEFAULT."""
     spark = df.sparkSession

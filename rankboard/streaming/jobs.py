@@ -6,8 +6,9 @@ T1  ``start_grading``: response stream -> guard -> broadcast stream-static join
 T2  ``start_leaderboard``: running per-user totals in the state store
     (``update`` mode: only users whose totals changed are emitted), merged by
     ``foreachBatch`` into a totals table, then joined with the static roster,
-    ranked (distributed global rank) and published as the board.  Each step writes a directory named after the batch
-    id and publishes it last, so a retried batch is idempotent.
+    ranked (distributed global rank) and published as the board.  Each step
+    writes a directory named after the batch id and publishes it last, so a
+    retried batch is idempotent.
 T3  ``refresh_now``: T2 with ``availableNow`` (the refresh button).
 
 Why foreachBatch: a static-left outer join with a streaming right side and
@@ -23,11 +24,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.grading import answer_key, grade, valid_submissions
 from ..operators.joins import broadcast_if_small
-from ..operators.leaderboard import board_from_totals, score_totals
-from ..operators.leaderboard import podium
+from ..operators.leaderboard import board_from_totals, podium, score_totals
 from ..operators.leaderboard import ranked as ranked_board
 from ..session import STREAMING_CONF
-from ..sources.tables import publish_version, table_location
+from ..sources.tables import points_at, publish_version, table_location
 
 TOTALS_DDL = "user_id STRING, total_points BIGINT, questions_answered BIGINT"
 
@@ -92,7 +92,7 @@ class LeaderboardRefresher:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         totals_v = self._version("totals", batch_id)
-        if table_location(spark, self.totals_table).rstrip("/") != totals_v:
+        if not points_at(spark, self.totals_table, totals_v):
             changed = batch.select("user_id", "total_points", "questions_answered").persist()
             try:
                 prev = spark.table(self.totals_table)
@@ -101,7 +101,7 @@ class LeaderboardRefresher:
             finally:
                 changed.unpersist()
         board_v = self._version("board", batch_id)
-        if table_location(spark, self.board_table).rstrip("/") != board_v:
+        if not points_at(spark, self.board_table, board_v):
             board = _board(self.roster, spark.table(self.totals_table), self.ranked)
             publish_version(board, self.board_table, board_v)
 
@@ -155,7 +155,7 @@ def refresh_now(graded: DataFrame, roster: DataFrame, totals_table: str, board_t
     if q.exception() is not None:
         raise q.exception()
     spark = graded.sparkSession
-    if table_location(spark, board_table).rstrip("/").endswith("/board/initial"):
+    if points_at(spark, board_table, f"{root}/board/initial"):
         _publish_zero_board(spark, roster, totals_table, board_table, root, ranked)   # nothing to process
     return spark.read.parquet(table_location(spark, board_table))
 

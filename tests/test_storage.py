@@ -54,3 +54,12 @@ def test_snapshot_full_refresh_replaces_rows(spark, scratch):
     TB.replace_contents(seed, t)
     r = spark.table(t).collect()
     assert len(r) == 1 and r[0]["score"] == 0 and r[0]["last_updated"] is not None
+
+
+def test_points_at_ignores_scheme(spark, scratch):
+    t = _name("loc")
+    TB.create_roster_table(spark, t, f"{scratch}/loc/v0")
+    assert TB.points_at(spark, t, f"{scratch}/loc/v0")
+    assert TB.points_at(spark, t, f"file:{scratch}/loc/v0/")
+    assert not TB.points_at(spark, t, f"{scratch}/loc/v1")
+    assert TB._bare("hdfs://nn:8020/a/b") == "/a/b" and TB._bare("s3a://bucket/a/b/") == "/a/b"

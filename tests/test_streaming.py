@@ -1,3 +1,4 @@
+import os
 import uuid
 
 from rankboard.operators import grading as G
@@ -48,21 +49,30 @@ def test_stream_leaderboard_equals_batch_over_two_batches(spark, scratch):
 
 
 def test_refresher_batch_retry_is_idempotent(spark, scratch):
-    roster = spark.createDataFrame([("1", "a@x", "A", "a"), ("2", "b@x", "B", "b")],
+    roster = spark.createDataFrame([("1", "a@x", "A", "a"), ("2", "b@x", "B", "b"), ("3", "c@x", "C", "c")],
                                    "user_id string, email string, display_name string, user_name string")
     totals_t, board_t = f"t_{uuid.uuid4().hex[:8]}", f"b_{uuid.uuid4().hex[:8]}"
     root = f"{scratch}/lb"
     ST._init_tables(spark, roster, totals_t, board_t, root)
     fn = ST.LeaderboardRefresher(roster, totals_t, board_t, root)
-    b0 = spark.createDataFrame([("1", 10, 1)], "user_id string, total_points long, questions_answered long")
-    b1 = spark.createDataFrame([("1", 30, 3), ("2", 10, 1)], "user_id string, total_points long, questions_answered long")
+    schema = "user_id string, total_points long, questions_answered long"
+    b0 = spark.createDataFrame([("1", 10, 1), ("3", 20, 2)], schema)
+    b1 = spark.createDataFrame([("1", 30, 3), ("2", 10, 1)], schema)   # user 3 unchanged
     fn(b0, 0)
     fn(b1, 1)
-    fn(b1, 1)   # retried batch
+    published = ST.table_location(spark, board_t)
+    files = {k: sorted(os.listdir(f"{root}/{k}/v000000000001")) for k in ("totals", "board")}
+    fn(b1, 1)   # retried batch: already published, nothing is rewritten
+    assert ST.table_location(spark, board_t) == published
+    assert files == {k: sorted(os.listdir(f"{root}/{k}/v000000000001")) for k in ("totals", "board")}
+    want = {"1": (30, 3), "2": (10, 1), "3": (20, 2)}
     got = {r["user_id"]: (r["total_points"], r["questions_answered"])
-           for r in spark.read.parquet(ST.table_location(spark, board_t)).collect()}
-    assert got == {"1": (30, 3), "2": (10, 1)}
-    assert spark.table(totals_t).count() == 2
+           for r in spark.read.parquet(published).collect()}
+    assert got == want
+    assert {r["user_id"]: (r["total_points"], r["questions_answered"])
+            for r in spark.table(totals_t).collect()} == want
+    ranks = {r["user_id"]: r["rank"] for r in spark.read.parquet(published).collect()}
+    assert ranks == {"1": 1, "3": 2, "2": 3}
 
 
 def test_refresh_with_no_input_gives_zero_board(spark, scratch):
