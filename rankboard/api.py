@@ -80,6 +80,22 @@ class Workshop:
     def ranked_leaderboard(self) -> DataFrame:
         return L.ranked(self.get_leaderboard(keep_key=True))
 
+    def live_board(self, answers: DataFrame, bank: DataFrame, root: str,
+                   board_table: str = K.LEADERBOARD_TABLE, trigger: str | None = "30 seconds"):
+        """Start the refreshing board (T2) over a stream of answers.
+
+        ``answers`` is a streaming DataFrame of ``response_id, user_id,
+        question_id, user_answer`` (ids from the source keep retries idempotent);
+        state, versions and the stream checkpoint live under ``root`` (shared
+        storage).  Returns the ``StreamingQuery``; ``trigger=None`` processes what
+        is available and stops.
+        """
+        from .streaming import jobs as ST
+        graded = ST.graded_stream(answers, bank)
+        totals_table = f"{board_table}_totals"
+        return ST.start_leaderboard(graded, self.users(), totals_table, board_table, root.rstrip("/"),
+                                    f"{root.rstrip('/')}/checkpoint", trigger)
+
     def refresh_leaderboard_table(self, table: str = K.LEADERBOARD_TABLE) -> str:
         """Materialise the ranked board into ``table`` (created on first use), as one new version."""
         board = self.ranked_leaderboard()

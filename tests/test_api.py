@@ -59,3 +59,22 @@ def test_snapshot_end_to_end(spark, scratch):
     assert got == [(1, "Bob", 20), (2, "Ann", 10)]
     s.refresh(roster.where("false"))   # empty roster -> demo participants
     assert {r["status"] for r in spark.table(s.table).collect()} == {"Inactive"}
+
+
+def test_live_board_over_a_stream(spark, scratch):
+    sfx = uuid.uuid4().hex[:8]
+    w = Workshop(spark, f"rb_live_{sfx}.eligible_users", f"rb_live_{sfx}.user_responses", location=scratch)
+    w.create_tables()
+    w.sync_users(_pages(spark, scratch, [
+        {"id": "1", "userName": "a", "displayName": "A A", "active": True, "emails": [{"value": "a@x"}]},
+        {"id": "2", "userName": "b", "displayName": "B B", "active": True, "emails": [{"value": "b@x"}]}]))
+    src = f"{scratch}/answers"
+    spark.createDataFrame([("r1", "2", 2, "parquet"), ("r2", "2", 3, "OPTIMIZE"), ("r3", "1", 1, "no")],
+                          "response_id string, user_id string, question_id int, user_answer string") \
+         .write.parquet(src)
+    stream = spark.readStream.schema("response_id string, user_id string, question_id int, user_answer string") \
+                  .parquet(src)
+    q = w.live_board(stream, G.question_bank(spark), f"{scratch}/live", f"rb_live_{sfx}.leaderboard", trigger=None)
+    q.awaitTermination()
+    board = {r["user_id"]: (r["rank"], r["total_points"]) for r in spark.table(f"rb_live_{sfx}.leaderboard").collect()}
+    assert board == {"2": (1, 20), "1": (2, 0)}
