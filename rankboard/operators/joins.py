@@ -47,7 +47,7 @@ def left_join_skew_safe(left: DataFrame, right: DataFrame, left_key: str, right_
     a skewed partition when the right side comes straight out of an aggregate,
     so hot keys are salted explicitly:
 
-    * hot keys of ``left`` (``hot_keys``: bounded, broadcast) get
+    * hot keys of ``left`` (``hot_keys``: bounded, count-checked, broadcast) get
       ``ceil(rows / hot_rows)`` salts; each left row takes ``row_hash % salts``
       and each matching right row is replicated once per salt;
     * NULL keys never match: their join key is the row hash and their NULL flag
@@ -58,7 +58,8 @@ def left_join_skew_safe(left: DataFrame, right: DataFrame, left_key: str, right_
     """
     key_type = left.schema[left_key].dataType
     lk = F.col(left_key)
-    hot = F.broadcast(hot_keys(left, left_key, hot_rows))
+    # at most rows / hot_rows keys; the count is still checked before broadcasting
+    hot = broadcast_if_small(hot_keys(left, left_key, hot_rows))
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
     flagged = left.join(hot, lk == F.col("_hk"), "left")
     salt = F.when(F.col("_hs").isNotNull(), F.pmod(row_hash, F.col("_hs").cast("long"))).otherwise(F.lit(0))
