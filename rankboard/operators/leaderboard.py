@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import answered_label, is_complete, medal, progress_label, progress_pct, row_class, tier
 from .joins import left_join_skew_safe
-from .rank import global_row_number, rank_window, top_k
+from .rank import global_row_number, global_row_number_with_cut, rank_window, top_k
 
 
 def score_totals(graded: DataFrame, key: str = "user_id") -> DataFrame:
@@ -74,7 +74,13 @@ def ranked(board: DataFrame, num_partitions: int | None = None) -> DataFrame:
 
     ``board`` must carry ``user_id`` (``leaderboard(..., keep_key=True)``).
     """
-    return podium(global_row_number(board, board_order(), "rank", num_partitions))
+    return ranked_with_cut(board, num_partitions)[0]
+
+
+def ranked_with_cut(board: DataFrame, num_partitions: int | None = None) -> tuple[DataFrame, str]:
+    """``ranked`` plus the path of the rank's lineage cut (release it after materialising)."""
+    out, cut = global_row_number_with_cut(board, board_order(), "rank", num_partitions)
+    return podium(out), cut
 
 
 def top(board: DataFrame, n: int = K.DISPLAY_LIMIT) -> DataFrame:

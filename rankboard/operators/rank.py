@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_path
 
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
@@ -41,6 +41,12 @@ TOPK_MAX_ROWS = 100_000
 
 def global_row_number(df: DataFrame, order: Sequence[Column], out_col: str = "rank",
                       num_partitions: int | None = None) -> DataFrame:
+    """See ``global_row_number_with_cut``; the lineage cut stays for the result's readers."""
+    return global_row_number_with_cut(df, order, out_col, num_partitions)[0]
+
+
+def global_row_number_with_cut(df: DataFrame, order: Sequence[Column], out_col: str = "rank",
+                               num_partitions: int | None = None) -> tuple[DataFrame, str]:
     """Add ``out_col`` = 1-based position of each row in ``order``.
 
     ``order`` must be a total order (end it with a unique key); ties would
@@ -49,22 +55,27 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out_col: str = "ra
     Without ``num_partitions`` the range shuffle is sized by AQE from the data
     (adjacent ranges are merged up to the advisory partition size, which keeps
     every partition a contiguous slice of the order).
+
+    Returns the ranked frame and the path of its lineage cut, which the caller
+    may release once the result has been materialised elsewhere.
     """
     ranged = (df.repartitionByRange(num_partitions, *order) if num_partitions
               else df.repartitionByRange(*order))
     tagged = (ranged
                 .sortWithinPartitions(*order)
                 .withColumn("_rk_mid", F.monotonically_increasing_id()))
-    tagged = cut_lineage(tagged, "rank")
+    cut = shared_path(df.sparkSession, "lineage", "rank")
+    tagged = cut_lineage(tagged, "rank", cut)
     tagged = tagged.withColumn("_rk_pid", F.shiftright(F.col("_rk_mid"), _POS_BITS))
     before = Window.orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (tagged.groupBy("_rk_pid").agg(F.count(F.lit(1)).alias("_rk_n"))
                      .withColumn("_rk_off", F.coalesce(F.sum("_rk_n").over(before), F.lit(0)))
                      .select("_rk_pid", "_rk_off"))
     pos = F.col("_rk_mid").bitwiseAND(F.lit(_POS_MASK))
-    return (tagged.join(F.broadcast(offsets), "_rk_pid")
-                  .withColumn(out_col, (F.col("_rk_off") + pos + F.lit(1)).cast("long"))
-                  .drop("_rk_pid", "_rk_mid", "_rk_off"))
+    out = (tagged.join(F.broadcast(offsets), "_rk_pid")
+                 .withColumn(out_col, (F.col("_rk_off") + pos + F.lit(1)).cast("long"))
+                 .drop("_rk_pid", "_rk_mid", "_rk_off"))
+    return out, cut
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int, out_col: str = "rank") -> DataFrame:

@@ -86,7 +86,7 @@ def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def cut_lineage(df, label: str = "stage"):
+def cut_lineage(df, label: str = "stage", path: str | None = None):
     """Write ``df`` as parquet under the shared folder and read it back.
 
     Used where two passes must see identical data (e.g. after a sampled range
@@ -94,6 +94,6 @@ def cut_lineage(df, label: str = "stage"):
     them, and parquet is columnar and compressed, unlike RDD checkpoint files.
     """
     spark = df.sparkSession
-    path = shared_path(spark, "lineage", label)
+    path = path or shared_path(spark, "lineage", label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,10 @@ Parquet tables have no MERGE/UPDATE/DELETE, and Spark refuses to overwrite a
 table that the same plan reads.  Rewrites therefore write a fresh directory
 and then repoint the table at it (``ALTER TABLE ... SET LOCATION``, one catalog
 operation), so readers see either the old or the new version, never a mix.
+
+Retention: the table keeps its previous version (recorded in a table
+property) for readers still in flight; the version before that is released
+when a newer one is published, so storage does not grow with every rewrite.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas as S
 
@@ -68,18 +73,38 @@ def insert(df: DataFrame, table: str, columns: list[str] | None = None) -> None:
         spark.catalog.dropTempView(view)
 
 
-def publish_version(df: DataFrame, table: str, version_path: str) -> str:
+PREVIOUS_PROPERTY = "rankboard.previous_location"
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Free the storage of a superseded directory: overwrite it with an empty write."""
+    spark.range(0).write.mode("overwrite").parquet(path)
+
+
+def table_property(spark: SparkSession, table: str, key: str) -> str | None:
+    rows = spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == key).collect()
+    return rows[0]["value"] if rows else None
+
+
+def publish_version(df: DataFrame, table: str, version_path: str, release_older: bool = True) -> str:
     """Write ``df`` to ``version_path`` and repoint ``table`` there.
 
     ``df`` may read ``table`` itself (upsert, increment): its files are not
     touched.  Publishing is the last step, so a failed write leaves the table
-    on its previous version.
+    on its previous version.  The version being replaced is remembered as the
+    previous one; with ``release_older`` the one before it is released.
     """
     spark = df.sparkSession
+    old = table_location(spark, table)
     target_cols = spark.table(table).columns
     df.select(*target_cols).write.mode("overwrite").parquet(version_path)
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{version_path}'")
     spark.sql(f"REFRESH TABLE {table}")
+    if _bare(old) != _bare(version_path):
+        older = table_property(spark, table, PREVIOUS_PROPERTY)
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{PREVIOUS_PROPERTY}' = '{old}')")
+        if release_older and older and _bare(older) not in (_bare(old), _bare(version_path)):
+            release(spark, older)
     return version_path
 
 

@@ -25,18 +25,31 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.grading import answer_key, grade, valid_submissions
 from ..operators.joins import broadcast_if_small
 from ..operators.leaderboard import board_from_totals, podium, score_totals
-from ..operators.leaderboard import ranked as ranked_board
+from ..operators.leaderboard import ranked_with_cut
 from ..session import STREAMING_CONF
-from ..sources.tables import points_at, publish_version, table_location
+from ..sources.tables import points_at, publish_version, release, table_location
 
 TOTALS_DDL = "user_id STRING, total_points BIGINT, questions_answered BIGINT"
 
 
-def _board(roster: DataFrame, totals: DataFrame, ranked: bool) -> DataFrame:
-    """The zero-filled board; ranked boards are written in rank order, so readers
-    paging with ``rank BETWEEN a AND b`` skip row groups by their statistics."""
+def _board(roster: DataFrame, totals: DataFrame, ranked: bool) -> tuple[DataFrame, str | None]:
+    """The zero-filled board (and the rank's lineage cut, if ranked).
+
+    Ranked boards are written in rank order, so readers paging with
+    ``rank BETWEEN a AND b`` skip row groups by their statistics.
+    """
     board = board_from_totals(roster, totals, keep_key=True)
-    return ranked_board(board).sortWithinPartitions("rank") if ranked else board
+    if not ranked:
+        return board, None
+    out, cut = ranked_with_cut(board)
+    return out.sortWithinPartitions("rank"), cut
+
+
+def _publish_board(spark, roster, totals_table, board_table, path, ranked) -> None:
+    board, cut = _board(roster, spark.table(totals_table), ranked)
+    publish_version(board, board_table, path)
+    if cut:
+        release(spark, cut)   # the board version now holds the ranks
 
 
 def _ddl(df: DataFrame) -> str:
@@ -102,8 +115,7 @@ class LeaderboardRefresher:
                 changed.unpersist()
         board_v = self._version("board", batch_id)
         if not points_at(spark, self.board_table, board_v):
-            board = _board(self.roster, spark.table(self.totals_table), self.ranked)
-            publish_version(board, self.board_table, board_v)
+            _publish_board(spark, self.roster, self.totals_table, self.board_table, board_v, self.ranked)
 
 
 def _init_tables(spark: SparkSession, roster: DataFrame, totals_table: str, board_table: str,
@@ -111,7 +123,7 @@ def _init_tables(spark: SparkSession, roster: DataFrame, totals_table: str, boar
     spark.sql(f"CREATE TABLE IF NOT EXISTS {totals_table} ({TOTALS_DDL}) USING parquet "
               f"LOCATION '{root}/totals/initial'")
     if not spark.catalog.tableExists(board_table):
-        shape = _board(roster, spark.table(totals_table), ranked=False)
+        shape = _board(roster, spark.table(totals_table), ranked=False)[0]
         if ranked:   # the ranked schema, built lazily (ranking itself would run jobs)
             shape = podium(shape.withColumn("rank", F.lit(None).cast("long")))
         spark.sql(f"CREATE TABLE {board_table} ({_ddl(shape)}) USING parquet "
@@ -122,8 +134,7 @@ def _init_tables(spark: SparkSession, roster: DataFrame, totals_table: str, boar
 
 def _publish_zero_board(spark, roster, totals_table, board_table, root, ranked=True) -> None:
     """Every roster row at 0/0: the board before any answer has been processed."""
-    publish_version(_board(roster, spark.table(totals_table), ranked), board_table,
-                    f"{root}/board/initial-zero")
+    _publish_board(spark, roster, totals_table, board_table, f"{root}/board/initial-zero", ranked)
 
 
 def start_leaderboard(graded: DataFrame, roster: DataFrame, totals_table: str, board_table: str,

@@ -63,3 +63,17 @@ def test_points_at_ignores_scheme(spark, scratch):
     assert TB.points_at(spark, t, f"file:{scratch}/loc/v0/")
     assert not TB.points_at(spark, t, f"{scratch}/loc/v1")
     assert TB._bare("hdfs://nn:8020/a/b") == "/a/b" and TB._bare("s3a://bucket/a/b/") == "/a/b"
+
+
+def test_retention_keeps_one_previous_version(spark, scratch):
+    t = _name("ret")
+    TB.create_roster_table(spark, t, f"{scratch}/ret/v0")
+    cols = "user_id string, email string, display_name string, user_name string"
+    for i in (1, 2, 3):
+        df = spark.createDataFrame([(str(i), f"{i}@x", "N", "n")], cols).withColumn("created_at", F.current_timestamp())
+        TB.publish_version(df, t, f"{scratch}/ret/v{i}")
+    assert TB.points_at(spark, t, f"{scratch}/ret/v3")
+    assert TB._bare(TB.table_property(spark, t, TB.PREVIOUS_PROPERTY)) == f"{scratch}/ret/v2"
+    assert spark.read.parquet(f"{scratch}/ret/v2").count() == 1      # previous: kept for readers
+    assert spark.read.parquet(f"{scratch}/ret/v1").count() == 0      # older: released
+    assert [r["user_id"] for r in spark.table(t).collect()] == ["3"]

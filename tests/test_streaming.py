@@ -85,3 +85,19 @@ def test_refresh_with_no_input_gives_zero_board(spark, scratch):
                            f"{scratch}/lb", f"{scratch}/lb_ck")
     assert board.count() == roster.count()
     assert board.where("total_points <> 0 OR questions_answered <> 0").count() == 0
+
+
+def test_refresher_releases_superseded_board_versions(spark, scratch):
+    roster = spark.createDataFrame([("1", "a@x", "A", "a"), ("2", "b@x", "B", "b")],
+                                   "user_id string, email string, display_name string, user_name string")
+    totals_t, board_t = f"t_{uuid.uuid4().hex[:8]}", f"b_{uuid.uuid4().hex[:8]}"
+    root = f"{scratch}/lb"
+    ST._init_tables(spark, roster, totals_t, board_t, root)
+    fn = ST.LeaderboardRefresher(roster, totals_t, board_t, root)
+    schema = "user_id string, total_points long, questions_answered long"
+    for i in range(3):
+        fn(spark.createDataFrame([("1", 10 * (i + 1), i + 1)], schema), i)
+    assert spark.read.parquet(f"{root}/board/v000000000002").count() == 2
+    assert spark.read.parquet(f"{root}/board/v000000000001").count() == 2   # previous version kept
+    assert spark.read.parquet(f"{root}/board/v000000000000").count() == 0   # older version released
+    assert spark.read.parquet(f"{root}/totals/v000000000000").count() == 0
