@@ -93,7 +93,8 @@ class Workshop:
         from .streaming import jobs as ST
         graded = ST.graded_stream(answers, bank)
         totals_table = f"{board_table}_totals"
-        return ST.start_leaderboard(graded, self.users(), totals_table, board_table, root.rstrip("/"),
+        # the roster goes in by name: each micro-batch reads its current version
+        return ST.start_leaderboard(graded, self.users_table, totals_table, board_table, root.rstrip("/"),
                                     f"{root.rstrip('/')}/checkpoint", trigger)
 
     def refresh_leaderboard_table(self, table: str = K.LEADERBOARD_TABLE) -> str:

@@ -5,9 +5,12 @@ table that the same plan reads.  Rewrites therefore write a fresh directory
 and then repoint the table at it (``ALTER TABLE ... SET LOCATION``, one catalog
 operation), so readers see either the old or the new version, never a mix.
 
-Retention: the table keeps its previous version (recorded in a table
-property) for readers still in flight; the version before that is released
-when a newer one is published, so storage does not grow with every rewrite.
+Retention: every publish records the replaced location in a table property.
+With ``release_older`` (used for tables that are rewritten on every streaming
+trigger and always read by name), the version before that is released, so
+storage stays at about two versions.  A DataFrame obtained from such a table
+must not be held across two publishes; tables users may hold DataFrames on
+(roster, snapshot, responses) keep their old versions by default.
 """
 
 from __future__ import annotations
@@ -86,13 +89,14 @@ def table_property(spark: SparkSession, table: str, key: str) -> str | None:
     return rows[0]["value"] if rows else None
 
 
-def publish_version(df: DataFrame, table: str, version_path: str, release_older: bool = True) -> str:
+def publish_version(df: DataFrame, table: str, version_path: str, release_older: bool = False) -> str:
     """Write ``df`` to ``version_path`` and repoint ``table`` there.
 
     ``df`` may read ``table`` itself (upsert, increment): its files are not
     touched.  Publishing is the last step, so a failed write leaves the table
     on its previous version.  The version being replaced is remembered as the
-    previous one; with ``release_older`` the one before it is released.
+    previous one; with ``release_older`` the one before it is released (only
+    for tables whose readers re-resolve the table by name on every read).
     """
     spark = df.sparkSession
     old = table_location(spark, table)
@@ -114,6 +118,6 @@ def new_version_path(spark: SparkSession, table: str) -> str:
     return f"{parent}/{table.replace('.', '_')}-v{uuid.uuid4().hex[:12]}"
 
 
-def replace_contents(df: DataFrame, table: str) -> str:
+def replace_contents(df: DataFrame, table: str, release_older: bool = False) -> str:
     """Full refresh (the reference's DELETE + batched INSERT) as one new version."""
-    return publish_version(df, table, new_version_path(df.sparkSession, table))
+    return publish_version(df, table, new_version_path(df.sparkSession, table), release_older)

@@ -45,9 +45,14 @@ def _board(roster: DataFrame, totals: DataFrame, ranked: bool) -> tuple[DataFram
     return out.sortWithinPartitions("rank"), cut
 
 
+def _roster(spark: SparkSession, roster: DataFrame | str) -> DataFrame:
+    """A roster given by table name is resolved afresh (its current version) on each use."""
+    return spark.table(roster) if isinstance(roster, str) else roster
+
+
 def _publish_board(spark, roster, totals_table, board_table, path, ranked) -> None:
-    board, cut = _board(roster, spark.table(totals_table), ranked)
-    publish_version(board, board_table, path)
+    board, cut = _board(_roster(spark, roster), spark.table(totals_table), ranked)
+    publish_version(board, board_table, path, release_older=True)
     if cut:
         release(spark, cut)   # the board version now holds the ranks
 
@@ -89,9 +94,11 @@ class LeaderboardRefresher:
     ``batch`` holds the *current* running totals of users that changed in this
     micro-batch (absolute values, not deltas), so re-applying a batch is
     harmless; version directories are keyed by batch id and published last.
+    ``roster`` may be a table name: it is then re-read on every micro-batch, so
+    roster syncs show up on the board and no stale roster version is held.
     """
 
-    def __init__(self, roster: DataFrame, totals_table: str, board_table: str, root: str,
+    def __init__(self, roster: DataFrame | str, totals_table: str, board_table: str, root: str,
                  ranked: bool = True):
         self.roster = roster
         self.totals_table = totals_table
@@ -110,7 +117,7 @@ class LeaderboardRefresher:
             try:
                 prev = spark.table(self.totals_table)
                 merged = prev.join(changed.select("user_id"), "user_id", "left_anti").unionByName(changed)
-                publish_version(merged, self.totals_table, totals_v)
+                publish_version(merged, self.totals_table, totals_v, release_older=True)
             finally:
                 changed.unpersist()
         board_v = self._version("board", batch_id)
@@ -118,12 +125,12 @@ class LeaderboardRefresher:
             _publish_board(spark, self.roster, self.totals_table, self.board_table, board_v, self.ranked)
 
 
-def _init_tables(spark: SparkSession, roster: DataFrame, totals_table: str, board_table: str,
+def _init_tables(spark: SparkSession, roster: DataFrame | str, totals_table: str, board_table: str,
                  root: str, zero_board: bool = True, ranked: bool = True) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {totals_table} ({TOTALS_DDL}) USING parquet "
               f"LOCATION '{root}/totals/initial'")
     if not spark.catalog.tableExists(board_table):
-        shape = _board(roster, spark.table(totals_table), ranked=False)[0]
+        shape = _board(_roster(spark, roster), spark.table(totals_table), ranked=False)[0]
         if ranked:   # the ranked schema, built lazily (ranking itself would run jobs)
             shape = podium(shape.withColumn("rank", F.lit(None).cast("long")))
         spark.sql(f"CREATE TABLE {board_table} ({_ddl(shape)}) USING parquet "
@@ -137,13 +144,15 @@ def _publish_zero_board(spark, roster, totals_table, board_table, root, ranked=T
     _publish_board(spark, roster, totals_table, board_table, f"{root}/board/initial-zero", ranked)
 
 
-def start_leaderboard(graded: DataFrame, roster: DataFrame, totals_table: str, board_table: str,
+def start_leaderboard(graded: DataFrame, roster: DataFrame | str, totals_table: str, board_table: str,
                       root: str, checkpoint: str, trigger: str | None = None,
                       zero_board: bool = True, ranked: bool = True) -> StreamingQuery:
     """T2: keep ``board_table`` equal to the batch ``leaderboard`` of everything seen.
 
     With ``zero_board`` an all-zero board is published before the first trigger,
-    so readers of a live board never find it empty.
+    so readers of a live board never find it empty.  Pass the roster as a table
+    name for long-running streams (see ``LeaderboardRefresher``).  The totals and
+    board tables keep one previous version; read them by name on every refresh.
     """
     spark = graded.sparkSession
     for k, v in STREAMING_CONF.items():   # only where the session has not chosen already
@@ -157,7 +166,7 @@ def start_leaderboard(graded: DataFrame, roster: DataFrame, totals_table: str, b
     return _trigger(w, trigger).start()
 
 
-def refresh_now(graded: DataFrame, roster: DataFrame, totals_table: str, board_table: str,
+def refresh_now(graded: DataFrame, roster: DataFrame | str, totals_table: str, board_table: str,
                 root: str, checkpoint: str, ranked: bool = True) -> DataFrame:
     """T3: process everything available, then return the published board."""
     q = start_leaderboard(graded, roster, totals_table, board_table, root, checkpoint, "availableNow",

@@ -101,3 +101,24 @@ def test_refresher_releases_superseded_board_versions(spark, scratch):
     assert spark.read.parquet(f"{root}/board/v000000000001").count() == 2   # previous version kept
     assert spark.read.parquet(f"{root}/board/v000000000000").count() == 0   # older version released
     assert spark.read.parquet(f"{root}/totals/v000000000000").count() == 0
+
+
+def test_refresher_reads_roster_by_name_across_syncs(spark, scratch):
+    from rankboard.operators import roster as R
+    from rankboard.sources import tables as TB
+    roster_t = f"r_{uuid.uuid4().hex[:8]}"
+    TB.create_roster_table(spark, roster_t, f"{scratch}/roster/v0")
+    cols = "user_id string, email string, display_name string, user_name string"
+    TB.insert(spark.createDataFrame([("1", "a@x", "A", "a")], cols), roster_t)
+    totals_t, board_t = f"t_{uuid.uuid4().hex[:8]}", f"b_{uuid.uuid4().hex[:8]}"
+    root = f"{scratch}/lb"
+    ST._init_tables(spark, roster_t, totals_t, board_t, root)
+    fn = ST.LeaderboardRefresher(roster_t, totals_t, board_t, root)
+    schema = "user_id string, total_points long, questions_answered long"
+    fn(spark.createDataFrame([("1", 10, 1)], schema), 0)
+    for i in (2, 3):   # two syncs, each adding a user
+        TB.replace_contents(R.upsert(spark.table(roster_t), spark.createDataFrame([(str(i), f"{i}@x", "N", "n")], cols)),
+                            roster_t)
+    fn(spark.createDataFrame([("2", 20, 2)], schema), 1)
+    got = {r["user_id"]: (r["total_points"], r["rank"]) for r in spark.table(board_t).collect()}
+    assert got == {"2": (20, 1), "1": (10, 2), "3": (0, 3)}
