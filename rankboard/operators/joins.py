@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # A side is broadcast explicitly only after counting at most this many rows.
 BROADCAST_MAX_ROWS = 1_000_000
 
@@ -45,35 +47,29 @@ def left_join_skew_safe(left: DataFrame, right: DataFrame, left_key: str, right_
 
     ``right`` should hold one row per key (e.g. an aggregate).  AQE cannot split
     a skewed partition when the right side comes straight out of an aggregate,
-    so hot keys are salted explicitly:
+    so hot keys are salted explicitly.  The join keys are ``(key, salt)``:
 
-    * hot keys of ``left`` (``hot_keys``: bounded, count-checked, broadcast) get
-      ``ceil(rows / hot_rows)`` salts; each left row takes ``row_hash % salts``
-      and each matching right row is replicated once per salt;
-    * NULL keys never match: their join key is the row hash and their NULL flag
-      must equal the right side's constant ``false``, so they scatter over all
-      partitions instead of piling onto one reducer.
+    * hot keys of ``left`` (``hot_keys``: bounded, materialised once,
+      count-checked, broadcast) get ``ceil(rows / hot_rows)`` salts; each left
+      row takes ``row_hash % salts`` and each matching right row is replicated
+      once per salt;
+    * a NULL key never matches, so its rows take the whole row hash as salt:
+      they scatter over all partitions instead of piling onto one reducer.
 
-    The join keys are ``(key or row hash, salt)``; results equal a plain left join.
+    Results equal a plain left join.
     """
-    key_type = left.schema[left_key].dataType
     lk = F.col(left_key)
-    # at most rows / hot_rows keys; the count is still checked before broadcasting
-    hot = broadcast_if_small(hot_keys(left, left_key, hot_rows))
+    hot = broadcast_if_small(cut_lineage(hot_keys(left, left_key, hot_rows), "hot-keys"))
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
     flagged = left.join(hot, lk == F.col("_hk"), "left")
-    salt = F.when(F.col("_hs").isNotNull(), F.pmod(row_hash, F.col("_hs").cast("long"))).otherwise(F.lit(0))
-    l2 = flagged.select(*[F.col(c) for c in left.columns],
-                        lk.isNull().alias("_jn"),
-                        F.coalesce(lk, row_hash.cast(key_type)).alias("_jk"),
-                        salt.cast("long").alias("_js"))
+    salt = (F.when(lk.isNull(), row_hash)
+             .when(F.col("_hs").isNotNull(), F.pmod(row_hash, F.col("_hs").cast("long")))
+             .otherwise(F.lit(0).cast("long")))
+    l2 = flagged.select(*[F.col(c) for c in left.columns], lk.alias("_jk"), salt.alias("_js"))
     r = right.withColumnRenamed(right_key, "_jk_r")
     reps = F.coalesce(F.col("_hs"), F.lit(1))
     r2 = (r.join(hot, F.col("_jk_r") == F.col("_hk"), "left")
            .select(*[F.col(c) for c in r.columns],
-                   F.explode(F.sequence(F.lit(0).cast("long"), (reps - 1).cast("long"))).alias("_js_r"),
-                   F.lit(False).alias("_jn_r")))
-    cond = ((F.col("_jn") == F.col("_jn_r")) & (F.col("_jk") == F.col("_jk_r"))
-            & (F.col("_js") == F.col("_js_r")))
-    return l2.join(r2, cond, "left").drop("_jn", "_jk", "_js", "_jn_r", "_jk_r", "_js_r")
-
+                   F.explode(F.sequence(F.lit(0).cast("long"), (reps - 1).cast("long"))).alias("_js_r")))
+    cond = (F.col("_jk") == F.col("_jk_r")) & (F.col("_js") == F.col("_js_r"))
+    return l2.join(r2, cond, "left").drop("_jk", "_js", "_jk_r", "_js_r")

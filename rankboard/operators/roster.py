@@ -34,16 +34,20 @@ def flatten_users(users: DataFrame, missing_active: bool = False,
                          F.col("userName").alias("user_name")))
 
 
-def dedupe_by_key(df: DataFrame, key: str = "user_id") -> DataFrame:
-    """One row per ``key`` (the table's primary key), keeping the greatest row.
+def dedupe_by_key(df: DataFrame, key: str = "user_id", order_col: str | None = None) -> DataFrame:
+    """One row per ``key`` (the table's primary key).
 
-    ``max(struct)`` is a partial-aggregation function, so even a key that holds
-    a large share of the rows is combined map-side before the shuffle.
+    With ``order_col`` the row with the greatest ``order_col`` wins (the last one
+    in source order, as sequential per-row MERGEs would leave it); without it the
+    greatest row wins, deterministically.  ``max``/``max_by`` aggregate partially,
+    so a key holding a large share of the rows is combined map-side first.
     """
-    rest = [c for c in df.columns if c != key]
+    rest = [c for c in df.columns if c not in (key, order_col)]
     if not rest:
         return df.select(key).distinct()
-    return (df.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row"))
+    row = F.struct(*rest)
+    pick = F.max_by(row, F.col(order_col)) if order_col else F.max(row)
+    return (df.groupBy(key).agg(pick.alias("_row"))
               .select(key, *[F.col("_row")[c].alias(c) for c in rest]))
 
 
@@ -115,16 +119,18 @@ def contains_demo_rows(df: DataFrame) -> DataFrame:
 
 def upsert(target: DataFrame, source: DataFrame, key: str = "user_id",
            update_cols=("email", "display_name", "user_name"),
-           created_col: str = "created_at") -> DataFrame:
+           created_col: str = "created_at", order_col: str | None = None) -> DataFrame:
     """Set-based MERGE: matched keys take the source's ``update_cols``; new keys are
     inserted with ``created_col`` = now; target rows absent from the source stay.
 
     The source is reduced to one row per key first (a MERGE with two source rows
-    for one target row is ambiguous); that aggregation is hash-partitioned on the
-    key, which the full outer join reuses.
+    for one target row is ambiguous): the last by ``order_col`` when given (the
+    reference merges row by row, so its last row wins), else the greatest.  That
+    aggregation is hash-partitioned on the key, which the full outer join reuses.
     """
     cols = [key, *update_cols]
-    src = dedupe_by_key(source.select(*cols), key).withColumn("_in_src", F.lit(True))
+    src_cols = cols + ([order_col] if order_col else [])
+    src = dedupe_by_key(source.select(*src_cols), key, order_col).withColumn("_in_src", F.lit(True))
     tgt = target.withColumn("_in_tgt", F.lit(True))
     s = src.alias("s")
     t = tgt.alias("t")

@@ -23,7 +23,15 @@ def _sql_literal(v, dt: T.DataType) -> str:
         return f"'{esc}'"
     if isinstance(dt, T.BooleanType):
         return "true" if v else "false"
-    return f"CAST('{v!r}' AS {dt.simpleString()})"
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        text = v.isoformat(sep=" ")
+    elif isinstance(dt, T.DateType):
+        text = v.isoformat()
+    elif isinstance(dt, (T.FloatType, T.DoubleType)):
+        text = repr(float(v))            # round-trips exactly
+    else:
+        text = str(v)                    # integers, decimals
+    return f"CAST('{text}' AS {dt.simpleString()})"
 
 
 def literal_frame(spark: SparkSession, rows, schema: T.StructType | str) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.grading import answer_key, grade, valid_submissions
@@ -144,6 +145,27 @@ def _publish_zero_board(spark, roster, totals_table, board_table, root, ranked=T
     _publish_board(spark, roster, totals_table, board_table, f"{root}/board/initial-zero", ranked)
 
 
+def _log_has_entries(spark: SparkSession, path: str) -> bool:
+    """Whether a streaming metadata log (e.g. ``<checkpoint>/offsets``) holds any batch."""
+    try:
+        return bool(spark.read.text(path).limit(1).collect())
+    except AnalysisException:
+        return False
+
+
+def _guard_restart(spark: SparkSession, totals_table: str, root: str, checkpoint: str) -> None:
+    """Refuse a fresh checkpoint over tables an earlier run already published.
+
+    Version directories are named by batch id; a run whose batch ids start over
+    would take published versions for its own and skip them.
+    """
+    if _log_has_entries(spark, f"{checkpoint}/offsets"):
+        return                                   # a restart: batch ids continue
+    if spark.catalog.tableExists(totals_table) and not points_at(spark, totals_table, f"{root}/totals/initial"):
+        raise RuntimeError(f"{totals_table} was published by an earlier run but the checkpoint "
+                           f"{checkpoint} is empty: use a new root and tables, or the old checkpoint")
+
+
 def start_leaderboard(graded: DataFrame, roster: DataFrame | str, totals_table: str, board_table: str,
                       root: str, checkpoint: str, trigger: str | None = None,
                       zero_board: bool = True, ranked: bool = True) -> StreamingQuery:
@@ -158,6 +180,7 @@ def start_leaderboard(graded: DataFrame, roster: DataFrame | str, totals_table:
     for k, v in STREAMING_CONF.items():   # only where the session has not chosen already
         if spark.conf.get(k, None) in (None, ""):
             spark.conf.set(k, v)
+    _guard_restart(spark, totals_table, root, checkpoint)
     _init_tables(spark, roster, totals_table, board_table, root, zero_board, ranked)
     totals = score_totals(graded, "user_id")
     w = (totals.writeStream.outputMode("update")

@@ -18,3 +18,11 @@ def test_literal_frame_round_trips_awkward_values(spark):
 def test_literal_frame_empty(spark):
     df = literal_frame(spark, [], "id int, s string")
     assert df.count() == 0 and df.dtypes == [("id", "int"), ("s", "string")]
+
+
+def test_literal_frame_dates_timestamps_decimals(spark):
+    import datetime as dt
+    from decimal import Decimal
+    rows = [(dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4, 5, 678000), Decimal("1.50"), 7)]
+    df = literal_frame(spark, rows, "d date, t timestamp_ntz, x decimal(5,2), n bigint")
+    assert [tuple(r) for r in df.collect()] == rows

@@ -70,3 +70,10 @@ def test_global_row_number_with_aqe_coalesced_ranges(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_skew_safe_join_with_int_keys_and_nulls(spark):
+    left = spark.createDataFrame([(1, 5), (2, None), (3, None), (4, 7)], "v int, k int")
+    right = spark.createDataFrame([(5, "five"), (9, "nine")], "rk int, w string")
+    got = sorted((r["v"], r["w"]) for r in left_join_skew_safe(left, right, "k", "rk", 1).collect())
+    assert got == [(1, "five"), (2, None), (3, None), (4, None)]

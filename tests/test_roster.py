@@ -104,3 +104,12 @@ def test_dedupe_by_key_is_deterministic(spark):
     df = spark.createDataFrame([("1", "a@x"), ("1", "b@x"), ("2", "c@x")], "user_id string, email string")
     got = sorted(tuple(r) for r in R.dedupe_by_key(df).collect())
     assert got == [("1", "b@x"), ("2", "c@x")]
+
+
+def test_upsert_last_source_row_wins_with_order(spark):
+    target = spark.createDataFrame([("7", "old@x", "Old", "old")],
+                                   "user_id string, email string, display_name string, user_name string")
+    source = spark.createDataFrame([("7", "z@old", "Z", "z", 1), ("7", "a@new", "A", "a", 2)],
+                                   "user_id string, email string, display_name string, user_name string, seq int")
+    assert R.upsert(target, source, order_col="seq").first()["email"] == "a@new"
+    assert R.upsert(target, source.drop("seq")).first()["email"] == "z@old"   # no order: greatest row

@@ -122,3 +122,16 @@ def test_refresher_reads_roster_by_name_across_syncs(spark, scratch):
     fn(spark.createDataFrame([("2", 20, 2)], schema), 1)
     got = {r["user_id"]: (r["total_points"], r["rank"]) for r in spark.table(board_t).collect()}
     assert got == {"2": (20, 1), "1": (10, 2), "3": (0, 3)}
+
+
+def test_fresh_checkpoint_over_published_tables_is_refused(spark, scratch):
+    import pytest
+    ev, src = _split_events(spark, scratch)
+    roster = I.roster(I.table(spark, SF, "customer"))
+    totals_t, board_t = f"t_{uuid.uuid4().hex[:8]}", f"b_{uuid.uuid4().hex[:8]}"
+    graded = ST.graded_stream(I.responses(_stream(spark, src, ev.schema)), I.quiz_bank(spark))
+    ST.refresh_now(graded, roster, totals_t, board_t, f"{scratch}/lb", f"{scratch}/ck1")
+    # same checkpoint again: a restart, batch ids continue, nothing to do
+    ST.refresh_now(graded, roster, totals_t, board_t, f"{scratch}/lb", f"{scratch}/ck1")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        ST.refresh_now(graded, roster, totals_t, board_t, f"{scratch}/lb", f"{scratch}/ck2")
