@@ -17,6 +17,7 @@ from .operators import grading as G
 from .operators import leaderboard as L
 from .operators import roster as R
 from .operators import snapshot as P
+from .session import lineage_scope
 from .sources import tables as TB
 
 
@@ -99,12 +100,13 @@ class Workshop:
 
     def refresh_leaderboard_table(self, table: str = K.LEADERBOARD_TABLE) -> str:
         """Materialise the ranked board into ``table`` (created on first use), as one new version."""
-        board = self.ranked_leaderboard()
-        if not self.spark.catalog.tableExists(table):
-            loc = f" LOCATION '{self._loc(table)}'" if self.location else ""
-            cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in board.schema.fields)
-            self.spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet{loc}")
-        return TB.replace_contents(board, table)
+        with lineage_scope(self.spark):   # rank lineage cut released once published
+            board = self.ranked_leaderboard()
+            if not self.spark.catalog.tableExists(table):
+                loc = f" LOCATION '{self._loc(table)}'" if self.location else ""
+                cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in board.schema.fields)
+                self.spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet{loc}")
+            return TB.replace_contents(board, table)
 
 
 class Snapshot:
@@ -126,12 +128,14 @@ class Snapshot:
         src = R.label_status(roster)
         if demo_when_empty:
             src = R.with_defaults(src, R.demo_participants(self.spark))
-        return TB.replace_contents(P.participants_seed(src), self.table)
+        with lineage_scope(self.spark):
+            return TB.replace_contents(P.participants_seed(src), self.table)
 
     def add_points(self, increments: DataFrame) -> str:
         """Apply ``(email, points)`` increments and publish the new version."""
         snap = self.spark.table(self.table)
-        return TB.replace_contents(P.apply_increments(snap, increments), self.table)
+        with lineage_scope(self.spark):
+            return TB.replace_contents(P.apply_increments(snap, increments), self.table)
 
     def view(self) -> DataFrame:
         return P.leaderboard_view(self.spark.table(self.table))

@@ -50,28 +50,25 @@ def first_email(emails) -> Column:
     return F.try_element_at(_c(emails), F.lit(1)).getField("value")
 
 
-def medal(rank) -> Column:
+def _by_rank(rank, mapping: dict[int, str], default) -> Column:
+    """``mapping[rank]`` for the listed positions, ``default`` (a Column) otherwise."""
     r = _c(rank)
-    expr = F.concat(F.lit("#"), r.cast("string"))
-    for pos in sorted(K.MEDALS, reverse=True):
-        expr = F.when(r == pos, F.lit(K.MEDALS[pos])).otherwise(expr)
+    expr = default
+    for pos in sorted(mapping, reverse=True):
+        expr = F.when(r == pos, F.lit(mapping[pos])).otherwise(expr)
     return expr
 
 
+def medal(rank) -> Column:
+    return _by_rank(rank, K.MEDALS, F.concat(F.lit("#"), _c(rank).cast("string")))
+
+
 def tier(rank) -> Column:
-    r = _c(rank)
-    expr = F.lit("none")
-    for pos in sorted(K.TIERS, reverse=True):
-        expr = F.when(r == pos, F.lit(K.TIERS[pos])).otherwise(expr)
-    return expr
+    return _by_rank(rank, K.TIERS, F.lit("none"))
 
 
 def row_class(rank) -> Column:
-    r = _c(rank)
-    expr = F.lit("")
-    for pos in sorted(K.ROW_CLASSES, reverse=True):
-        expr = F.when(r == pos, F.lit(K.ROW_CLASSES[pos])).otherwise(expr)
-    return expr
+    return _by_rank(rank, K.ROW_CLASSES, F.lit(""))
 
 
 def progress_pct(points, max_score) -> Column:

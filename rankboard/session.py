@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -91,6 +93,37 @@ def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+_scopes = threading.local()
+
+
+def release_path(spark: SparkSession, path: str) -> None:
+    """Free a directory's storage with public API only: overwrite it with an empty write."""
+    spark.range(0).write.mode("overwrite").parquet(path)
+
+
+@contextmanager
+def lineage_scope(spark: SparkSession):
+    """Release every lineage cut written inside the block when the block ends.
+
+    Wrap work that materialises its result (a publish, a write, a collect); a
+    lazy DataFrame returned out of the block would read released files.
+    """
+    stack = getattr(_scopes, "stack", None)
+    if stack is None:
+        stack = _scopes.stack = []
+    paths: list[str] = []
+    stack.append(paths)
+    try:
+        yield paths
+    finally:
+        stack.pop()
+        for p in paths:
+            try:
+                release_path(spark, p)
+            except Exception:  # noqa: BLE001 - cleanup must not mask the block's outcome
+                pass
+
+
 def cut_lineage(df, label: str = "stage", path: str | None = None):
     """Write ``df`` as parquet under the shared folder and read it back.
 
@@ -101,4 +134,7 @@ def cut_lineage(df, label: str = "stage", path: str | None = None):
     spark = df.sparkSession
     path = path or shared_path(spark, "lineage", label)
     df.write.mode("overwrite").parquet(path)
+    stack = getattr(_scopes, "stack", None)
+    if stack:
+        stack[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,12 +5,11 @@ table that the same plan reads.  Rewrites therefore write a fresh directory
 and then repoint the table at it (``ALTER TABLE ... SET LOCATION``, one catalog
 operation), so readers see either the old or the new version, never a mix.
 
-Retention: every publish records the replaced location in a table property.
-With ``release_older`` (used for tables that are rewritten on every streaming
-trigger and always read by name), the version before that is released, so
-storage stays at about two versions.  A DataFrame obtained from such a table
-must not be held across two publishes; tables users may hold DataFrames on
-(roster, snapshot, responses) keep their old versions by default.
+Retention: every publish records the replaced location in a table property
+and releases the version before it, so storage stays at about two versions per
+table.  A DataFrame obtained from a table therefore survives one later rewrite
+(Spark's own INSERT OVERWRITE invalidates it at once); long-lived readers read
+the table by name per refresh.  ``release_older=False`` keeps every version.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..session import release_path
 
 
 def ensure_namespace(spark: SparkSession, name: str) -> None:
@@ -81,7 +81,7 @@ PREVIOUS_PROPERTY = "rankboard.previous_location"
 
 def release(spark: SparkSession, path: str) -> None:
     """Free the storage of a superseded directory: overwrite it with an empty write."""
-    spark.range(0).write.mode("overwrite").parquet(path)
+    release_path(spark, path)
 
 
 def table_property(spark: SparkSession, table: str, key: str) -> str | None:
@@ -89,14 +89,13 @@ def table_property(spark: SparkSession, table: str, key: str) -> str | None:
     return rows[0]["value"] if rows else None
 
 
-def publish_version(df: DataFrame, table: str, version_path: str, release_older: bool = False) -> str:
+def publish_version(df: DataFrame, table: str, version_path: str, release_older: bool = True) -> str:
     """Write ``df`` to ``version_path`` and repoint ``table`` there.
 
     ``df`` may read ``table`` itself (upsert, increment): its files are not
     touched.  Publishing is the last step, so a failed write leaves the table
     on its previous version.  The version being replaced is remembered as the
-    previous one; with ``release_older`` the one before it is released (only
-    for tables whose readers re-resolve the table by name on every read).
+    previous one; with ``release_older`` the one before it is released.
     """
     spark = df.sparkSession
     old = table_location(spark, table)
@@ -118,6 +117,6 @@ def new_version_path(spark: SparkSession, table: str) -> str:
     return f"{parent}/{table.replace('.', '_')}-v{uuid.uuid4().hex[:12]}"
 
 
-def replace_contents(df: DataFrame, table: str, release_older: bool = False) -> str:
+def replace_contents(df: DataFrame, table: str, release_older: bool = True) -> str:
     """Full refresh (the reference's DELETE + batched INSERT) as one new version."""
     return publish_version(df, table, new_version_path(df.sparkSession, table), release_older)

@@ -27,8 +27,8 @@ from ..operators.grading import answer_key, grade, valid_submissions
 from ..operators.joins import broadcast_if_small
 from ..operators.leaderboard import board_from_totals, podium, score_totals
 from ..operators.leaderboard import ranked_with_cut
-from ..session import STREAMING_CONF
-from ..sources.tables import points_at, publish_version, release, table_location
+from ..session import STREAMING_CONF, lineage_scope
+from ..sources.tables import points_at, publish_version, table_location
 
 TOTALS_DDL = "user_id STRING, total_points BIGINT, questions_answered BIGINT"
 
@@ -52,10 +52,9 @@ def _roster(spark: SparkSession, roster: DataFrame | str) -> DataFrame:
 
 
 def _publish_board(spark, roster, totals_table, board_table, path, ranked) -> None:
-    board, cut = _board(_roster(spark, roster), spark.table(totals_table), ranked)
-    publish_version(board, board_table, path, release_older=True)
-    if cut:
-        release(spark, cut)   # the board version now holds the ranks
+    with lineage_scope(spark):   # the published version holds the ranks: release the cut
+        board, _ = _board(_roster(spark, roster), spark.table(totals_table), ranked)
+        publish_version(board, board_table, path)
 
 
 def _ddl(df: DataFrame) -> str:
@@ -118,7 +117,7 @@ class LeaderboardRefresher:
             try:
                 prev = spark.table(self.totals_table)
                 merged = prev.join(changed.select("user_id"), "user_id", "left_anti").unionByName(changed)
-                publish_version(merged, self.totals_table, totals_v, release_older=True)
+                publish_version(merged, self.totals_table, totals_v)
             finally:
                 changed.unpersist()
         board_v = self._version("board", batch_id)

@@ -71,7 +71,7 @@ def test_retention_keeps_one_previous_version(spark, scratch):
     cols = "user_id string, email string, display_name string, user_name string"
     for i in (1, 2, 3):
         df = spark.createDataFrame([(str(i), f"{i}@x", "N", "n")], cols).withColumn("created_at", F.current_timestamp())
-        TB.publish_version(df, t, f"{scratch}/ret/v{i}", release_older=True)
+        TB.publish_version(df, t, f"{scratch}/ret/v{i}")
     assert TB.points_at(spark, t, f"{scratch}/ret/v3")
     assert TB._bare(TB.table_property(spark, t, TB.PREVIOUS_PROPERTY)) == f"{scratch}/ret/v2"
     assert spark.read.parquet(f"{scratch}/ret/v2").count() == 1      # previous: kept for readers
@@ -79,13 +79,22 @@ def test_retention_keeps_one_previous_version(spark, scratch):
     assert [r["user_id"] for r in spark.table(t).collect()] == ["3"]
 
 
-def test_default_rewrites_keep_old_versions_for_held_dataframes(spark, scratch):
-    t = _name("held")
-    TB.create_roster_table(spark, t, f"{scratch}/held/v0")
+def test_held_dataframe_survives_one_rewrite_and_opt_out_keeps_all(spark, scratch):
     cols = "user_id string, email string, display_name string, user_name string"
-    TB.insert(spark.createDataFrame([("1", "a@x", "A", "a")], cols), t)
-    held = spark.table(t)
-    for i in range(3):
-        TB.replace_contents(spark.table(t).withColumn("email", F.lit(f"v{i}@x")), t)
-    assert held.count() == 1                      # still readable after three rewrites
-    assert spark.table(t).first()["email"] == "v2@x"
+    for release_older, rewrites in ((True, 1), (False, 3)):
+        t = _name("held")
+        TB.create_roster_table(spark, t, f"{scratch}/{t}/v0")
+        TB.insert(spark.createDataFrame([("1", "a@x", "A", "a")], cols), t)
+        held = spark.table(t)
+        for i in range(rewrites):
+            TB.replace_contents(spark.table(t).withColumn("email", F.lit(f"v{i}@x")), t, release_older)
+        assert held.count() == 1
+        assert spark.table(t).first()["email"] == f"v{rewrites - 1}@x"
+
+
+def test_lineage_scope_releases_cuts(spark):
+    from rankboard.session import cut_lineage, lineage_scope
+    with lineage_scope(spark) as paths:
+        n = cut_lineage(spark.range(10), "scope-test").count()
+    assert n == 10 and len(paths) == 1
+    assert spark.read.parquet(paths[0]).count() == 0
