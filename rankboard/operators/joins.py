@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
 # A side is broadcast explicitly only after counting at most this many rows.
 BROADCAST_MAX_ROWS = 1_000_000
 
@@ -25,9 +23,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
 
 
 # A left key with at least this many rows is "hot": its rows are salted over
-# ceil(rows / HOT_KEY_ROWS) reducers.  There are at most N / HOT_KEY_ROWS hot keys,
-# which bounds the broadcast hot-key table.
+# ceil(rows / HOT_KEY_ROWS) reducers.  There are at most N / HOT_KEY_ROWS hot keys;
+# the broadcast hot-key table is further capped at MAX_HOT_KEYS (the hottest
+# ones, in a deterministic order).  A hot key left out is joined unsalted, so
+# the cap bounds the broadcast without changing any result.
 HOT_KEY_ROWS = 1_000_000
+MAX_HOT_KEYS = 100_000
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
@@ -49,17 +50,19 @@ def left_join_skew_safe(left: DataFrame, right: DataFrame, left_key: str, right_
     a skewed partition when the right side comes straight out of an aggregate,
     so hot keys are salted explicitly.  The join keys are ``(key, salt)``:
 
-    * hot keys of ``left`` (``hot_keys``: bounded, materialised once,
-      count-checked, broadcast) get ``ceil(rows / hot_rows)`` salts; each left
-      row takes ``row_hash % salts`` and each matching right row is replicated
-      once per salt;
+    * hot keys of ``left`` (``hot_keys``, at most ``MAX_HOT_KEYS`` of them in a
+      deterministic order, broadcast) get ``ceil(rows / hot_rows)`` salts; each
+      left row takes ``row_hash % salts`` and each matching right row is
+      replicated once per salt;
     * a NULL key never matches, so its rows take the whole row hash as salt:
       they scatter over all partitions instead of piling onto one reducer.
 
     Results equal a plain left join.
     """
     lk = F.col(left_key)
-    hot = broadcast_if_small(cut_lineage(hot_keys(left, left_key, hot_rows), "hot-keys"))
+    hot = F.broadcast(hot_keys(left, left_key, hot_rows)
+                      .orderBy(F.col("_hs").desc(), F.col("_hk").asc())
+                      .limit(MAX_HOT_KEYS))
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
     flagged = left.join(hot, lk == F.col("_hk"), "left")
     salt = (F.when(lk.isNull(), row_hash)

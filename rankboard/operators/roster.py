@@ -12,12 +12,18 @@ from ..sources.literal import literal_frame
 
 
 def directory_users(pages: DataFrame) -> DataFrame:
-    """One row per directory entry from pages shaped ``{Resources: [user, ...]}``."""
-    return pages.select(F.explode("Resources").alias("u")).select("u.*")
+    """One row per directory entry from pages shaped ``{Resources: [user, ...]}``.
+
+    ``_seq`` is the entry's position in the listing (``startIndex`` + position
+    in the page) when the page carries a ``startIndex``, else NULL.
+    """
+    start = F.col("startIndex") if "startIndex" in pages.columns else F.lit(None).cast("long")
+    return (pages.select(start.alias("_start"), F.posexplode("Resources").alias("_pos", "u"))
+                 .select("u.*", (F.col("_start") + F.col("_pos")).cast("long").alias("_seq")))
 
 
 def flatten_users(users: DataFrame, missing_active: bool = False,
-                  missing_email: str | None = None) -> DataFrame:
+                  missing_email: str | None = None, keep_seq: bool = False) -> DataFrame:
     """Active directory entries as roster rows ``user_id, email, display_name, user_name``.
 
     ``missing_active`` is what an absent ``active`` flag means: the first
@@ -28,34 +34,38 @@ def flatten_users(users: DataFrame, missing_active: bool = False,
     email = first_email("emails")
     if missing_email is not None:
         email = F.coalesce(email, F.lit(missing_email))
+    seq = [F.col("_seq")] if keep_seq and "_seq" in users.columns else []
     return (users.where(F.coalesce(F.col("active"), F.lit(missing_active)))
                  .select(F.col("id").alias("user_id"), email.alias("email"),
                          F.col("displayName").alias("display_name"),
-                         F.col("userName").alias("user_name")))
+                         F.col("userName").alias("user_name"), *seq))
 
 
 def dedupe_by_key(df: DataFrame, key: str = "user_id", order_col: str | None = None) -> DataFrame:
     """One row per ``key`` (the table's primary key).
 
     With ``order_col`` the row with the greatest ``order_col`` wins (the last one
-    in source order, as sequential per-row MERGEs would leave it); without it the
-    greatest row wins, deterministically.  ``max``/``max_by`` aggregate partially,
-    so a key holding a large share of the rows is combined map-side first.
+    in source order, as sequential per-row MERGEs would leave it; rows without
+    an order rank below ordered ones); ties and unordered rows fall back to the
+    greatest row, deterministically.  ``max(struct)`` aggregates partially, so a
+    key holding a large share of the rows is combined map-side first.
     """
     rest = [c for c in df.columns if c not in (key, order_col)]
     if not rest:
         return df.select(key).distinct()
-    row = F.struct(*rest)
-    pick = F.max_by(row, F.col(order_col)) if order_col else F.max(row)
+    row = F.struct(*rest).alias("r")
+    pick = F.max(F.struct(F.col(order_col).alias("o"), row)).getField("r") if order_col else F.max(row)
     return (df.groupBy(key).agg(pick.alias("_row"))
               .select(key, *[F.col("_row")[c].alias(c) for c in rest]))
 
 
 def ingest_directory(pages: DataFrame, missing_active: bool = False,
                      missing_email: str | None = None, dedupe: bool = True) -> DataFrame:
-    """Directory pages -> flat, de-duplicated roster."""
-    flat = flatten_users(directory_users(pages), missing_active, missing_email)
-    return dedupe_by_key(flat, "user_id") if dedupe else flat
+    """Directory pages -> flat roster, one row per ``user_id`` (the last listed wins)."""
+    flat = flatten_users(directory_users(pages), missing_active, missing_email, keep_seq=True)
+    if not dedupe:
+        return flat.drop("_seq")
+    return dedupe_by_key(flat, "user_id", "_seq")
 
 
 def roster_counts(users: DataFrame, missing_active: bool = False) -> DataFrame:

@@ -68,7 +68,9 @@ def directory_pages(customer: DataFrame) -> DataFrame:
     """Pages of at most ``DIRECTORY_PAGE_SIZE`` entries (bounded groups)."""
     users = directory_users(customer)
     fields = [f.name for f in S.DIRECTORY_USER.fields]
-    return users.groupBy("_page").agg(F.collect_list(F.struct(*fields)).alias("Resources"))
+    return users.groupBy("_page").agg(
+        (F.col("_page") * DIRECTORY_PAGE_SIZE + 1).cast("long").alias("startIndex"),
+        F.collect_list(F.struct(*fields)).alias("Resources"))
 
 
 def roster(customer: DataFrame) -> DataFrame:

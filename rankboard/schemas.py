@@ -42,7 +42,7 @@ QUESTION_BANK = T.StructType([
     T.StructField("correct_answer", T.StringType(), True),
 ])
 
-# One directory page: {"Resources": [{id, userName, displayName, active, emails: [{value}]}]}
+# One directory page: {"startIndex": n, "Resources": [{id, userName, displayName, active, emails: [{value}]}]}
 DIRECTORY_USER = T.StructType([
     T.StructField("id", T.StringType(), True),
     T.StructField("userName", T.StringType(), True),
@@ -53,6 +53,7 @@ DIRECTORY_USER = T.StructType([
     ])), True),
 ])
 DIRECTORY_PAGE = T.StructType([
+    T.StructField("startIndex", T.LongType(), True),   # SCIM: 1-based index of the page's first entry
     T.StructField("Resources", T.ArrayType(DIRECTORY_USER), True),
 ])
 

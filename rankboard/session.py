@@ -52,8 +52,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
-    return spark
+    return spark   # the shared folder is resolved lazily, by the jobs that write there
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -24,6 +24,7 @@ def parse_directory_pages(text: DataFrame, column: str = "value") -> DataFrame:
 
 
 def write_directory_pages(pages: DataFrame, path: str) -> str:
-    """Write ``Resources`` pages as JSON Lines (absent fields are omitted)."""
-    pages.select(F.to_json(F.struct("Resources")).alias("value")).write.mode("overwrite").text(path)
+    """Write pages (``startIndex`` if present, ``Resources``) as JSON Lines; absent fields are omitted."""
+    cols = [c for c in ("startIndex", "Resources") if c in pages.columns]
+    pages.select(F.to_json(F.struct(*cols)).alias("value")).write.mode("overwrite").text(path)
     return path

@@ -35,7 +35,11 @@ def _sql_literal(v, dt: T.DataType) -> str:
 
 
 def literal_frame(spark: SparkSession, rows, schema: T.StructType | str) -> DataFrame:
-    """A DataFrame holding ``rows`` (tuples in ``schema`` order)."""
+    """A DataFrame holding ``rows`` (tuples in ``schema`` order).
+
+    Naive ``datetime`` values for a ``timestamp`` column are read in the session
+    time zone (``createDataFrame`` would use the Python process's local zone).
+    """
     st = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
     base = spark.range(0, 1, 1, 1)
     if not rows:

@@ -5,11 +5,13 @@ table that the same plan reads.  Rewrites therefore write a fresh directory
 and then repoint the table at it (``ALTER TABLE ... SET LOCATION``, one catalog
 operation), so readers see either the old or the new version, never a mix.
 
-Retention: every publish records the replaced location in a table property
+Retention: every publish records the replaced location in table properties
 and releases the version before it, so storage stays at about two versions per
-table.  A DataFrame obtained from a table therefore survives one later rewrite
-(Spark's own INSERT OVERWRITE invalidates it at once); long-lived readers read
-the table by name per refresh.  ``release_older=False`` keeps every version.
+table.  Only directories written by ``publish_version`` are ever released; the
+location a table was created with (possibly a user's own directory) never is.
+A DataFrame obtained from a table survives one later rewrite (Spark's own
+INSERT OVERWRITE invalidates it at once); long-lived readers read the table by
+name per refresh.  ``release_older=False`` keeps every version.
 """
 
 from __future__ import annotations
@@ -77,6 +79,8 @@ def insert(df: DataFrame, table: str, columns: list[str] | None = None) -> None:
 
 
 PREVIOUS_PROPERTY = "rankboard.previous_location"
+PREVIOUS_OWNED = "rankboard.previous_owned"
+CURRENT_OWNED = "rankboard.current_owned"
 
 
 def release(spark: SparkSession, path: str) -> None:
@@ -99,14 +103,18 @@ def publish_version(df: DataFrame, table: str, version_path: str, release_older:
     """
     spark = df.sparkSession
     old = table_location(spark, table)
+    old_owned = table_property(spark, table, CURRENT_OWNED) == "true"
     target_cols = spark.table(table).columns
     df.select(*target_cols).write.mode("overwrite").parquet(version_path)
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{version_path}'")
     spark.sql(f"REFRESH TABLE {table}")
     if _bare(old) != _bare(version_path):
         older = table_property(spark, table, PREVIOUS_PROPERTY)
-        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{PREVIOUS_PROPERTY}' = '{old}')")
-        if release_older and older and _bare(older) not in (_bare(old), _bare(version_path)):
+        older_owned = table_property(spark, table, PREVIOUS_OWNED) == "true"
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{PREVIOUS_PROPERTY}' = '{old}', "
+                  f"'{PREVIOUS_OWNED}' = '{str(old_owned).lower()}', '{CURRENT_OWNED}' = 'true')")
+        if (release_older and older and older_owned
+                and _bare(older) not in (_bare(old), _bare(version_path))):
             release(spark, older)
     return version_path
 

@@ -2,6 +2,7 @@
 
 from .jobs import (  # noqa: F401
     LeaderboardRefresher,
+    rebuild_board,
     refresh_now,
     start_grading,
     start_leaderboard,

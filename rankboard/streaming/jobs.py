@@ -18,6 +18,8 @@ the zero-filled board needs both.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
@@ -95,7 +97,8 @@ class LeaderboardRefresher:
     micro-batch (absolute values, not deltas), so re-applying a batch is
     harmless; version directories are keyed by batch id and published last.
     ``roster`` may be a table name: it is then re-read on every micro-batch, so
-    roster syncs show up on the board and no stale roster version is held.
+    a roster sync reaches the board with the next micro-batch (or at once with
+    ``rebuild_board``) and no stale roster version is held.
     """
 
     def __init__(self, roster: DataFrame | str, totals_table: str, board_table: str, root: str,
@@ -176,6 +179,9 @@ def start_leaderboard(graded: DataFrame, roster: DataFrame | str, totals_table:
     board tables keep one previous version; read them by name on every refresh.
     """
     spark = graded.sparkSession
+    if trigger not in (None, "availableNow") and not isinstance(roster, str):
+        raise ValueError("a live board needs the roster as a table name: it is re-read every "
+                         "micro-batch, while a DataFrame would pin one (later released) version")
     for k, v in STREAMING_CONF.items():   # only where the session has not chosen already
         if spark.conf.get(k, None) in (None, ""):
             spark.conf.set(k, v)
@@ -202,6 +208,15 @@ def refresh_now(graded: DataFrame, roster: DataFrame | str, totals_table: str, b
     return spark.read.parquet(table_location(spark, board_table))
 
 
+def rebuild_board(spark: SparkSession, roster: DataFrame | str, totals_table: str, board_table: str,
+                  root: str, ranked: bool = True) -> str:
+    """Republish the board from the current totals and roster now (e.g. right after a
+    roster sync on a quiet stream); the next micro-batch publishes as usual."""
+    path = f"{root.rstrip('/')}/board/rebuild-{uuid.uuid4().hex[:12]}"
+    _publish_board(spark, roster, totals_table, board_table, path, ranked)
+    return path
+
+
 def graded_stream(responses: DataFrame, bank: DataFrame) -> DataFrame:
     """Guard and grade a response stream against a (broadcast, size-checked) bank."""
     return grade(valid_submissions(responses), bank, key=broadcast_if_small(answer_key(bank)))

@@ -113,3 +113,23 @@ def test_upsert_last_source_row_wins_with_order(spark):
                                    "user_id string, email string, display_name string, user_name string, seq int")
     assert R.upsert(target, source, order_col="seq").first()["email"] == "a@new"
     assert R.upsert(target, source.drop("seq")).first()["email"] == "z@old"   # no order: greatest row
+
+
+def test_ingest_last_listed_entry_wins(spark, scratch):
+    p1 = {"startIndex": 1, "Resources": [
+        {"id": "u1", "userName": "a", "displayName": "A", "active": True, "emails": [{"value": "z@old"}]}]}
+    p2 = {"startIndex": 2, "Resources": [
+        {"id": "u1", "userName": "a", "displayName": "A", "active": True, "emails": [{"value": "a@new"}]}]}
+    path = f"{scratch}/ordered"
+    spark.createDataFrame([(json.dumps(p2),), (json.dumps(p1),)], "value string").write.text(path)
+    got = R.ingest_directory(D.read_directory_pages(spark, path)).collect()
+    assert [(r["user_id"], r["email"]) for r in got] == [("u1", "a@new")]
+    assert R.ingest_directory(D.read_directory_pages(spark, path)).columns == \
+        ["user_id", "email", "display_name", "user_name"]
+
+
+def test_dedupe_with_null_order_keeps_values(spark):
+    df = spark.createDataFrame([("1", "a@x", None), ("1", "b@x", None), ("2", "c@x", 5)],
+                               "user_id string, email string, seq long")
+    got = sorted(tuple(r) for r in R.dedupe_by_key(df, "user_id", "seq").collect())
+    assert got == [("1", "b@x"), ("2", "c@x")]

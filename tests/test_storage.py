@@ -98,3 +98,14 @@ def test_lineage_scope_releases_cuts(spark):
         n = cut_lineage(spark.range(10), "scope-test").count()
     assert n == 10 and len(paths) == 1
     assert spark.read.parquet(paths[0]).count() == 0
+
+
+def test_user_supplied_location_is_never_released(spark, scratch):
+    t = _name("own")
+    cols = "user_id string, email string, display_name string, user_name string"
+    spark.createDataFrame([("1", "a@x", "A", "a")], cols).withColumn("created_at", F.current_timestamp()) \
+         .write.parquet(f"{scratch}/own/users_data")
+    spark.sql(f"CREATE TABLE {t} ({S.ROSTER_DDL}) USING parquet LOCATION '{scratch}/own/users_data'")
+    for i in range(3):
+        TB.replace_contents(spark.table(t).withColumn("email", F.lit(f"v{i}@x")), t)
+    assert spark.read.parquet(f"{scratch}/own/users_data").count() == 1   # the user's data is intact

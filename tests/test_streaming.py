@@ -135,3 +135,25 @@ def test_fresh_checkpoint_over_published_tables_is_refused(spark, scratch):
     ST.refresh_now(graded, roster, totals_t, board_t, f"{scratch}/lb", f"{scratch}/ck1")
     with pytest.raises(RuntimeError, match="checkpoint"):
         ST.refresh_now(graded, roster, totals_t, board_t, f"{scratch}/lb", f"{scratch}/ck2")
+
+
+def test_live_board_needs_roster_by_name(spark, scratch):
+    import pytest
+    ev, src = _split_events(spark, scratch)
+    graded = ST.graded_stream(I.responses(_stream(spark, src, ev.schema)), I.quiz_bank(spark))
+    with pytest.raises(ValueError, match="table name"):
+        ST.start_leaderboard(graded, I.roster(I.table(spark, SF, "customer")), "t_x", "b_x",
+                             f"{scratch}/lb", f"{scratch}/ck", trigger="30 seconds")
+
+
+def test_rebuild_board_picks_up_roster_sync(spark, scratch):
+    from rankboard.sources import tables as TB
+    roster_t = f"r_{uuid.uuid4().hex[:8]}"
+    TB.create_roster_table(spark, roster_t, f"{scratch}/roster/v0")
+    cols = "user_id string, email string, display_name string, user_name string"
+    TB.insert(spark.createDataFrame([("1", "a@x", "A", "a")], cols), roster_t)
+    totals_t, board_t = f"t_{uuid.uuid4().hex[:8]}", f"b_{uuid.uuid4().hex[:8]}"
+    ST._init_tables(spark, roster_t, totals_t, board_t, f"{scratch}/lb")
+    TB.insert(spark.createDataFrame([("2", "b@x", "B", "b")], cols), roster_t)
+    ST.rebuild_board(spark, roster_t, totals_t, board_t, f"{scratch}/lb")
+    assert sorted(r["user_id"] for r in spark.table(board_t).collect()) == ["1", "2"]
