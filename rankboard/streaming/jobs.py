@@ -18,6 +18,7 @@ the zero-filled board needs both.
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,17 @@ from ..sources.tables import points_at, publish_version, table_location
 
 TOTALS_DDL = "user_id STRING, total_points BIGINT, questions_answered BIGINT"
 
+# Publishes of one board (micro-batches and on-demand rebuilds, all in the
+# driver) are serialised, so a rebuild never reads totals a batch is replacing
+# and never lands on top of a newer board.
+_locks: dict[str, threading.Lock] = {}
+_locks_guard = threading.Lock()
+
+
+def _board_lock(board_table: str) -> threading.Lock:
+    with _locks_guard:
+        return _locks.setdefault(board_table, threading.Lock())
+
 
 def _board(roster: DataFrame, totals: DataFrame, ranked: bool) -> tuple[DataFrame, str | None]:
     """The zero-filled board (and the rank's lineage cut, if ranked).
@@ -113,6 +125,10 @@ class LeaderboardRefresher:
         return f"{self.root}/{kind}/v{batch_id:012d}"
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        with _board_lock(self.board_table):
+            self._apply(batch, batch_id)
+
+    def _apply(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         totals_v = self._version("totals", batch_id)
         if not points_at(spark, self.totals_table, totals_v):
@@ -211,9 +227,14 @@ def refresh_now(graded: DataFrame, roster: DataFrame | str, totals_table: str, b
 def rebuild_board(spark: SparkSession, roster: DataFrame | str, totals_table: str, board_table: str,
                   root: str, ranked: bool = True) -> str:
     """Republish the board from the current totals and roster now (e.g. right after a
-    roster sync on a quiet stream); the next micro-batch publishes as usual."""
+    roster sync on a quiet stream); the next micro-batch publishes as usual.
+
+    Call it in the driver that runs the stream: it takes the board's publish lock,
+    so it neither races a micro-batch nor reads totals that one is replacing.
+    """
     path = f"{root.rstrip('/')}/board/rebuild-{uuid.uuid4().hex[:12]}"
-    _publish_board(spark, roster, totals_table, board_table, path, ranked)
+    with _board_lock(board_table):
+        _publish_board(spark, roster, totals_table, board_table, path, ranked)
     return path
 
 

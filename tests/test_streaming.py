@@ -157,3 +157,23 @@ def test_rebuild_board_picks_up_roster_sync(spark, scratch):
     TB.insert(spark.createDataFrame([("2", "b@x", "B", "b")], cols), roster_t)
     ST.rebuild_board(spark, roster_t, totals_t, board_t, f"{scratch}/lb")
     assert sorted(r["user_id"] for r in spark.table(board_t).collect()) == ["1", "2"]
+
+
+def test_rebuild_and_batches_are_serialised(spark, scratch):
+    import threading
+    roster = spark.createDataFrame([("1", "a@x", "A", "a"), ("2", "b@x", "B", "b")],
+                                   "user_id string, email string, display_name string, user_name string")
+    totals_t, board_t = f"t_{uuid.uuid4().hex[:8]}", f"b_{uuid.uuid4().hex[:8]}"
+    root = f"{scratch}/lb"
+    ST._init_tables(spark, roster, totals_t, board_t, root)
+    fn = ST.LeaderboardRefresher(roster, totals_t, board_t, root)
+    schema = "user_id string, total_points long, questions_answered long"
+    batches = [spark.createDataFrame([("1", 10 * (i + 1), i + 1)], schema) for i in range(3)]
+    t = threading.Thread(target=lambda: [fn(b, i) for i, b in enumerate(batches)])
+    t.start()
+    for _ in range(2):
+        ST.rebuild_board(spark, roster, totals_t, board_t, root)
+    t.join()
+    ST.rebuild_board(spark, roster, totals_t, board_t, root)
+    got = {r["user_id"]: (r["total_points"], r["rank"]) for r in spark.table(board_t).collect()}
+    assert got == {"1": (30, 1), "2": (0, 2)}
