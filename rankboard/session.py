@@ -88,10 +88,6 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     return f"{base}/rankboard/{leaf}"
 
 
-def default_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 _scopes = threading.local()
 
 
