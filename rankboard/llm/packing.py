@@ -30,40 +30,81 @@ from ..operators.rank import global_row_number
 from .common import cut, id_text
 
 CAPACITY = 2048
-#: Words whose ids a task holds at once; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+#: Words and pieces of words whose ids a Python worker holds at once; beyond it a cache starts anew.
+CACHE_WORDS = 250_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                      ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+# The split pattern of the tokenizer, for words of these characters only (their lower
+# case and normal form need no context).
+_SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
+
+class WordEncoder:
+    """Ids of texts by word: no piece that the tokenizer merges spans a blank or a line end, so each word
+    is encoded once and remembered.  Words of plain letters go to the merge table directly; any other word
+    (and one that may hold a special token) takes the tokenizer's whole way."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.direct = bool(self.tokenizer.pre_tokenizer) and _is_word_bpe(path)
+        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else self.bytes_of(piece)[0][0]
+        ids = np.asarray([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+        self.pieces[piece] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
+        if self.direct and "<|" not in word and _SAFE.fullmatch(word):
+            ids = b"".join([self.pieces.get(p) or self.piece(p) for p in _PIECE.findall(word.lower())])
+        else:
+            ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        self.words[word] = ids
+        return ids
+
+    def __call__(self, text: str) -> bytes:
+        known, make = self.words.get, self.word
+        return b"".join([known(w) or make(w) for w in text.replace("\n", " ").split(" ") if w])
+
+
+def _is_word_bpe(path: str) -> bool:
+    """Whether the file has the normaliser and the split that ``_PIECE`` stands for."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    kinds = [x["type"] for x in (d["normalizer"] or {}).get("normalizers", [])]
+    splits = (d["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+            and splits[0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+_encoders: dict[str, WordEncoder] = {}   # kept while a Python worker lives
+
+
 def _piece_task(tokenizer_path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer_path)
-        # No pre-token spans a blank or a line end, so words are tokenised once and looked up.
-        blank = re.compile("[ \n]+")
-        cache: dict[str, bytes] = {}
         schema = _PIECES.append(pa.field("ids", pa.binary())) if with_ids else _PIECES
+        encode = _encoders.setdefault(tokenizer_path, None) or WordEncoder(tokenizer_path)
+        _encoders[tokenizer_path] = encode
         end = np.zeros(1, "<u4").tobytes()
-
-        def encode(text: str) -> bytes:
-            words = blank.split(text)
-            try:
-                return b"".join([cache[w] for w in words]) + end
-            except KeyError:
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                new = list({w for w in words if w not in cache})
-                for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    cache[w] = np.asarray(e.ids, "<u4").tobytes()
-                return b"".join([cache[w] for w in words]) + end
-
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(text.as_py())
+                ids = encode(text.as_py()) + end
                 n = len(ids) // 4
                 for k, at in enumerate(range(0, n, capacity)):
                     part = ids[4 * at:4 * (at + capacity)]
