@@ -30,9 +30,11 @@ FAMILIES = {
     "sinitic": ["zh", "yue"],
 }
 
-#: Buckets of the n-gram hash, and the labelled texts a classifier is fitted on at most, per language.
-BUCKETS = 1 << 13
-SAMPLE_PER_LANGUAGE = 1500
+#: Buckets of the n-gram hash, and the labelled texts that classifiers are fitted on, per language ...
+BUCKETS = 1 << 12
+SAMPLE_PER_LANGUAGE = 600
+#: ... and of all languages together (a row is 4 x BUCKETS bytes on the driver).
+SAMPLE = 2400
 _ORDERS = (2, 3, 4)
 #: Bytes of text handled at once in a task.
 _CHUNK = 4_000_000
@@ -85,8 +87,7 @@ def _features(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
 
 def _svm(x: np.ndarray, y: np.ndarray, epochs: int = 12, c: float = 10.0) -> np.ndarray:
     """Weights of an L2-regularised linear support vector machine (squared hinge loss) by dual
-    coordinate descent; ``y`` is +1 or -1.  The last weight is the bias (a constant column)."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    coordinate descent; ``y`` is +1 or -1."""
     w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
     diag = np.einsum("ij,ij->i", x, x) + 0.5 / c
     rng = np.random.default_rng(7)
@@ -100,11 +101,12 @@ def _svm(x: np.ndarray, y: np.ndarray, epochs: int = 12, c: float = 10.0) -> np.
 
 
 def train(labelled: DataFrame, buckets: int = BUCKETS, per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
-    """Fit on ``lang, text, doc_id``: at most ``per_language`` rows of each language, those with the
-    smallest hash of the id.  Returns a picklable model; with no labelled row it knows no language."""
+    """Fit on ``lang, text, doc_id``: about ``per_language`` rows of each language (fewer if there are more
+    than ``SAMPLE / per_language`` languages), those with the smallest hash of the id.  Returns a picklable model; with no labelled row it knows no language."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(
         "lang", "text", F.xxhash64("doc_id").alias("_h"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    per_language = min(per_language, max(2, SAMPLE // max(1, len(counts))))
     total = 1 << 64
     keep = F.lit(False)
     for lang, n in counts.items():  # a hash threshold that keeps about per_language rows
@@ -115,17 +117,19 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, per_language: int = SAMPL
     langs = sorted(counts)
     if got.empty:
         return {"langs": [], "families": [], "pairs": [], "w": np.zeros((0, buckets + 1))}
-    x = np.vstack([np.frombuffer(v, "<f4") for v in got["x"]]).astype("float64")
-    scale = 1 / np.sqrt(x.mean(0) + 1e-6)
-    x *= scale
     lang = got["lang"].to_numpy()
+    x = np.ones((len(got), buckets + 1), "float32")   # the last column is the bias
+    for i, v in enumerate(got.pop("x")):
+        x[i, :-1] = np.frombuffer(v, "<f4")
+    scale = 1 / np.sqrt(x[:, :-1].mean(0) + 1e-6)
+    x[:, :-1] *= scale
     family = np.array([family_of(v) for v in lang])
     families = sorted({family_of(v) for v in langs})
     weights = [_svm(x, np.where(family == f, 1.0, -1.0)) for f in families] if len(families) > 1 else []
     pairs = [(a, b) for a, b in combinations(langs, 2) if family_of(a) == family_of(b)]
     for a, b in pairs:
         some = (lang == a) | (lang == b)
-        weights.append(_svm(x[some], np.where(lang[some] == a, 1.0, -1.0)))
+        weights.append(_svm(x[some] if not some.all() else x, np.where(lang[some] == a, 1.0, -1.0)))
     w = np.vstack(weights) if weights else np.zeros((0, buckets + 1))
     w[:, :-1] *= scale
     return {"langs": langs, "families": families, "pairs": pairs, "w": w}
