@@ -10,7 +10,7 @@ from . import decontamination, exact_dedup, extraction, hmm, language, line_dedu
 from .common import table
 
 
-def _tokenizer() -> str:
+def tokenizer_file() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -45,7 +45,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
