@@ -45,6 +45,9 @@ LENGTH, SEED, BATCHES = 50, 20, 4
 #: Bytes of text in a block, and bytes that a task handles at once (a longer text goes alone).
 BLOCK_BYTES, _CHUNK = 8_000_000, 1_000_000
 
+#: Fingerprint ranges (a task's unit of sorting) for each shuffle partition.
+RANGES = 4
+
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(5).integers(0, 2**63, 256, dtype=_U) * _U(2) + _U(1)
@@ -416,11 +419,12 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, batches: int = BATCHES,
     ensure_checkpoint_dir(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"),
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = shuffle_partitions(spark)
+    buckets = shuffle_partitions(spark)
+    parts = buckets * RANGES
     name = f"llm_blocks_{uuid.uuid4().hex[:12]}"
     (docs.mapInArrow(lambda it: _blocks(it, batches, block_bytes),
                      "block long, batch int, ids array<long>, lens array<long>, texts binary")
-         .write.option("compression", "none").bucketBy(parts, "block").sortBy("block")
+         .write.option("compression", "none").bucketBy(buckets, "block").sortBy("block")
          .saveAsTable(name, format="parquet", path=shared_path(spark, "tables", name, unique=False)))
     blocks = spark.table(name)
     size = blocks.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
