@@ -3,8 +3,12 @@
 These mirror what the reference application does against its warehouse tables
 (create, sync users, check eligibility, submit answers, read scores and the
 board; seed, refresh, raise and view the snapshot), as Spark jobs over catalog
-tables.  Everything that returns a DataFrame stays lazy; the two single-value
-lookups (``is_user_eligible``, ``get_user_score``) aggregate to one row first.
+tables.  ``users``, ``responses``, ``eligible_logins`` and ``get_leaderboard`` are
+lazy; ``is_user_eligible`` and ``get_user_score`` aggregate to one row.
+``ranked_leaderboard`` and ``Snapshot.view`` run the ranking when they are called and
+leave its lineage cut in the shared folder; call and consume them inside
+``session.lineage_scope(spark)``, which releases the cut, or publish the board with
+``refresh_leaderboard_table`` and read the table.
 """
 
 from __future__ import annotations
@@ -49,8 +53,11 @@ class Workshop:
 
     def sync_users(self, pages: DataFrame, missing_active: bool = False) -> str:
         """Ingest directory pages and MERGE them into the roster; returns the new version path."""
-        source = R.ingest_directory(pages, missing_active=missing_active)
-        return TB.replace_contents(R.upsert(self.users(), source), self.users_table)
+        source = R.ingest_directory(pages, missing_active=missing_active)   # one row per user
+        if TB.has_row_level_operations(self.spark, self.users_table):
+            TB.native_merge(source, self.users_table, "user_id", ["email", "display_name", "user_name"])
+            return TB.table_location(self.spark, self.users_table)
+        return TB.rewrite(self.spark, self.users_table, lambda users: R.upsert(users, source, source_is_unique=True))
 
     def is_user_eligible(self, email: str) -> bool:
         return bool(R.eligibility(self.users(), email).first()["eligible"])
@@ -132,10 +139,9 @@ class Snapshot:
             return TB.replace_contents(P.participants_seed(src), self.table)
 
     def add_points(self, increments: DataFrame) -> str:
-        """Apply ``(email, points)`` increments and publish the new version."""
-        snap = self.spark.table(self.table)
-        with lineage_scope(self.spark):
-            return TB.replace_contents(P.apply_increments(snap, increments), self.table)
+        """Apply ``(email, points)`` increments and publish the new version; if another writer came
+        first, they are applied to what it left."""
+        return TB.rewrite(self.spark, self.table, lambda snap: P.apply_increments(snap, increments))
 
     def view(self) -> DataFrame:
         return P.leaderboard_view(self.spark.table(self.table))

@@ -9,7 +9,6 @@ from .. import constants as K
 from .. import schemas as S
 from ..functions import feedback_text, grade_points, normalize_answer
 from ..sources.literal import literal_frame
-from .joins import broadcast_if_small
 
 
 def question_bank(spark: SparkSession, rows=None) -> DataFrame:
@@ -26,9 +25,16 @@ def valid_submissions(responses: DataFrame) -> DataFrame:
 
 
 def answer_key(bank: DataFrame) -> DataFrame:
-    """``question_id -> correct_answer`` plus its normalised form, computed once per question."""
-    return bank.select(F.col("id").cast("int").alias("question_id"), "correct_answer",
-                       normalize_answer("correct_answer").alias("_correct_norm"))
+    """``question_id -> correct_answer`` plus its normalised form, computed once per question.
+
+    A question id that occurs twice raises when the key is used: it would grade answers twice.
+    """
+    one = (bank.groupBy(F.col("id").cast("int").alias("question_id"))
+               .agg(F.count(F.lit(1)).alias("_n"), F.min("correct_answer").alias("correct_answer")))
+    twice = F.raise_error(F.concat(F.lit("question id occurs more than once in the bank: "), F.col("question_id")))
+    one = one.select("question_id", F.when(F.col("_n") > 1, twice.cast("string"))
+                     .otherwise(F.col("correct_answer")).alias("correct_answer"))
+    return one.withColumn("_correct_norm", normalize_answer("correct_answer"))
 
 
 def assign_response_ids(responses: DataFrame, col: str = "response_id") -> DataFrame:
@@ -52,14 +58,13 @@ def grade(responses: DataFrame, bank: DataFrame | None, points: int = K.POINTS_P
           key: DataFrame | None = None) -> DataFrame:
     """Attach ``correct_answer`` and ``points_earned`` to each response.
 
-    A response log has very few distinct question ids, so a shuffled join on
-    ``question_id`` would put a whole question's answers in one task.  The answer
-    key is therefore broadcast, after its row count is checked.  ``key`` may be
-    passed pre-checked (streams reuse it).  Responses to unknown questions are
-    dropped, as the reference cannot submit them.
+    No hint is given: the planner broadcasts the answer key while its estimated or
+    measured size is under the session's threshold, and beyond it AQE splits the few
+    hot question ids of a shuffled join.  ``key`` may be passed ready-made.  Responses
+    to questions that the bank lacks have no grade; ``ungraded`` returns them.
     """
     if key is None:
-        key = broadcast_if_small(answer_key(bank))
+        key = answer_key(bank)
     base = responses.drop("correct_answer", "points_earned")
     return (base.join(key, "question_id", "inner")
                 .withColumn("points_earned",
@@ -67,6 +72,11 @@ def grade(responses: DataFrame, bank: DataFrame | None, points: int = K.POINTS_P
                 .drop("_correct_norm"))
 
 
+def ungraded(responses: DataFrame, bank: DataFrame) -> DataFrame:
+    """The responses that ``grade`` has no answer for: their question is not in the bank (or NULL)."""
+    return responses.join(bank.select(F.col("id").cast("int").alias("question_id")), "question_id", "left_anti")
+
+
 def answer_feedback(graded: DataFrame) -> DataFrame:
     """Feedback text (exact comparison) next to the normalised grade.
 

@@ -1,68 +1,47 @@
-"""Join helpers: size-checked broadcast and null-key splitting."""
+"""A left join that survives hot and NULL keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast explicitly only after counting at most this many rows.
-BROADCAST_MAX_ROWS = 1_000_000
 
+def hot_share(df: DataFrame) -> int:
+    """A key is hot from one ``hot_share``-th of the rows on: a quarter of an even shuffle partition."""
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                       known_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
 
-    ``known_rows`` is an upper bound the caller already holds (a literal table);
-    otherwise the check reads at most ``max_rows + 1`` rows.  Beyond the bound the join is
-    left to the planner (sort-merge, or AQE's runtime broadcast by measured size,
-    with AQE skew splitting).
-    """
-    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-# A left key with at least this many rows is "hot": its rows are salted over
-# ceil(rows / HOT_KEY_ROWS) reducers.  There are at most N / HOT_KEY_ROWS hot keys;
-# the broadcast hot-key table is further capped at MAX_HOT_KEYS (the hottest
-# ones, in a deterministic order).  A hot key left out is joined unsalted, so
-# the cap bounds the broadcast without changing any result.
-HOT_KEY_ROWS = 1_000_000
-MAX_HOT_KEYS = 100_000
-
-
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """``(_hk, _hs)``: keys of ``df`` with at least ``hot_rows`` rows and their salt count.
+def hot_keys(df: DataFrame, key: str, share: int | None = None) -> DataFrame:
+    """``(_hk, _hs)``: the keys that hold at least one ``share``-th of the non-NULL rows, and over how
+    many reducers (``_hs``) each is to be spread.  There can be at most ``share`` of them.
 
-    A partial aggregation on one column; at most ``rows / hot_rows`` results.
+    One partial aggregation on one column.
     """
-    return (df.where(F.col(key).isNotNull())
-              .groupBy(F.col(key).alias("_hk")).agg(F.count(F.lit(1)).alias("_hn"))
-              .where(F.col("_hn") >= hot_rows)
-              .select("_hk", F.ceil(F.col("_hn") / F.lit(hot_rows)).cast("int").alias("_hs")))
+    share = share or hot_share(df)
+    counts = (df.where(F.col(key).isNotNull())
+                .groupBy(F.col(key).alias("_hk")).agg(F.count(F.lit(1)).alias("_hn")))
+    parts = F.col("_hn") * share / counts.agg(F.sum("_hn")).scalar()
+    return counts.where(parts >= 1).select("_hk", F.ceil(parts).cast("int").alias("_hs"))
 
 
 def left_join_skew_safe(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                        hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Left outer equi-join that survives a hot left key and many NULL keys.
+                        share: int | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """Left outer equi-join that survives hot left keys and many NULL keys.
 
     ``right`` should hold one row per key (e.g. an aggregate).  AQE cannot split
     a skewed partition when the right side comes straight out of an aggregate,
     so hot keys are salted explicitly.  The join keys are ``(key, salt)``:
 
-    * hot keys of ``left`` (``hot_keys``, at most ``MAX_HOT_KEYS`` of them in a
-      deterministic order, broadcast) get ``ceil(rows / hot_rows)`` salts; each
-      left row takes ``row_hash % salts`` and each matching right row is
-      replicated once per salt;
+    * every hot key of ``left`` (``hot_keys``: at most ``share`` keys, so the
+      broadcast is bounded by construction) is spread over salts in proportion to its
+      rows; each matching right row is replicated once per salt;
     * a NULL key never matches, so its rows take the whole row hash as salt:
       they scatter over all partitions instead of piling onto one reducer.
 
-    Results equal a plain left join.
+    ``hot`` may be passed when the statistics are at hand.  Results equal a plain left join.
     """
     lk = F.col(left_key)
-    hot = F.broadcast(hot_keys(left, left_key, hot_rows)
-                      .orderBy(F.col("_hs").desc(), F.col("_hk").asc())
-                      .limit(MAX_HOT_KEYS))
+    hot = F.broadcast(hot if hot is not None else hot_keys(left, left_key, share))
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
     flagged = left.join(hot, lk == F.col("_hk"), "left")
     salt = (F.when(lk.isNull(), row_hash)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import answered_label, is_complete, medal, progress_label, progress_pct, row_class, tier
 from .joins import left_join_skew_safe
+from ..sources.literal import literal_frame
 from .rank import global_row_number, global_row_number_with_cut, rank_window, top_k
 
 
@@ -114,6 +115,17 @@ def sorted_by(board: DataFrame, by: str, ascending: bool = True,
     return global_row_number(board, [first, F.col("user_id").asc()], "position", num_partitions)
 
 
+def user_scores(graded: DataFrame, user_ids: list[str]) -> DataFrame:
+    """``(user_id, total_points)`` of a few users, 0 for those without responses, from one scan.
+
+    Where the log keeps ids in another type, filter it on that type first: a predicate on a
+    cast column does not reach the scan."""
+    totals = score_totals(graded.where(F.col("user_id").isin(user_ids)))
+    wanted = literal_frame(graded.sparkSession, [(u,) for u in user_ids], "user_id string")
+    return wanted.join(totals, "user_id", "left").select(
+        "user_id", F.coalesce("total_points", F.lit(0)).cast("long").alias("total_points"))
+
+
 def user_score(graded: DataFrame, user_id: str) -> DataFrame:
     """One row ``(user_id, total_points)``; 0 when the user has no responses."""
     mine = graded.where(F.col("user_id") == F.lit(user_id))

@@ -17,9 +17,14 @@ one task.  ``global_row_number`` instead:
    partition count, not by the data), turns the counts into prefix offsets, and
    broadcasts that tiny table back: ``rank = offset(p) + position + 1``.
 
-Top-k needs none of this: ``orderBy(...).limit(k)`` plans as
-TakeOrderedAndProject (a k-row heap per task), and numbering k rows is bounded
-by k.  ``rank_window`` chooses between the two.
+Step 3 is a write: these functions run a job when they are called and leave the
+cut in the shared folder for the readers of the result.  Call them inside
+``session.lineage_scope`` and consume the result there; the scope releases the cut.
+
+The first few rows need none of this: ``orderBy(...).limit(k)`` plans as
+TakeOrderedAndProject (a k-row heap per task).  ``top_k`` does that for a display
+limit and refuses a larger one; any other range of positions is a filter on the
+distributed rank (``rank_window``).
 """
 
 from __future__ import annotations
@@ -34,9 +39,8 @@ from ..session import cut_lineage, shared_path
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
 
-# Above this many rows a "first rows" request goes through the full global rank
-# instead of the bounded top-k heap.
-TOPK_MAX_ROWS = 100_000
+# The most rows a display may ask for at once: they are numbered in one task.
+DISPLAY_MAX = 10_000
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column], out_col: str = "rank",
@@ -80,19 +84,15 @@ def global_row_number_with_cut(df: DataFrame, order: Sequence[Column], out_col:
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int, out_col: str = "rank") -> DataFrame:
     """The first ``k`` rows of ``order``, numbered 1..k (the limit is the feature)."""
+    if k > DISPLAY_MAX:
+        raise ValueError(f"at most {DISPLAY_MAX} rows can be displayed; for more use rank_window")
     head = df.orderBy(*order).limit(k)
     return head.withColumn(out_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def rank_window(df: DataFrame, order: Sequence[Column], first: int, last: int,
                 out_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
-    """Rows whose 1-based position in ``order`` lies in ``[first, last]``.
-
-    Near the top this is a bounded top-``last`` heap; deep windows use the
-    distributed global rank and a filter.  Both are exact.
-    """
-    if last <= TOPK_MAX_ROWS:
-        ranked = top_k(df, order, last, out_col)
-    else:
-        ranked = global_row_number(df, order, out_col, num_partitions)
+    """Rows whose 1-based position in ``order`` lies in ``[first, last]``: a filter on the
+    distributed rank, wherever the range lies."""
+    ranked = global_row_number(df, order, out_col, num_partitions)
     return ranked.where((F.col(out_col) >= first) & (F.col(out_col) <= last))

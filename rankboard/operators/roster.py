@@ -129,18 +129,21 @@ def contains_demo_rows(df: DataFrame) -> DataFrame:
 
 def upsert(target: DataFrame, source: DataFrame, key: str = "user_id",
            update_cols=("email", "display_name", "user_name"),
-           created_col: str = "created_at", order_col: str | None = None) -> DataFrame:
+           created_col: str = "created_at", order_col: str | None = None,
+           source_is_unique: bool = False) -> DataFrame:
     """Set-based MERGE: matched keys take the source's ``update_cols``; new keys are
     inserted with ``created_col`` = now; target rows absent from the source stay.
 
     The source is reduced to one row per key first (a MERGE with two source rows
     for one target row is ambiguous): the last by ``order_col`` when given (the
-    reference merges row by row, so its last row wins), else the greatest.  That
-    aggregation is hash-partitioned on the key, which the full outer join reuses.
+    reference merges row by row, so its last row wins), else the greatest.  With
+    ``source_is_unique`` (an ingest that has been reduced already, a primary key) that
+    aggregate is left out.
     """
     cols = [key, *update_cols]
     src_cols = cols + ([order_col] if order_col else [])
-    src = dedupe_by_key(source.select(*src_cols), key, order_col).withColumn("_in_src", F.lit(True))
+    src = source.select(*cols) if source_is_unique else dedupe_by_key(source.select(*src_cols), key, order_col)
+    src = src.withColumn("_in_src", F.lit(True))
     tgt = target.withColumn("_in_tgt", F.lit(True))
     s = src.alias("s")
     t = tgt.alias("t")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import first_token, last_token
-from .joins import HOT_KEY_ROWS, left_join_skew_safe
-from .rank import global_row_number
+from .joins import left_join_skew_safe
+from .rank import global_row_number, rank_window, top_k
 from .roster import label_status
 
 
@@ -20,12 +20,22 @@ def participants_seed(roster: DataFrame, num_partitions: int | None = None,
     rows keep their list order (their ids sort in that order).  The seed rank is
     never recomputed afterwards; the viewer uses it only to break score ties.
     """
-    df = label_status(roster)
+    return _seed_columns(global_row_number(label_status(roster), _seed_order(), "_seed_rank", num_partitions),
+                         with_timestamp)
+
+
+def participants_top(roster: DataFrame, n: int = K.DISPLAY_LIMIT, with_timestamp: bool = True) -> DataFrame:
+    """The first ``n`` participants in seed order (the display limit of the participants list)."""
+    return _seed_columns(top_k(label_status(roster), _seed_order(), n, "_seed_rank"), with_timestamp)
+
+
+def _seed_order():
     is_demo = F.col("status_label") != F.lit(K.STATUS_ACTIVE_LABEL)
-    order = [F.when(is_demo, F.col("user_id")).otherwise(F.col("user_name")).asc_nulls_last(),
-             F.col("user_id").asc()]
+    return [F.when(is_demo, F.col("user_id")).otherwise(F.col("user_name")).asc_nulls_last(), F.col("user_id").asc()]
+
+
+def _seed_columns(seeded: DataFrame, with_timestamp: bool) -> DataFrame:
     active = F.col("status_label") == F.lit(K.STATUS_ACTIVE_LABEL)
-    seeded = global_row_number(df, order, "_seed_rank", num_partitions)
     cols = [F.col("user_id").alias("participant_id"),
             F.col("_seed_rank").cast("int").alias("rank"),
             "display_name", "email", F.col("user_name").alias("username"),
@@ -44,7 +54,7 @@ def score_deltas(increments: DataFrame) -> DataFrame:
 
 
 def apply_increments(snapshot: DataFrame, increments: DataFrame,
-                     hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                     share: int | None = None) -> DataFrame:
     """Bulk form of ``UPDATE t SET score = score + p WHERE email = e``.
 
     Every snapshot row with that email gets the summed increments; rank and
@@ -53,7 +63,7 @@ def apply_increments(snapshot: DataFrame, increments: DataFrame,
     without an email are scattered (``joins.left_join_skew_safe``).
     """
     deltas = score_deltas(increments)
-    joined = left_join_skew_safe(snapshot, deltas, "email", "email", hot_rows)
+    joined = left_join_skew_safe(snapshot, deltas, "email", "email", share)
     score = (F.col("score") + F.coalesce(F.col("_delta"), F.lit(0))).cast("int")
     return joined.withColumn("score", score).select(*snapshot.columns)
 
@@ -62,10 +72,36 @@ def viewer_order():
     return [F.col("score").desc(), F.col("rank").asc(), F.col("participant_id").asc()]
 
 
+def view_rows(snapshot: DataFrame) -> DataFrame:
+    """The viewer's rows with the keys that order them; no position yet."""
+    return snapshot.select("participant_id", "rank", first_token("display_name").alias("first_name"),
+                           last_token("display_name").alias("last_name"), "email", "score")
+
+
+VIEW_COLUMNS = ["position", "first_name", "last_name", "email", "score"]
+
+
 def leaderboard_view(snapshot: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """Viewer rows ``first_name, last_name, email, score`` with their ``position``."""
-    pos = global_row_number(snapshot, viewer_order(), "position", num_partitions)
-    return pos.select("position",
-                      first_token("display_name").alias("first_name"),
-                      last_token("display_name").alias("last_name"),
-                      "email", "score")
+    return global_row_number(view_rows(snapshot), viewer_order(), "position", num_partitions).select(*VIEW_COLUMNS)
+
+
+def view_sorted(snapshot: DataFrame, by: str, ascending: bool = True,
+                num_partitions: int | None = None) -> DataFrame:
+    """The view re-sorted on any of its columns (NULLs last, then the viewer's own order)."""
+    first = F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last()
+    return global_row_number(view_rows(snapshot), [first, *viewer_order()], "position",
+                             num_partitions).select(*VIEW_COLUMNS)
+
+
+def view_page(snapshot: DataFrame, page_no: int, page_size: int = K.PAGE_SIZE,
+              num_partitions: int | None = None) -> DataFrame:
+    """Page ``page_no`` (1-based) of the view."""
+    rows = rank_window(view_rows(snapshot), viewer_order(), (page_no - 1) * page_size + 1, page_no * page_size,
+                       "position", num_partitions)
+    return rows.select(*VIEW_COLUMNS, F.lit(page_no).alias("page"))
+
+
+def highlighted(view: DataFrame) -> DataFrame:
+    """The view with its first rows marked."""
+    return view.withColumn("highlight", F.col("position") <= F.lit(K.HIGHLIGHT_TOP))

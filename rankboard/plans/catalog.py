@@ -19,8 +19,7 @@ from ..operators import grading as G
 from ..operators import leaderboard as L
 from ..operators import roster as R
 from ..operators import snapshot as P
-from ..operators.joins import broadcast_if_small
-from ..session import ensure_checkpoint_dir, shared_path
+from ..session import cut_lineage, ensure_checkpoint_dir, lineage_scope, shared_path
 from ..sources import directory as D
 from ..sources import tables as TB
 from ..streaming import jobs as ST
@@ -41,14 +40,9 @@ def _roster(spark, sf):
     return I.roster(_t(spark, sf, "customer"))
 
 
-def _quiz_key(spark):
-    """The quiz's answer key, broadcast: a literal of ``len(EVENT_QUIZ)`` rows."""
-    return broadcast_if_small(G.answer_key(I.quiz_bank(spark)), known_rows=len(I.EVENT_QUIZ))
-
-
 def _graded(spark, sf, responses=None):
     r = responses if responses is not None else I.responses(_t(spark, sf, "events"))
-    return G.grade(G.valid_submissions(r), None, key=_quiz_key(spark))
+    return G.grade(G.valid_submissions(r), I.quiz_bank(spark))
 
 
 def _board(spark, sf, keep_key=True):
@@ -83,6 +77,12 @@ def q_roster_active_lenient(spark, sf):
     return R.flatten_users(users, missing_active=True)
 
 
+def q_roster_ingest_lenient(spark, sf):
+    """The second directory client's defaults: missing flag = active, missing email = ''."""
+    pages = D.read_directory_pages(spark, _export(spark, sf))
+    return R.ingest_directory(pages, missing_active=True, missing_email="")
+
+
 def q_roster_counts(spark, sf):
     users = R.directory_users(D.read_directory_pages(spark, _export(spark, sf)))
     return R.roster_counts(users)
@@ -94,8 +94,8 @@ def q_roster_upsert(spark, sf):
     table = _unique("rb_roster")
     TB.create_roster_table(spark, table, shared_path(spark, "tables", table, "v0", unique=False))
     TB.insert(_roster(spark, sf), table, S.ROSTER_COLUMNS)
-    merged = R.upsert(spark.table(table), I.update_batch(_t(spark, sf, "customer")))
-    TB.replace_contents(merged, table)
+    source = I.update_batch(_t(spark, sf, "customer"))   # one row per key: c_custkey is unique
+    TB.rewrite(spark, table, lambda roster: R.upsert(roster, source, source_is_unique=True))
     return spark.table(table).select(*S.ROSTER_COLUMNS)
 
 
@@ -135,6 +135,26 @@ def q_grade_responses(spark, sf):
     return _graded(spark, sf).select(*GRADED_COLUMNS)
 
 
+def q_grade_with_blanks(spark, sf):
+    """Grading behind the submission guard: NULL and empty answers are not stored."""
+    return _graded(spark, sf, I.responses_with_blanks(_t(spark, sf, "events"))).select(*GRADED_COLUMNS)
+
+
+def q_ungraded_responses(spark, sf):
+    """What a bank that lacks some questions cannot grade."""
+    valid = G.valid_submissions(I.responses(_t(spark, sf, "events")))
+    return G.ungraded(valid, I.narrow_bank(spark)).select("response_id", "user_id", "question_id", "user_answer")
+
+
+def q_response_ids(spark, sf):
+    """Generated response ids, written once and read back: how many, how many different, all well-formed."""
+    rows = G.assign_response_ids(I.responses(_t(spark, sf, "events")).drop("response_id")).select("response_id")
+    held = cut_lineage(rows, "response_ids")
+    well = F.col("response_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    return held.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("response_id").alias("n_ids"),
+                    F.bool_and(well).alias("well_formed"))
+
+
 def q_submit_append(spark, sf):
     """Grade, append to the response table (created idempotently), read the table back."""
     ensure_checkpoint_dir(spark)
@@ -150,11 +170,11 @@ def q_answer_feedback(spark, sf):
 
 
 def q_question_options(spark, sf):
-    return G.question_options(I.quiz_bank_in_use(spark, _t(spark, sf, "events")))
+    return G.question_options(I.nation_bank(_t(spark, sf, "nation"), _t(spark, sf, "region")))
 
 
 def q_max_score(spark, sf):
-    return G.max_score(I.quiz_bank_in_use(spark, _t(spark, sf, "events")))
+    return G.max_score(I.nation_bank(_t(spark, sf, "nation"), _t(spark, sf, "region")))
 
 
 # --- response-sum leaderboard ---------------------------------------------------------
@@ -184,6 +204,12 @@ def q_leaderboard_page(spark, sf):
     return L.page(_board(spark, sf), 2, K.PAGE_SIZE).select(*PODIUM_COLUMNS, "page")
 
 
+def q_leaderboard_page_last(spark, sf):
+    """The last page, by the same path as any other."""
+    last = -(-_roster(spark, sf).count() // K.PAGE_SIZE)
+    return L.page(_board(spark, sf), last, K.PAGE_SIZE).select(*PODIUM_COLUMNS, "page")
+
+
 def q_leaderboard_progress(spark, sf):
     n = len(I.EVENT_QUIZ)
     return L.progress(_board(spark, sf), n * K.POINTS_PER_QUESTION, n)
@@ -194,8 +220,10 @@ def q_leaderboard_sorted(spark, sf):
 
 
 def q_user_score(spark, sf):
-    g = _graded(spark, sf)
-    return L.user_score(g, I.PROBE_USER).unionByName(L.user_score(g, I.ABSENT_USER))
+    users = [I.PROBE_USER, I.ABSENT_USER]
+    numbers = [int(u) for u in users if u.isdigit()]   # the log's own type
+    events = _t(spark, sf, "events").where(F.col("user_id").isin(numbers))
+    return L.user_scores(_graded(spark, sf, I.responses(events)), users)
 
 
 def q_participant_count(spark, sf):
@@ -212,18 +240,36 @@ def q_participants_seed(spark, sf):
     return _seed(spark, sf)
 
 
-def q_snapshot_refresh(spark, sf):
-    """Create the snapshot table, fully refresh it from the seed, read it back."""
+def q_participants_seed_demo(spark, sf):
+    """An empty roster seeds the substituted demo participants: inactive, in list order."""
+    roster = R.with_defaults(R.label_status(_empty_roster(_roster(spark, sf))), R.demo_participants(spark))
+    return P.participants_seed(roster, with_timestamp=False)
+
+
+def q_participants_top200(spark, sf):
+    """The participants list as displayed: the first rows in userName order."""
+    return P.participants_top(_roster(spark, sf), K.DISPLAY_LIMIT, with_timestamp=False)
+
+
+def _stored_snapshot(spark, sf) -> str:
+    """A snapshot table, refreshed from the seed; the rank's cut is released once it is stored."""
     ensure_checkpoint_dir(spark)
     table = _unique("rb_snapshot")
     TB.create_snapshot_table(spark, table, shared_path(spark, "tables", table, "v0", unique=False))
-    TB.replace_contents(_seed(spark, sf, with_timestamp=True), table)
-    return spark.table(table).select(*SEED_COLUMNS)
+    with lineage_scope(spark):
+        TB.replace_contents(_seed(spark, sf, with_timestamp=True), table)
+    return table
+
+
+def q_snapshot_refresh(spark, sf):
+    """Create the snapshot table, fully refresh it from the seed, read it back."""
+    return spark.table(_stored_snapshot(spark, sf)).select(*SEED_COLUMNS)
 
 
 def _incremented(spark, sf):
-    roster = _roster(spark, sf)
-    return P.apply_increments(_seed(spark, sf), I.increments(_t(spark, sf, "events"), roster))
+    """The stored snapshot with the increments applied."""
+    snapshot = spark.table(_stored_snapshot(spark, sf))
+    return P.apply_increments(snapshot, I.increments(_t(spark, sf, "events"), _roster(spark, sf)))
 
 
 def q_score_increment(spark, sf):
@@ -234,6 +280,30 @@ def q_leaderboard_view(spark, sf):
     return P.leaderboard_view(_incremented(spark, sf))
 
 
+def q_view_sorted(spark, sf):
+    return P.view_sorted(_incremented(spark, sf), "last_name", ascending=False)
+
+
+def q_view_page(spark, sf):
+    return P.view_page(_incremented(spark, sf), 2, K.PAGE_SIZE)
+
+
+def q_view_highlight(spark, sf):
+    return P.highlighted(P.leaderboard_view(_incremented(spark, sf)))
+
+
+def q_namespace_roundtrip(spark, sf):
+    """Write the roster through a namespace that is ensured twice, and read it back by its full name."""
+    ensure_checkpoint_dir(spark)
+    space = _unique("rb_space")
+    TB.ensure_namespace(spark, space)
+    TB.ensure_namespace(spark, space)
+    table = f"{space}.eligible_users"
+    TB.create_roster_table(spark, table, shared_path(spark, "tables", space, "v0", unique=False))
+    TB.insert(_roster(spark, sf), table, S.ROSTER_COLUMNS)
+    return spark.table(table).select(*S.ROSTER_COLUMNS)
+
+
 # --- scalar functions ----------------------------------------------------------------
 
 def q_name_split(spark, sf):
@@ -291,12 +361,13 @@ def q_stream_leaderboard(spark, sf):
     graded = ST.graded_stream(I.responses(events), bank)
     board = ST.refresh_now(graded, _roster(spark, sf), _unique("rb_totals"), _unique("rb_board"),
                            root, f"{root}/checkpoint")
-    return board.select(*S.LEADERBOARD_COLUMNS)
+    return board.select(*PODIUM_COLUMNS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "leaderboard": q_leaderboard,
     "roster_ingest": q_roster_ingest,
+    "roster_ingest_lenient": q_roster_ingest_lenient,
     "roster_active_strict": q_roster_active_strict,
     "roster_active_lenient": q_roster_active_lenient,
     "roster_counts": q_roster_counts,
@@ -308,6 +379,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rejected_logins": q_rejected_logins,
     "valid_submissions": q_valid_submissions,
     "grade_responses": q_grade_responses,
+    "grade_with_blanks": q_grade_with_blanks,
+    "ungraded_responses": q_ungraded_responses,
+    "response_ids": q_response_ids,
     "submit_append": q_submit_append,
     "stream_grade": q_stream_grade,
     "answer_feedback": q_answer_feedback,
@@ -320,13 +394,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "leaderboard_top200": q_leaderboard_top200,
     "leaderboard_top20": q_leaderboard_top20,
     "leaderboard_page": q_leaderboard_page,
+    "leaderboard_page_last": q_leaderboard_page_last,
     "leaderboard_sorted": q_leaderboard_sorted,
     "user_score": q_user_score,
     "participant_count": q_participant_count,
     "participants_seed": q_participants_seed,
+    "participants_seed_demo": q_participants_seed_demo,
+    "participants_top200": q_participants_top200,
+    "namespace_roundtrip": q_namespace_roundtrip,
     "snapshot_refresh": q_snapshot_refresh,
     "score_increment": q_score_increment,
     "leaderboard_view": q_leaderboard_view,
+    "view_sorted": q_view_sorted,
+    "view_page": q_view_page,
+    "view_highlight": q_view_highlight,
     "name_split": q_name_split,
     "id_truncate": q_id_truncate,
     "demo_flag": q_demo_flag,

@@ -28,6 +28,8 @@ NAME_EDGES = ["", "Ann", "Ann ", " Ann", None]
 TABLE_SCHEMAS = {
     "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
     "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
 }
 
@@ -114,11 +116,19 @@ def quiz_bank(spark: SparkSession) -> DataFrame:
     return literal_frame(spark, rows, S.QUESTION_BANK)
 
 
-def quiz_bank_in_use(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """The quiz restricted to event types that occur in ``events`` (what the log can answer)."""
-    present = events.select(F.col("event_type").alias("correct_answer")).distinct()
-    return quiz_bank(spark).join(present, "correct_answer", "left_semi").select(
-        *[f.name for f in S.QUESTION_BANK.fields])
+def nation_bank(nation: DataFrame, region: DataFrame) -> DataFrame:
+    """A question bank from tables: one question per nation, the regions as its options, its own as the answer."""
+    options = region.agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("o")).select(
+        F.transform("o", lambda r: r["r_name"])).scalar()
+    return (nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
+                  .select((F.col("n_nationkey") + 1).cast("int").alias("id"),
+                          F.concat(F.lit("Which region is "), "n_name", F.lit(" in?")).alias("question"),
+                          options.alias("options"), F.col("r_name").alias("correct_answer")))
+
+
+def narrow_bank(spark: SparkSession) -> DataFrame:
+    """The event quiz without its last two questions, which the responses still answer."""
+    return quiz_bank(spark).where(F.col("id") <= 3)
 
 
 def logins(customer: DataFrame) -> DataFrame:

@@ -7,8 +7,11 @@ groups, so it also checks our aggregate-before-join rewrite).
 
 from __future__ import annotations
 
+from .. import constants as K
 from .inputs import ABSENT_USER, PROBE_EMAIL, PROBE_USER
 
+DEMO = ", ".join("(" + ", ".join(f"'{v}'" for v in row) + f", '{K.STATUS_DEMO_LABEL}')" for row in K.DEMO_PARTICIPANTS)
+
 DIR = """dir AS (
   SELECT c_custkey,
          CAST(c_custkey AS VARCHAR) AS user_id,
@@ -35,16 +38,23 @@ BANK = """bank AS (
   SELECT id, correct_answer
   FROM (VALUES (1, 'view'), (2, 'signup'), (3, 'error'), (4, 'click'), (5, 'purchase')) b(id, correct_answer))"""
 
-BANK_IN_USE = """bank AS (
-  SELECT id, correct_answer
-  FROM (VALUES (1, 'view'), (2, 'signup'), (3, 'error'), (4, 'click'), (5, 'purchase')) b(id, correct_answer)
-  WHERE correct_answer IN (SELECT event_type FROM events))"""
+NATION_BANK = """bank AS (
+  SELECT n_nationkey + 1 AS id, r_name AS correct_answer
+  FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
-GRADED = """graded AS (
+BLANKS = """blanks AS (
+  SELECT response_id, user_id, question_id, event_id,
+         CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '' ELSE user_answer END AS user_answer
+  FROM responses)"""
+
+GUARD = "r.user_answer IS NOT NULL AND r.user_answer <> '' AND r.user_id IS NOT NULL"
+
+GRADED = f"""graded AS (
   SELECT r.response_id, r.user_id, r.question_id, r.user_answer, b.correct_answer,
          CAST(CASE WHEN lower(trim(r.user_answer)) = lower(trim(b.correct_answer)) THEN 10 ELSE 0 END
               AS INTEGER) AS points_earned
-  FROM responses r JOIN bank b ON r.question_id = b.id)"""
+  FROM responses r JOIN bank b ON r.question_id = b.id
+  WHERE {GUARD})"""
 
 BOARD = """board AS (
   SELECT u.user_id, u.display_name, u.email,
@@ -67,8 +77,15 @@ SEED = """seed AS (
   SELECT user_id AS participant_id,
          CAST(row_number() OVER (ORDER BY user_name ASC NULLS LAST, user_id ASC) AS INTEGER) AS rank,
          display_name, email, user_name AS username,
-         true AS is_active, 'Active' AS status, CAST(0 AS INTEGER) AS score
-  FROM roster)"""
+         label = 'Active' AS is_active, CASE WHEN label = 'Active' THEN 'Active' ELSE 'Inactive' END AS status,
+         CAST(0 AS INTEGER) AS score
+  FROM labelled)"""
+
+LABELLED = """labelled AS (SELECT *, 'Active' AS label FROM roster)"""
+
+VIEW = """view AS (
+  SELECT *, string_split(display_name, ' ')[1] AS first_name, string_split(display_name, ' ')[-1] AS last_name
+  FROM incremented)"""
 
 DELTAS = """deltas AS (
   SELECT u.email, SUM(10) AS delta
@@ -117,6 +134,9 @@ RESP_EMAIL = """resp_email AS (
 SQL: dict[str, str] = {
     "roster_ingest": with_(DIR) + """
 SELECT user_id, email, display_name, user_name FROM dir WHERE coalesce(active, false)""",
+    "roster_ingest_lenient": with_(DIR) + """
+SELECT user_id, coalesce(email, '') AS email, display_name, user_name FROM dir WHERE coalesce(active, true)""",
+    "namespace_roundtrip": with_(DIR, ROSTER) + "SELECT * FROM roster",
     "roster_active_strict": with_(DIR) + """
 SELECT user_id, email, display_name, user_name FROM dir WHERE coalesce(active, false)""",
     "roster_active_lenient": with_(DIR) + """
@@ -160,6 +180,11 @@ SELECT response_id, user_id, question_id, user_answer FROM (
   FROM responses) x
 WHERE user_answer IS NOT NULL AND user_answer <> '' AND user_id IS NOT NULL""",
     "grade_responses": with_(*BASE) + "SELECT * FROM graded",
+    "grade_with_blanks": with_(DIR, ROSTER, RESPONSES, BLANKS, BANK, GRADED.replace("FROM responses r", "FROM blanks r"))
+    + "SELECT * FROM graded",
+    "ungraded_responses": with_(RESPONSES) + f"""
+SELECT response_id, user_id, question_id, user_answer FROM responses r WHERE question_id > 3 AND {GUARD}""",
+    "response_ids": "SELECT count(*) AS n_rows, count(*) AS n_ids, true AS well_formed FROM events",
     "submit_append": with_(*BASE) + "SELECT * FROM graded",
     "stream_grade": with_(*BASE) + "SELECT * FROM graded",
     "answer_feedback": with_(*BASE) + """
@@ -169,13 +194,10 @@ SELECT *,
        coalesce(user_answer = correct_answer, false) AS exact_match,
        (points_earned > 0) <> coalesce(user_answer = correct_answer, false) AS disagrees
 FROM graded""",
-    "question_options": with_(BANK_IN_USE) + """
-SELECT id AS question_id, CAST(pos AS INTEGER) AS pos, option, option = correct_answer AS is_correct
-FROM (SELECT id, correct_answer,
-             unnest(['view', 'signup', 'error', 'click', 'purchase']) AS option,
-             unnest(range(1, 6)) AS pos
-      FROM bank) x""",
-    "max_score": with_(BANK_IN_USE) + """
+    "question_options": with_(NATION_BANK) + """
+SELECT b.id AS question_id, CAST(o.pos AS INTEGER) AS pos, o.option, o.option = b.correct_answer AS is_correct
+FROM bank b, (SELECT r_name AS option, row_number() OVER (ORDER BY r_regionkey) AS pos FROM region) o""",
+    "max_score": with_(NATION_BANK) + """
 SELECT CAST(count(*) AS BIGINT) AS n_questions, CAST(count(*) * 10 AS BIGINT) AS max_score FROM bank""",
     "leaderboard": with_(*BASE) + """
 SELECT u.display_name, u.email,
@@ -183,12 +205,7 @@ SELECT u.display_name, u.email,
        CAST(COUNT(r.response_id) AS BIGINT) AS questions_answered
 FROM roster u LEFT JOIN graded r ON u.user_id = r.user_id
 GROUP BY u.user_id, u.display_name, u.email""",
-    "stream_leaderboard": with_(*BASE) + """
-SELECT u.display_name, u.email,
-       CAST(COALESCE(SUM(r.points_earned), 0) AS BIGINT) AS total_points,
-       CAST(COUNT(r.response_id) AS BIGINT) AS questions_answered
-FROM roster u LEFT JOIN graded r ON u.user_id = r.user_id
-GROUP BY u.user_id, u.display_name, u.email""",
+    "stream_leaderboard": with_(*BOARD_BASE, RANKED) + f"SELECT {PODIUM} FROM ranked",
     "leaderboard_by_email": with_(*BASE, RESP_EMAIL) + """
 SELECT u.display_name, u.email,
        CAST(COALESCE(SUM(CAST(CASE WHEN lower(trim(r.user_answer)) = lower(trim(b.correct_answer))
@@ -202,6 +219,9 @@ GROUP BY u.user_id, u.display_name, u.email""",
     "leaderboard_top20": with_(*BOARD_BASE, RANKED) + f"SELECT {PODIUM} FROM ranked WHERE rank <= 20",
     "leaderboard_page": with_(*BOARD_BASE, RANKED) + f"""
 SELECT {PODIUM}, 2 AS page FROM ranked WHERE rank BETWEEN 101 AND 200""",
+    "leaderboard_page_last": with_(*BOARD_BASE, RANKED) + f"""
+SELECT {PODIUM}, CAST((SELECT (count(*) + 99) // 100 FROM board) AS INTEGER) AS page
+FROM ranked WHERE (rank - 1) // 100 = (SELECT (count(*) + 99) // 100 - 1 FROM board)""",
     "leaderboard_progress": with_(*BOARD_BASE) + """
 SELECT user_id, display_name, email, total_points, questions_answered,
        CAST(total_points AS DOUBLE) / CAST(50 AS DOUBLE) * CAST(100 AS DOUBLE) AS progress,
@@ -220,15 +240,30 @@ UNION ALL
 SELECT '{ABSENT_USER}', CAST(COALESCE(SUM(points_earned), 0) AS BIGINT)
 FROM graded WHERE user_id = '{ABSENT_USER}'""",
     "participant_count": with_(*BOARD_BASE) + "SELECT CAST(count(*) AS BIGINT) AS participants FROM board",
-    "participants_seed": with_(DIR, ROSTER, SEED) + "SELECT * FROM seed",
-    "snapshot_refresh": with_(DIR, ROSTER, SEED) + "SELECT * FROM seed",
-    "score_increment": with_(DIR, ROSTER, SEED, DELTAS, INCREMENTED) + "SELECT * FROM incremented",
-    "leaderboard_view": with_(DIR, ROSTER, SEED, DELTAS, INCREMENTED) + """
+    "participants_seed_demo": with_(f"""labelled AS (
+  SELECT * FROM (VALUES {DEMO}) d(user_id, display_name, email, user_name, label))""", SEED.replace(
+        "user_name ASC NULLS LAST, user_id ASC", "user_id ASC")) + "SELECT * FROM seed",
+    "participants_top200": with_(DIR, ROSTER, LABELLED, SEED) + "SELECT * FROM seed WHERE rank <= 200",
+    "participants_seed": with_(DIR, ROSTER, LABELLED, SEED) + "SELECT * FROM seed",
+    "snapshot_refresh": with_(DIR, ROSTER, LABELLED, SEED) + "SELECT * FROM seed",
+    "score_increment": with_(DIR, ROSTER, LABELLED, SEED, DELTAS, INCREMENTED) + "SELECT * FROM incremented",
+    "leaderboard_view": with_(DIR, ROSTER, LABELLED, SEED, DELTAS, INCREMENTED) + """
 SELECT row_number() OVER (ORDER BY score DESC, rank ASC, participant_id ASC) AS position,
        string_split(display_name, ' ')[1] AS first_name,
        string_split(display_name, ' ')[-1] AS last_name,
        email, score
 FROM incremented""",
+    "view_sorted": with_(DIR, ROSTER, LABELLED, SEED, DELTAS, INCREMENTED, VIEW) + """
+SELECT row_number() OVER (ORDER BY last_name DESC NULLS LAST, score DESC, rank ASC, participant_id ASC) AS position,
+       first_name, last_name, email, score FROM view""",
+    "view_page": with_(DIR, ROSTER, LABELLED, SEED, DELTAS, INCREMENTED, VIEW) + """
+SELECT * FROM (SELECT row_number() OVER (ORDER BY score DESC, rank ASC, participant_id ASC) AS position,
+                      first_name, last_name, email, score, 2 AS page FROM view) x
+WHERE position BETWEEN 101 AND 200""",
+    "view_highlight": with_(DIR, ROSTER, LABELLED, SEED, DELTAS, INCREMENTED, VIEW) + """
+SELECT *, position <= 3 AS highlight
+FROM (SELECT row_number() OVER (ORDER BY score DESC, rank ASC, participant_id ASC) AS position,
+             first_name, last_name, email, score FROM view) x""",
     "name_split": with_(NAMES) + """
 SELECT name, string_split(name, ' ')[1] AS first_name, string_split(name, ' ')[-1] AS last_name
 FROM names""",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import uuid
 from contextlib import contextmanager
@@ -58,10 +57,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    The folder named by the cluster is used as is.  Only a session with a
-    ``local`` master and nothing set (a test) gets a private temporary folder;
-    on a cluster a machine-local folder would split files across hosts, so an
-    unset folder is an error there.
+    The folder named by the cluster is used as is.  Where none is named, a folder
+    beside the session's tables (``spark.sql.warehouse.dir``, which driver and
+    executors share) is set; never a machine-local temporary one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -69,10 +67,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage "
-                               "(rank lineage cuts, exports, versions and stream state go there)")
-        conf_dir = tempfile.mkdtemp(prefix="rankboard-ckpt-")
+        conf_dir = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rankboard_shared"
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 

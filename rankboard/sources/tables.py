@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,19 +94,31 @@ def table_property(spark: SparkSession, table: str, key: str) -> str | None:
     return rows[0]["value"] if rows else None
 
 
-def publish_version(df: DataFrame, table: str, version_path: str, release_older: bool = True) -> str:
+class ConcurrentRewrite(RuntimeError):
+    """Another writer published the table between this writer's read and its publish."""
+
+
+def publish_version(df: DataFrame, table: str, version_path: str, release_older: bool = True,
+                    read_from: str | None = None) -> str:
     """Write ``df`` to ``version_path`` and repoint ``table`` there.
 
+    ``read_from`` is the location that ``df`` was read from, where it depends on the table's
+    contents: if the table no longer points there when the new version is ready, nothing is
+    published and ``ConcurrentRewrite`` is raised (``rewrite`` retries).
+
     ``df`` may read ``table`` itself (upsert, increment): its files are not
     touched.  Publishing is the last step, so a failed write leaves the table
     on its previous version.  The version being replaced is remembered as the
     previous one; with ``release_older`` the one before it is released.
     """
     spark = df.sparkSession
-    old = table_location(spark, table)
-    old_owned = table_property(spark, table, CURRENT_OWNED) == "true"
     target_cols = spark.table(table).columns
     df.select(*target_cols).write.mode("overwrite").parquet(version_path)
+    old = table_location(spark, table)
+    if read_from is not None and _bare(old) != _bare(read_from):
+        release(spark, version_path)
+        raise ConcurrentRewrite(f"{table} was published at {old} while a rewrite of {read_from} was under way")
+    old_owned = table_property(spark, table, CURRENT_OWNED) == "true"
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{version_path}'")
     spark.sql(f"REFRESH TABLE {table}")
     if _bare(old) != _bare(version_path):
@@ -128,3 +141,42 @@ def new_version_path(spark: SparkSession, table: str) -> str:
 def replace_contents(df: DataFrame, table: str, release_older: bool = True) -> str:
     """Full refresh (the reference's DELETE + batched INSERT) as one new version."""
     return publish_version(df, table, new_version_path(df.sparkSession, table), release_older)
+
+
+def rewrite(spark: SparkSession, table: str, change: Callable[[DataFrame], DataFrame], attempts: int = 5) -> str:
+    """Publish ``change(current contents)`` as a new version; no other writer's version is lost.
+
+    The version that was read is compared with the current one right before publishing; if another
+    writer came first, ``change`` is applied anew to what that writer left.  Retries run over in this
+    driver; between drivers the catalog's ``SET LOCATION`` is the only guard left open, for the
+    moment between comparison and publish (a catalog with row-level operations has none: ``native_merge``).
+    """
+    for attempt in range(attempts):
+        spark.sql(f"REFRESH TABLE {table}")
+        seen = table_location(spark, table)
+        try:
+            return publish_version(change(spark.table(table)), table, new_version_path(spark, table), read_from=seen)
+        except ConcurrentRewrite:
+            if attempt == attempts - 1:
+                raise
+    raise AssertionError("unreachable")
+
+
+#: Table formats whose Spark connector has MERGE and UPDATE.
+ROW_LEVEL_PROVIDERS = frozenset(["delta", "iceberg", "hudi"])
+
+
+def has_row_level_operations(spark: SparkSession, table: str) -> bool:
+    """Whether the table's format takes MERGE and UPDATE itself (atomic there, no version juggling)."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Provider'").collect()
+    return bool(rows) and rows[0]["data_type"].lower() in ROW_LEVEL_PROVIDERS
+
+
+def native_merge(source: DataFrame, table: str, key: str, update_cols: list[str]) -> None:
+    """The format's own MERGE of a source with one row per key: matched rows take ``update_cols``, others are inserted."""
+    on = F.col(f"source.{key}") == F.col(f"{table}.{key}")
+    value = {c: F.col(f"source.{c}") for c in update_cols}
+    (source.alias("source").mergeInto(table, on)
+           .whenMatched().update(value)
+           .whenNotMatched().insert({key: F.col(f"source.{key}"), **value})
+           .merge())

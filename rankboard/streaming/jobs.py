@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.grading import answer_key, grade, valid_submissions
-from ..operators.joins import broadcast_if_small
+from ..operators.grading import grade, valid_submissions
 from ..operators.leaderboard import board_from_totals, podium, score_totals
 from ..operators.leaderboard import ranked_with_cut
 from ..session import STREAMING_CONF, lineage_scope
@@ -95,8 +94,7 @@ def _trigger(writer, trigger: str | None):
 def start_grading(responses: DataFrame, bank: DataFrame, sink_path: str, checkpoint: str,
                   trigger: str | None = None) -> StreamingQuery:
     """T1: grade a response stream and append it to ``sink_path`` (parquet)."""
-    key = broadcast_if_small(answer_key(bank))
-    graded = grade(valid_submissions(responses), bank, key=key)
+    graded = graded_stream(responses, bank)
     w = (graded.writeStream.format("parquet").outputMode("append")
                .option("path", sink_path).option("checkpointLocation", checkpoint))
     return _trigger(w, trigger).start()
@@ -239,6 +237,6 @@ def rebuild_board(spark: SparkSession, roster: DataFrame | str, totals_table: st
 
 
 def graded_stream(responses: DataFrame, bank: DataFrame) -> DataFrame:
-    """Guard and grade a response stream against a (broadcast, size-checked) bank."""
-    return grade(valid_submissions(responses), bank, key=broadcast_if_small(answer_key(bank)))
+    """Guard and grade a response stream; every micro-batch plans its join from the bank's size then."""
+    return grade(valid_submissions(responses), bank)
 

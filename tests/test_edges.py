@@ -1,3 +1,5 @@
+import pytest
+
 from rankboard.operators import grading as G
 from rankboard.operators import leaderboard as L
 from rankboard.operators.rank import global_row_number, top_k
@@ -25,11 +27,25 @@ def test_rank_of_empty_frame(spark):
     assert L.ranked(empty).count() == 0
 
 
-def test_unknown_question_is_not_graded(spark):
+def test_unknown_question_is_not_graded_but_not_lost(spark):
     r = spark.createDataFrame([("r1", "1", 99, "x"), ("r2", "1", 1, "All of the above")],
                               "response_id string, user_id string, question_id int, user_answer string")
     got = [(x["response_id"], x["points_earned"]) for x in G.grade(r, G.question_bank(spark)).collect()]
     assert got == [("r2", 10)]
+    assert [x["response_id"] for x in G.ungraded(r, G.question_bank(spark)).collect()] == ["r1"]
+
+
+def test_question_id_twice_raises(spark):
+    bank = G.question_bank(spark)
+    r = spark.createDataFrame([("r2", "1", 1, "All of the above")],
+                              "response_id string, user_id string, question_id int, user_answer string")
+    with pytest.raises(Exception, match="more than once"):
+        G.grade(r, bank.unionByName(bank.where("id = 1"))).collect()
+
+
+def test_display_limit_is_refused_beyond_its_bound(spark):
+    with pytest.raises(ValueError, match="displayed"):
+        L.top(_board(spark, 3), 5_000_000)
 
 
 def test_sorted_by_puts_nulls_last(spark):

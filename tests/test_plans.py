@@ -48,3 +48,30 @@ def test_ranked_has_no_single_partition_data_exchange(spark):
 def test_grade_scan_prunes_unused_columns(spark):
     ev = _scans(_plan(spark, "grade_responses"), "events")
     assert ev and all("props" not in s and "value:" not in s for s in ev)
+
+
+def test_plans_at_scale_shuffle_on_the_user_key(spark):
+    """With no broadcast at all (both thresholds -1): sort-merge joins, partial aggregates, no single partition."""
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        board = _plan(spark, "leaderboard")
+        assert "SortMergeJoin" in board and "BroadcastHashJoin" not in board and "partial_sum(points_earned" in board
+        assert "SinglePartition" not in board
+        upsert = _plan(spark, "roster_upsert")
+        assert "SinglePartition" not in upsert
+        view = _plan(spark, "leaderboard_view")
+        for i, line in enumerate(view.splitlines()):
+            if "SinglePartition" in line:
+                assert "_rk_pid" in view.splitlines()[i + 1]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_user_score_is_one_pushed_scan(spark):
+    events = _scans(_plan(spark, "user_score"), "events")
+    assert len({e.split("FileScan")[1][:60] for e in events}) == 1 and all("user_id" in e and "[8]" in e.replace("In(user_id, ", "")
+                                                                          or "EqualTo(user_id,8)" in e for e in events)

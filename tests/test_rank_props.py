@@ -3,7 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rankboard.operators.joins import broadcast_if_small, left_join_skew_safe
+from rankboard.operators.joins import hot_keys, left_join_skew_safe
 from rankboard.operators.rank import global_row_number
 
 ROWS = st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2)), min_size=0, max_size=120)
@@ -21,13 +21,24 @@ def test_global_row_number_matches_row_number(spark, rows, parts):
     assert mine == plain
 
 
-def test_broadcast_if_small_falls_back_when_large(spark):
-    df = spark.range(100)
-    small = broadcast_if_small(df, max_rows=1000)
-    large = broadcast_if_small(df, max_rows=10)
-    assert "ResolvedHint" in small._jdf.queryExecution().logical().toString() or \
-        "broadcast" in small._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in large._jdf.queryExecution().analyzed().toString().lower()
+def test_every_hot_key_is_spread(spark):
+    keys = [f"h{i}" for i in range(5) for _ in range(1000)] + [f"c{i}" for i in range(3000)]
+    left = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, v int").repartition(4)
+    hot = {r["_hk"]: r["_hs"] for r in hot_keys(left, "k", 64).collect()}
+    assert hot == {f"h{i}": 8 for i in range(5)}     # an eighth of the rows: 8 of 64 shares
+    right = spark.createDataFrame([(k, 1) for k in sorted(set(keys))], "rk string, w int")
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(old, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        out = left_join_skew_safe(left, right, "k", "rk", 64)
+        spread = {r["k"]: r["n"] for r in out.where("k LIKE 'h%'").withColumn("p", F.spark_partition_id())
+                  .groupBy("k").agg(F.count_distinct("p").alias("n")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(spread) == 5 and min(spread.values()) > 1
+    assert out.where("w IS NULL").count() == 0 and out.count() == len(keys)
 
 
 def test_null_keys_bypass_the_join(spark):
@@ -39,11 +50,11 @@ def test_null_keys_bypass_the_join(spark):
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(keys=st.lists(st.one_of(st.none(), st.sampled_from(["a", "b", "c", "d"])), max_size=80),
-       rkeys=st.lists(st.sampled_from(["a", "b", "c", "e"]), unique=True), hot_rows=st.integers(1, 10))
-def test_skew_safe_join_equals_left_join(spark, keys, rkeys, hot_rows):
+       rkeys=st.lists(st.sampled_from(["a", "b", "c", "e"]), unique=True), share=st.integers(1, 40))
+def test_skew_safe_join_equals_left_join(spark, keys, rkeys, share):
     left = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "v int, k string")
     right = spark.createDataFrame([(k, ord(k)) for k in rkeys], "rk string, w int")
-    got = sorted((r["v"], r["w"]) for r in left_join_skew_safe(left, right, "k", "rk", hot_rows).collect())
+    got = sorted((r["v"], r["w"]) for r in left_join_skew_safe(left, right, "k", "rk", share).collect())
     want = sorted((r["v"], r["w"]) for r in left.join(right, left.k == right.rk, "left").collect())
     assert got == want
 

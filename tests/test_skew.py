@@ -69,7 +69,7 @@ def test_hot_snapshot_email_is_split(spark):
 
     def run():
         # AQE cannot split here (the deltas come straight from an aggregate): explicit salting
-        out = P.apply_increments(snap, inc, hot_rows=1000)
+        out = P.apply_increments(snap, inc, share=32)
         spread = (out.where("email = ''").select(F.spark_partition_id().alias("p")).distinct().count())
         return out.agg(F.sum("score"), F.count(F.lit(1))).first(), spread
 

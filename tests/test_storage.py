@@ -109,3 +109,57 @@ def test_user_supplied_location_is_never_released(spark, scratch):
     for i in range(3):
         TB.replace_contents(spark.table(t).withColumn("email", F.lit(f"v{i}@x")), t)
     assert spark.read.parquet(f"{scratch}/own/users_data").count() == 1   # the user's data is intact
+
+
+SNAP = "participant_id string, rank int, display_name string, email string, username string, is_active boolean, " \
+       "status string, score int"
+
+
+def test_interleaved_increments_lose_nothing(spark, scratch):
+    from rankboard.operators import snapshot as P
+    t = _name("inc")
+    TB.create_snapshot_table(spark, t, f"{scratch}/inc/v0")
+    TB.insert(spark.createDataFrame([("p1", 1, "A B", "a@x", "a", True, "Active", 0)], SNAP), t)
+    ten = spark.createDataFrame([("a@x", 10)], "email string, points int")
+    calls = []
+
+    def change(snap):
+        calls.append(1)
+        if len(calls) == 1:   # another writer publishes after this one has read
+            TB.rewrite(spark, t, lambda s: P.apply_increments(s, ten))
+        return P.apply_increments(snap, ten)
+
+    TB.rewrite(spark, t, change)
+    assert len(calls) == 2 and [r["score"] for r in spark.table(t).collect()] == [20]
+
+
+def test_publish_over_a_newer_version_is_refused(spark, scratch):
+    import pytest
+    t = _name("old")
+    TB.create_snapshot_table(spark, t, f"{scratch}/old/v0")
+    seen = TB.table_location(spark, t)
+    TB.replace_contents(spark.table(t), t)
+    with pytest.raises(TB.ConcurrentRewrite):
+        TB.publish_version(spark.table(t), t, f"{scratch}/old/late", read_from=seen)
+
+
+def test_parquet_has_no_row_level_operations(spark, scratch):
+    t = _name("cap")
+    TB.create_roster_table(spark, t, f"{scratch}/cap/v0")
+    assert not TB.has_row_level_operations(spark, t)
+
+
+def test_unique_source_is_not_aggregated_again(spark):
+    rows = spark.createDataFrame([("1", "a@x", "A", "a")], "user_id string, email string, display_name string, user_name string")
+    target = rows.withColumn("created_at", F.current_timestamp())
+    plan = lambda unique: R.upsert(target, rows, source_is_unique=unique)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan(False) and "Aggregate" not in plan(True)
+
+
+def test_ranked_view_inside_a_scope_leaves_no_cut(spark, scratch):
+    from rankboard.operators import snapshot as P
+    from rankboard.session import lineage_scope
+    rows = [(f"p{i}", i, "A B", "a@x", "a", True, "Active", i % 7) for i in range(50)]
+    with lineage_scope(spark) as cuts:
+        assert P.leaderboard_view(spark.createDataFrame(rows, SNAP)).count() == 50
+    assert cuts and all(spark.read.parquet(c).count() == 0 for c in cuts)
