@@ -95,6 +95,10 @@ def _joined(spans):
         ":", F.element_at(F.array(*map(F.lit, KINDS)), p["kind"] + 1), p["start"], p["end"])), ",")
 
 
+def _of_kind(kind: int):
+    return lambda p: p["kind"] == kind
+
+
 def scan_secrets(df: DataFrame, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked``.
 
@@ -120,8 +124,7 @@ def scan_secrets(df: DataFrame, reach: int = REACH, id_col: str = "doc_id", text
     flat = F.transform(base, lambda p: F.struct(p["start"], p["kind"], p["end"]))
     return (found.join(linked, "_row", "left")
             .select("doc_id",
-                    *[F.size(F.filter(base, lambda p, k=k: p["kind"] == k)).cast("long").alias(f"n_{name}")
-                      for k, name in enumerate(BASE)],
+                    *[F.size(F.filter(base, _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)],
                     F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
                     _joined(F.array_sort(F.concat(flat, weak))).alias("spans"),
                     F.size(weak).cast("long").alias("n_linked")))
