@@ -92,6 +92,7 @@ class Chunk:
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         self.s = self.e = self.doc = np.zeros(0, np.int64)
         self.h = self.g = np.zeros(0, _U)
+        self.back = self.sums = np.zeros(1, _U)
         if n < length:
             return
         x = _TABLE[self.data]
