@@ -11,11 +11,11 @@ text look twice as far.  Two texts agree in a coordinate with probability equal
 their weighted Jaccard similarity.
 
 Signatures are cut into bands.  Texts with equal words are one class from the
-start, so only one of them is banded.  In each bucket all members are verified
-(exact weighted Jaccard) against a leader, never against each other; the links are
-joined into classes; a second leader is tried for what is still apart; then the
-pairs of a bucket that lie in different classes are verified one by one.  So every
-pair that shares a bucket ends up in one class or has been compared.
+start, so only one of them is banded.  In each bucket a leader is verified (exact
+weighted Jaccard) against all members, never all against each other; the links are
+joined into classes; then another leader of the bucket is tried on what is in other
+classes; at last the pairs of a bucket that lie in different classes are verified one
+by one.  So any two texts that share a bucket end up in one class or have been compared.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from .components import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Leaders tried in each bucket before its remaining pairs.
+LEADERS = 2
 _WORD = re.compile(r"[^\W_]+")
 #: Words that a task takes at once, and words whose hash it remembers.
 _CHUNK, _CACHE = 500_000, 500_000
@@ -153,18 +155,6 @@ def _element_rows(batches, n: int) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "elements"])
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose exact weighted Jaccard similarity is high enough."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    held = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(
-        lambda it: _element_rows(it, n), "doc_id long, elements array<long>"), "near_elements")
-    side = lambda c, e: held.select(F.col("doc_id").alias(c), F.col("elements").alias(e))
-    both = F.size(F.array_intersect("ea", "eb"))
-    j = both / (F.size("ea") + F.size("eb") - both)
-    return cut(pairs.join(side("a", "ea"), "a").join(side("b", "eb"), "b")
-                    .where(j >= similarity).select("a", "b"), "near_links")
-
-
 def near_classes(df: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS,
                  rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, class_id, class_size, kept``.
@@ -186,36 +176,35 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, words: int = WOR
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = cut(members.join(cut(shared, "near_shared"), "bucket"), "near_members").distinct()
 
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    classes = None
-    for step in ("first leader", "second leader", "pairs"):
-        m = members
-        if classes is not None:   # buckets that still hold several classes
-            m = m.join(classes, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-            apart = m.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-            m = cut(m.join(cut(apart.select("bucket"), "near_apart"), "bucket"), "near_open")
-        else:
-            m = m.withColumn("c", F.col("doc_id"))
-        if step == "pairs":
-            a, b = (m.select("bucket", F.col("doc_id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-            pairs = a.join(b, "bucket").where("a < b AND ca != cb").select("a", "b")
-        else:
-            by = F.col("doc_id") if step == "first leader" else F.xxhash64("doc_id", "bucket")
-            lead = cut(m.groupBy("bucket").agg(F.min(F.struct(by.alias("o"), F.col("doc_id").alias("l"),
-                                                              F.col("c").alias("lc"))).alias("x"))
-                        .select("bucket", "x.l", "x.lc"), "near_leaders")
-            pairs = (m.join(lead, "bucket").where("doc_id != l AND c != lc")
+    held = cut(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(
+        lambda it: _element_rows(it, words), "doc_id long, elements array<long>"), "near_elements")
+    side = lambda c, e: held.select(F.col("doc_id").alias(c), F.col("elements").alias(e))
+    both = F.size(F.array_intersect("ea", "eb"))
+    similar = both / (F.size("ea") + F.size("eb") - both) >= similarity
+
+    links = tried = classes = None
+    for number in range(LEADERS + 1):
+        if classes is None:
+            m = members.withColumn("c", F.col("doc_id"))
+        else:   # only buckets that still hold several classes go on
+            m = members.join(classes, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+        least = F.struct(F.xxhash64("doc_id", F.lit(number)).alias("o"), F.col("doc_id").alias("l"), F.col("c").alias("lc"))
+        lead = cut(m.groupBy("bucket").agg(F.min(least).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+                    .where("lo < hi").select("bucket", "x.l", "x.lc"), "near_leaders")
+        if number < LEADERS:
+            pairs = (m.join(lead, "bucket").where("c != lc")
                       .select(F.least("doc_id", "l").alias("a"), F.greatest("doc_id", "l").alias("b")))
+        else:
+            still = cut(m.join(lead.select("bucket"), "bucket"), "near_open")
+            x, y = (still.select("bucket", F.col("doc_id").alias(n), F.col("c").alias(f"c{n}")) for n in "ab")
+            pairs = x.join(y, "bucket").where("a < b AND ca != cb").select("a", "b")
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "near_pairs")
         if pairs.isEmpty():
-            if step == "first leader":
-                break
             continue
-        found = _verify(pairs, docs, words, similarity)
+        found = cut(pairs.join(side("a", "ea"), "a").join(side("b", "eb"), "b").where(similar).select("a", "b"), "near_links")
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         classes = cut(connected_components(links, "a", "b").select(F.col("node").alias("doc_id"),
