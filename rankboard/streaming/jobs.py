@@ -5,11 +5,13 @@ T1  ``start_grading``: response stream -> guard -> broadcast stream-static join
     checkpoint make it exactly-once; response ids come from the source).
 T2  ``start_leaderboard``: running per-user totals in the state store
     (``update`` mode: only users whose totals changed are emitted), merged by
-    ``foreachBatch`` into a totals table, then joined with the static roster,
-    ranked (distributed global rank) and published as the board.  Each step
-    writes a directory named after the batch id and publishes it last, so a
-    retried batch is idempotent.
-T3  ``refresh_now``: T2 with ``availableNow`` (the refresh button).
+    ``foreachBatch`` into a totals table that is partitioned by a hash of the
+    user.  A trigger rewrites the buckets of the users it changed and no others.
+    Ranking the whole board is a job of its own cadence (``rank_every`` triggers,
+    ``rebuild_board``, ``refresh_now``): it joins the totals with the static roster,
+    ranks them (distributed global rank) and publishes the board as a directory
+    named after the batch id, so a retried batch is idempotent.
+T3  ``refresh_now``: T2 with ``availableNow`` (the refresh button), ranked once at the end.
 
 Why foreachBatch: a static-left outer join with a streaming right side and
 sorting outside complete mode are both unsupported in Structured Streaming, and
@@ -30,9 +32,15 @@ from ..operators.grading import grade, valid_submissions
 from ..operators.leaderboard import board_from_totals, podium, score_totals
 from ..operators.leaderboard import ranked_with_cut
 from ..session import STREAMING_CONF, lineage_scope
-from ..sources.tables import points_at, publish_version, table_location
+from ..sources.tables import points_at, publish_version, table_location, table_property
 
-TOTALS_DDL = "user_id STRING, total_points BIGINT, questions_answered BIGINT"
+TOTALS_DDL = "user_id STRING, total_points BIGINT, questions_answered BIGINT, bucket INT"
+# Buckets of a totals table (fixed when it is created) and the last batch merged into it.
+BUCKETS = 64
+BUCKETS_PROPERTY = "rankboard.buckets"
+BATCH_PROPERTY = "rankboard.batch"
+# A live board is ranked anew every so many triggers.
+RANK_EVERY = 10
 
 # Publishes of one board (micro-batches and on-demand rebuilds, all in the
 # driver) are serialised, so a rebuild never reads totals a batch is replacing
@@ -66,7 +74,7 @@ def _roster(spark: SparkSession, roster: DataFrame | str) -> DataFrame:
 
 def _publish_board(spark, roster, totals_table, board_table, path, ranked) -> None:
     with lineage_scope(spark):   # the published version holds the ranks: release the cut
-        board, _ = _board(_roster(spark, roster), spark.table(totals_table), ranked)
+        board, _ = _board(_roster(spark, roster), spark.table(totals_table).drop("bucket"), ranked)
         publish_version(board, board_table, path)
 
 
@@ -100,54 +108,82 @@ def start_grading(responses: DataFrame, bank: DataFrame, sink_path: str, checkpo
     return _trigger(w, trigger).start()
 
 
+def merge_totals(changed: DataFrame, totals_table: str) -> list[int]:
+    """Replace the totals of the ``changed`` users: only the buckets they fall into are read and rewritten.
+
+    A bucket is replaced as a whole by the write's commit; the values are absolute, so a merge that
+    was cut short is completed by running it again.  Returns the buckets (at most as many as there are).
+    """
+    spark = changed.sparkSession
+    n = int(table_property(spark, totals_table, BUCKETS_PROPERTY))
+    changed = changed.select("user_id", "total_points", "questions_answered",
+                             F.pmod(F.xxhash64("user_id"), F.lit(n)).cast("int").alias("bucket")).persist()
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    try:
+        touched = [r["bucket"] for r in changed.select("bucket").distinct().collect()]
+        if touched:
+            held = spark.table(totals_table).where(F.col("bucket").isin(touched))
+            merged = held.join(changed.select("user_id"), "user_id", "left_anti").unionByName(changed)
+            spark.conf.set(mode, "dynamic")
+            merged.repartition("bucket").write.mode("overwrite").insertInto(totals_table)
+            spark.sql(f"REFRESH TABLE {totals_table}")
+        return sorted(touched)
+    finally:
+        spark.conf.set(mode, before)
+        changed.unpersist()
+
+
+def last_batch(spark: SparkSession, totals_table: str) -> int:
+    """The last micro-batch merged into the totals (-1: none)."""
+    return int(table_property(spark, totals_table, BATCH_PROPERTY) or -1)
+
+
 class LeaderboardRefresher:
-    """``foreachBatch`` body: merge changed totals, rebuild and publish the board.
+    """``foreachBatch`` body: merge changed totals; every ``rank_every``-th batch (0: never) publish the board.
 
     ``batch`` holds the *current* running totals of users that changed in this
     micro-batch (absolute values, not deltas), so re-applying a batch is
-    harmless; version directories are keyed by batch id and published last.
+    harmless; a batch already merged, and a board already published for it, are left alone.
     ``roster`` may be a table name: it is then re-read on every micro-batch, so
     a roster sync reaches the board with the next micro-batch (or at once with
     ``rebuild_board``) and no stale roster version is held.
     """
 
     def __init__(self, roster: DataFrame | str, totals_table: str, board_table: str, root: str,
-                 ranked: bool = True):
+                 ranked: bool = True, rank_every: int = 1):
+        self.rank_every = rank_every
         self.roster = roster
         self.totals_table = totals_table
         self.board_table = board_table
         self.root = root.rstrip("/")
         self.ranked = ranked
 
-    def _version(self, kind: str, batch_id: int) -> str:
-        return f"{self.root}/{kind}/v{batch_id:012d}"
-
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         with _board_lock(self.board_table):
             self._apply(batch, batch_id)
 
     def _apply(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        totals_v = self._version("totals", batch_id)
-        if not points_at(spark, self.totals_table, totals_v):
-            changed = batch.select("user_id", "total_points", "questions_answered").persist()
-            try:
-                prev = spark.table(self.totals_table)
-                merged = prev.join(changed.select("user_id"), "user_id", "left_anti").unionByName(changed)
-                publish_version(merged, self.totals_table, totals_v)
-            finally:
-                changed.unpersist()
-        board_v = self._version("board", batch_id)
-        if not points_at(spark, self.board_table, board_v):
-            _publish_board(spark, self.roster, self.totals_table, self.board_table, board_v, self.ranked)
+        if last_batch(spark, self.totals_table) < batch_id:
+            merge_totals(batch, self.totals_table)
+            spark.sql(f"ALTER TABLE {self.totals_table} SET TBLPROPERTIES ('{BATCH_PROPERTY}' = '{batch_id}')")
+        if self.rank_every and batch_id % self.rank_every == 0:
+            _publish_batch(spark, self.roster, self.totals_table, self.board_table, self.root, batch_id, self.ranked)
+
+
+def _publish_batch(spark, roster, totals_table, board_table, root, batch_id, ranked) -> None:
+    path = f"{root}/board/v{batch_id:012d}"
+    if not points_at(spark, board_table, path):
+        _publish_board(spark, roster, totals_table, board_table, path, ranked)
 
 
 def _init_tables(spark: SparkSession, roster: DataFrame | str, totals_table: str, board_table: str,
                  root: str, zero_board: bool = True, ranked: bool = True) -> None:
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {totals_table} ({TOTALS_DDL}) USING parquet "
-              f"LOCATION '{root}/totals/initial'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {totals_table} ({TOTALS_DDL}) USING parquet PARTITIONED BY (bucket) "
+              f"LOCATION '{root}/totals' TBLPROPERTIES ('{BUCKETS_PROPERTY}' = '{BUCKETS}')")
     if not spark.catalog.tableExists(board_table):
-        shape = _board(_roster(spark, roster), spark.table(totals_table), ranked=False)[0]
+        shape = _board(_roster(spark, roster), spark.table(totals_table).drop("bucket"), ranked=False)[0]
         if ranked:   # the ranked schema, built lazily (ranking itself would run jobs)
             shape = podium(shape.withColumn("rank", F.lit(None).cast("long")))
         spark.sql(f"CREATE TABLE {board_table} ({_ddl(shape)}) USING parquet "
@@ -172,20 +208,22 @@ def _log_has_entries(spark: SparkSession, path: str) -> bool:
 def _guard_restart(spark: SparkSession, totals_table: str, root: str, checkpoint: str) -> None:
     """Refuse a fresh checkpoint over tables an earlier run already published.
 
-    Version directories are named by batch id; a run whose batch ids start over
-    would take published versions for its own and skip them.
+    Merged batches are known by their id; a run whose batch ids start over would
+    take merged batches for its own and skip them.
     """
     if _log_has_entries(spark, f"{checkpoint}/offsets"):
         return                                   # a restart: batch ids continue
-    if spark.catalog.tableExists(totals_table) and not points_at(spark, totals_table, f"{root}/totals/initial"):
+    if spark.catalog.tableExists(totals_table) and last_batch(spark, totals_table) >= 0:
         raise RuntimeError(f"{totals_table} was published by an earlier run but the checkpoint "
                            f"{checkpoint} is empty: use a new root and tables, or the old checkpoint")
 
 
 def start_leaderboard(graded: DataFrame, roster: DataFrame | str, totals_table: str, board_table: str,
                       root: str, checkpoint: str, trigger: str | None = None,
-                      zero_board: bool = True, ranked: bool = True) -> StreamingQuery:
-    """T2: keep ``board_table`` equal to the batch ``leaderboard`` of everything seen.
+                      zero_board: bool = True, ranked: bool = True,
+                      rank_every: int = RANK_EVERY) -> StreamingQuery:
+    """T2: keep the totals current with every trigger and rank ``board_table`` every ``rank_every``-th one
+    (the first included), when it equals the batch ``leaderboard`` of everything seen.
 
     With ``zero_board`` an all-zero board is published before the first trigger,
     so readers of a live board never find it empty.  Pass the roster as a table
@@ -204,7 +242,7 @@ def start_leaderboard(graded: DataFrame, roster: DataFrame | str, totals_table:
     totals = score_totals(graded, "user_id")
     w = (totals.writeStream.outputMode("update")
                .option("checkpointLocation", checkpoint)
-               .foreachBatch(LeaderboardRefresher(roster, totals_table, board_table, root, ranked)))
+               .foreachBatch(LeaderboardRefresher(roster, totals_table, board_table, root, ranked, rank_every)))
     return _trigger(w, trigger).start()
 
 
@@ -212,13 +250,17 @@ def refresh_now(graded: DataFrame, roster: DataFrame | str, totals_table: str, b
                 root: str, checkpoint: str, ranked: bool = True) -> DataFrame:
     """T3: process everything available, then return the published board."""
     q = start_leaderboard(graded, roster, totals_table, board_table, root, checkpoint, "availableNow",
-                          zero_board=False, ranked=ranked)
+                          zero_board=False, ranked=ranked, rank_every=0)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
     spark = graded.sparkSession
-    if points_at(spark, board_table, f"{root}/board/initial"):
-        _publish_zero_board(spark, roster, totals_table, board_table, root, ranked)   # nothing to process
+    batch_id = last_batch(spark, totals_table)
+    with _board_lock(board_table):
+        if batch_id >= 0:
+            _publish_batch(spark, roster, totals_table, board_table, root, batch_id, ranked)
+        elif points_at(spark, board_table, f"{root}/board/initial"):
+            _publish_zero_board(spark, roster, totals_table, board_table, root, ranked)   # nothing to process
     return spark.read.parquet(table_location(spark, board_table))
 
 

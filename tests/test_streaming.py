@@ -48,6 +48,31 @@ def test_stream_leaderboard_equals_batch_over_two_batches(spark, scratch):
         sorted(tuple(r) for r in want.select(*cols).collect())
 
 
+def _files(path):
+    return sorted(os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.startswith("part-"))
+
+
+def test_a_trigger_rewrites_only_the_buckets_it_touches(spark, scratch):
+    roster = spark.createDataFrame([(str(i), f"{i}@x", "N", "n") for i in range(400)],
+                                   "user_id string, email string, display_name string, user_name string")
+    totals_t, board_t = f"t_{uuid.uuid4().hex[:8]}", f"b_{uuid.uuid4().hex[:8]}"
+    root = f"{scratch}/lb"
+    ST._init_tables(spark, roster, totals_t, board_t, root, zero_board=False)
+    schema = "user_id string, total_points long, questions_answered long"
+    fn = ST.LeaderboardRefresher(roster, totals_t, board_t, root, rank_every=2)
+    fn(spark.createDataFrame([(str(i), 10, 1) for i in range(400)], schema), 0)
+    before, board = _files(f"{root}/totals"), ST.table_location(spark, board_t)
+    assert len({os.path.dirname(f) for f in before}) > 50
+    fn(spark.createDataFrame([("7", 20, 2), ("9", 30, 3)], schema), 1)
+    gone = {os.path.dirname(f) for f in set(before) - set(_files(f"{root}/totals"))}
+    assert 1 <= len(gone) <= 2                                   # two users: at most two buckets rewritten
+    assert ST.table_location(spark, board_t) == board            # not ranked in this trigger
+    got = {r["user_id"]: r["total_points"] for r in spark.table(totals_t).collect()}
+    assert len(got) == 400 and got["7"] == 20 and got["9"] == 30 and got["8"] == 10
+    fn(spark.createDataFrame([("8", 50, 4)], schema), 2)
+    assert {r["user_id"]: r["rank"] for r in spark.table(board_t).where("rank <= 3").collect()} == {"8": 1, "9": 2, "7": 3}
+
+
 def test_refresher_batch_retry_is_idempotent(spark, scratch):
     roster = spark.createDataFrame([("1", "a@x", "A", "a"), ("2", "b@x", "B", "b"), ("3", "c@x", "C", "c")],
                                    "user_id string, email string, display_name string, user_name string")
@@ -61,10 +86,10 @@ def test_refresher_batch_retry_is_idempotent(spark, scratch):
     fn(b0, 0)
     fn(b1, 1)
     published = ST.table_location(spark, board_t)
-    files = {k: sorted(os.listdir(f"{root}/{k}/v000000000001")) for k in ("totals", "board")}
+    files = _files(f"{root}/totals"), _files(f"{root}/board/v000000000001")
     fn(b1, 1)   # retried batch: already published, nothing is rewritten
     assert ST.table_location(spark, board_t) == published
-    assert files == {k: sorted(os.listdir(f"{root}/{k}/v000000000001")) for k in ("totals", "board")}
+    assert files == (_files(f"{root}/totals"), _files(f"{root}/board/v000000000001"))
     want = {"1": (30, 3), "2": (10, 1), "3": (20, 2)}
     got = {r["user_id"]: (r["total_points"], r["questions_answered"])
            for r in spark.read.parquet(published).collect()}
@@ -100,7 +125,6 @@ def test_refresher_releases_superseded_board_versions(spark, scratch):
     assert spark.read.parquet(f"{root}/board/v000000000002").count() == 2
     assert spark.read.parquet(f"{root}/board/v000000000001").count() == 2   # previous version kept
     assert spark.read.parquet(f"{root}/board/v000000000000").count() == 0   # older version released
-    assert spark.read.parquet(f"{root}/totals/v000000000000").count() == 0
 
 
 def test_refresher_reads_roster_by_name_across_syncs(spark, scratch):
