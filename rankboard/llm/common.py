@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import threading
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, shared_path
+
+_open = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +29,44 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     A lost executor then re-reads files instead of recomputing, and what was
     numbered or sampled before the cut stays as it was.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return cut_lineage(df, label)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = shared_path(spark, "llm", label)
+    df.write.parquet(path)
+    stack = getattr(_open, "stack", None)
+    if stack:
+        stack[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package has written under the shared folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored(operator):
+    """The operator's result is computed and written when it is called, and everything that it cut on the
+    way is deleted; what it returns reads that one folder."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        stack = _open.__dict__.setdefault("stack", [])
+        stack.append(made := [])
+        try:
+            out = operator(df, *args, **kwargs)
+            held, stack[-1] = stack[-1], []   # the result is its caller's, as is any outer operator's
+            result = cut(out, operator.__name__)
+            made = held
+        finally:
+            left = stack.pop()
+            if stack:
+                stack[-1].extend(left)
+            for path in made:
+                discard(df.sparkSession, path)
+        return result
+
+    return run
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text
+from .common import cut, id_text, stored
 
 STATES, ITERATIONS, CLASSES, RARE, LOOKUP = 6, 3, 2000, 64, 200_000
 #: Tokens that a task takes through the recursions at once (a longer text goes alone).
@@ -219,6 +219,7 @@ def baum_welch(seqs: DataFrame, unigram: np.ndarray, states: int = STATES,
     return pi, a, b
 
 
+@stored
 def score_texts(df: DataFrame, states: int = STATES, iterations: int = ITERATIONS, classes: int = CLASSES,
                 rare: int = RARE, lookup: int = LOOKUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.

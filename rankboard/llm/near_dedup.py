@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 from .components import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -155,6 +155,7 @@ def _element_rows(batches, n: int) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "elements"])
 
 
+@stored
 def near_classes(df: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS,
                  rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, class_id, class_size, kept``.

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shared_path
-from .common import cut, shuffle_partitions
+from .common import cut, discard, shuffle_partitions, stored
 
 LENGTH, SEED, BATCHES = 50, 20, 4
 #: Bytes of text in a block, and bytes that a task handles at once (a longer text goes alone).
@@ -404,6 +404,7 @@ def _cogroup(blocks: DataFrame, replies: DataFrame, task, ddl: str) -> DataFrame
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(lambda b, r: task(b, r), ddl)
 
 
+@stored
 def remove_repeats(df: DataFrame, length: int = LENGTH, batches: int = BATCHES, seed: int = SEED,
                    with_text: bool = False, id_col: str = "doc_id", text_col: str = "text",
                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -423,10 +424,11 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, batches: int = BATCHES,
     buckets = shuffle_partitions(spark)
     parts = buckets * RANGES
     name = f"llm_blocks_{uuid.uuid4().hex[:12]}"
+    place = shared_path(spark, "tables", name, unique=False)
     (docs.mapInArrow(lambda it: _blocks(it, batches, block_bytes),
                      "block long, batch int, ids array<long>, lens array<long>, texts binary")
          .write.option("compression", "none").bucketBy(buckets, "block").sortBy("block")
-         .saveAsTable(name, format="parquet", path=shared_path(spark, "tables", name, unique=False)))
+         .saveAsTable(name, format="parquet", path=place))
     blocks = spark.table(name)
     size = blocks.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     bits = min(64, 16 + int(size).bit_length())   # so that few different seeds share a fingerprint
@@ -456,5 +458,6 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, batches: int = BATCHES,
     ends = cut(strings.groupBy("part").applyInPandas(lambda x: job.compare_strings(x), _REPLY), "suffix_strings")
     out = cut(_cogroup(blocks, whole.unionByName(ends), lambda b, r: job.remove(b, r, with_text),
                        _RESULT + (", kept binary" if with_text else "")), "suffix_removed")
-    spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"DROP TABLE {name}")   # an external table: its files go separately
+    discard(spark, place)
     return out
