@@ -69,5 +69,12 @@ def stored(operator):
     return run
 
 
+def small(batches, rows: int = 500):
+    """Arrow batches in slices, so that a task holds the Python objects of a few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 
 MIN_MATCH, THRESHOLD = 5, 0.5
 #: Characters of benchmark text in a broadcast block.
@@ -122,7 +122,7 @@ def greedy_tiles(hits: list[tuple[int, int]], n: int) -> list[tuple[int, int, in
 
 def _scan(batches: Iterator[pa.RecordBatch], block: Block, min_match: int) -> Iterator[pa.RecordBatch]:
     number = block.words.get
-    for b in batches:
+    for b in small(batches):
         rows = []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             doc = [number(w, 0) for w in words_of(text.as_py())]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, stored
+from .common import cut, id_text, small, stored
 
 STATES, ITERATIONS, CLASSES, RARE, LOOKUP = 6, 3, 2000, 64, 200_000
 #: Tokens that a task takes through the recursions at once (a longer text goes alone).
@@ -85,7 +85,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, rare:
         return got
 
     end_log = np.log10(vocabulary.texts + 0.5)
-    for b in batches:
+    for b in small(batches):
         rows = []
         for row, doc, out, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             words = [w for w in _SPLIT.split(text) if w]

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 # Families of common language codes; any other code is a family of its own.
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "is", "af", "lb", "yi"],
@@ -75,7 +77,7 @@ def _grams(data: np.ndarray, buckets: int) -> list[np.ndarray]:
 
 
 def _features(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches, 200):
         vectors = []
         for data, starts, _ in _chunks(b.column(1)):
             grams = _grams(data, buckets)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, small, stored
 from .components import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -117,7 +117,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.nd
     """Ids and word hashes of texts, about ``_CHUNK`` words at a time."""
     seen = _Hashes()
     ids, words, total = [], [], 0
-    for b in batches:
+    for b in small(batches):
         for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             w = np.array([seen[x] for x in _WORD.findall((text.as_py() or "").lower())], _U)
             ids.append(doc)

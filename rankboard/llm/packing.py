@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.rank import global_row_number
-from .common import cut, id_text
+from .common import cut, id_text, small
 
 CAPACITY = 2048
 #: Words and pieces of words whose ids a Python worker holds at once; beyond it a cache starts anew.
@@ -101,7 +101,7 @@ def _piece_task(tokenizer_path: str, capacity: int, with_ids: bool):
         encode = _encoders.setdefault(tokenizer_path, None) or WordEncoder(tokenizer_path)
         _encoders[tokenizer_path] = encode
         end = np.zeros(1, "<u4").tobytes()
-        for b in batches:
+        for b in small(batches):
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = encode(text.as_py()) + end

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_text
+from .common import cut, id_text, small
 
 REACH = 300
 BASE = ["assign", "access", "hex"]
@@ -83,7 +83,7 @@ _ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         rows = [[dict(zip(("kind", "start", "end", "scope"), p, strict=True)) for p in parts(t)]
                 for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, _ARROW)],
