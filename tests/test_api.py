@@ -78,3 +78,14 @@ def test_live_board_over_a_stream(spark, scratch):
     q.awaitTermination()
     board = {r["user_id"]: (r["rank"], r["total_points"]) for r in spark.table(f"rb_live_{sfx}.leaderboard").collect()}
     assert board == {"2": (1, 20), "1": (2, 0)}
+
+
+def test_sync_users_takes_the_formats_own_merge(spark, scratch, monkeypatch):
+    from rankboard.sources import tables as TB
+    w = Workshop(spark, f"rb_merge_{uuid.uuid4().hex[:8]}.users", f"rb_merge_{uuid.uuid4().hex[:8]}.responses", location=scratch)
+    w.create_tables()
+    calls = []
+    monkeypatch.setattr(TB, "has_row_level_operations", lambda *a: True)
+    monkeypatch.setattr(TB, "native_merge", lambda source, table, key, cols: calls.append((table, key, cols, source.count())))
+    w.sync_users(_pages(spark, scratch, [{"id": "1", "userName": "a", "displayName": "A", "active": True, "emails": []}]))
+    assert calls == [(w.users_table, "user_id", ["email", "display_name", "user_name"], 1)]
