@@ -18,6 +18,7 @@ the other words of each text come by a shuffled join.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, id_text, small, stored
 
-STATES, ITERATIONS, CLASSES, RARE, LOOKUP = 6, 3, 2000, 64, 200_000
+STATES, ITERATIONS, CLASSES, RARE, LOOKUP = 6, 3, 2000, 64, 100_000
 #: Tokens that a task takes through the recursions at once (a longer text goes alone).
 _CHUNK = 300_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,7 +61,7 @@ class Vocabulary:
         self.classes, self.texts = classes, texts
         self.n = total + texts
         self.v = distinct + (texts > 0)
-        self.known = {w: (i if i < classes else None, c) for i, (w, c) in enumerate(top)}
+        self.known = self._table([w for w, _ in top], [c for _, c in top])
         self.base = np.log10(self.n + 0.5 * (self.v + 1))
         self.rare_log = np.array([np.log10(n + 0.5 * (v + 1)) for n, v in rare])
         self.end = classes
@@ -71,6 +72,21 @@ class Vocabulary:
         self.unigram = (unigram + 0.5) / (unigram + 0.5).sum()
 
 
+    def _table(self, words: list[str], counts) -> dict:
+        return {w: (i if i < self.classes else None, int(c)) for i, (w, c) in enumerate(zip(words, counts, strict=True))}
+
+    def __getstate__(self):
+        """Compressed: executors write a broadcast to their disks, perhaps once for every task."""
+        state = self.__dict__ | {"known": None}
+        counts = np.array([c for _, c in self.known.values()], np.int64)
+        return zlib.compress(pickle.dumps((state, " ".join(self.known), counts)), 9)
+
+    def __setstate__(self, packed: bytes):
+        state, words, counts = pickle.loads(zlib.decompress(packed))
+        self.__dict__.update(state)
+        self.known = self._table(words.split(" ") if words else [], counts)
+
+
 def _sequences(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, rare: int) -> Iterator[pa.RecordBatch]:
     known, classes = vocabulary.known, vocabulary.classes
     cache: dict[str, tuple] = {}

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -103,3 +104,5 @@ def test_word_probabilities_sum_to_one():
     for (n, k), log in zip([(3, 1), (1, 1)], v.rare_log, strict=True):
         assert abs(sum((c + 0.5) for c in [n]) / 10**log + 0.5 / 10**log - 1) < 1e-12 and k == 1
     assert abs(v.unigram.sum() - 1) < 1e-12
+    again = pickle.loads(pickle.dumps(v))
+    assert again.known == v.known and (again.unigram == v.unigram).all() and again.n == v.n
