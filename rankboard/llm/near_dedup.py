@@ -11,11 +11,11 @@ text look twice as far.  Two texts agree in a coordinate with probability equal
 their weighted Jaccard similarity.
 
 Signatures are cut into bands.  Texts with equal words are one class from the
-start, so only one of them is banded.  In each bucket a leader is verified (exact
-weighted Jaccard) against all members, never all against each other; the links are
-joined into classes; then another leader of the bucket is tried on what is in other
-classes; at last the pairs of a bucket that lie in different classes are verified one
-by one.  So any two texts that share a bucket end up in one class or have been compared.
+start, so only one of them is banded.  In each bucket two leaders (the text that shares
+buckets with most others, and the first) are verified (exact weighted Jaccard) against
+all members, never all against each other; the links are
+joined into classes; then the pairs of a bucket that still lie in different classes are
+verified one by one.  So any two texts that share a bucket end up in one class or have been compared.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ from .components import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
-#: Leaders tried in each bucket before its remaining pairs.
-LEADERS = 2
 _WORD = re.compile(r"[^\W_]+")
 #: Words that a task takes at once, and words whose hash it remembers.
 _CHUNK, _CACHE = 500_000, 500_000
@@ -174,8 +172,10 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, words: int = WOR
     reps = copies.select(F.col("rep").alias("doc_id"))
     members = cut(signed.join(reps, "doc_id", "left_semi").where("same IS NOT NULL")
                         .select("doc_id", F.explode("bands").alias("bucket")), "near_buckets")
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = cut(members.join(cut(shared, "near_shared"), "bucket"), "near_members").distinct()
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(members.join(cut(shared, "near_shared"), "bucket"), "near_members")
+    # the text that shares buckets with most others is most likely what the others are copies of
+    hubs = cut(members.groupBy("doc_id").agg(F.sum("n").alias("hub")), "near_hubs")
 
     held = cut(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(
         lambda it: _element_rows(it, words), "doc_id long, elements array<long>"), "near_elements")
@@ -184,32 +184,32 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, words: int = WOR
     similar = both / (F.size("ea") + F.size("eb") - both) >= similarity
 
     links = tried = classes = None
-    for number in range(LEADERS + 1):
-        if classes is None:
-            m = members.withColumn("c", F.col("doc_id"))
-        else:   # only buckets that still hold several classes go on
-            m = members.join(classes, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-        least = F.struct(F.xxhash64("doc_id", F.lit(number)).alias("o"), F.col("doc_id").alias("l"), F.col("c").alias("lc"))
-        lead = cut(m.groupBy("bucket").agg(F.min(least).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-                    .where("lo < hi").select("bucket", "x.l", "x.lc"), "near_leaders")
-        if number < LEADERS:
-            pairs = (m.join(lead, "bucket").where("c != lc")
-                      .select(F.least("doc_id", "l").alias("a"), F.greatest("doc_id", "l").alias("b")))
-        else:
-            still = cut(m.join(lead.select("bucket"), "bucket"), "near_open")
+    for step in ("leaders", "pairs"):
+        if step == "leaders":
+            lead = (members.join(hubs, "doc_id").groupBy("bucket")
+                           .agg(F.array_distinct(F.array(F.max(F.struct("hub", "doc_id"))["doc_id"], F.min("doc_id"))).alias("l"))
+                           .select("bucket", F.explode("l").alias("l")))
+            pairs = (members.join(cut(lead, "near_leaders"), "bucket").where("doc_id != l")
+                            .select(F.least("doc_id", "l").alias("a"), F.greatest("doc_id", "l").alias("b")).distinct())
+        else:   # only buckets that still hold several components
+            if classes is None:
+                m = members.withColumn("c", F.col("doc_id")).drop("n")
+            else:
+                m = members.drop("n").join(classes, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+            several = (m.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
+                        .where("lo < hi AND n > 2").select("bucket"))
+            still = cut(m.join(cut(several, "near_several"), "bucket"), "near_open")
             x, y = (still.select("bucket", F.col("doc_id").alias(n), F.col("c").alias(f"c{n}")) for n in "ab")
-            pairs = x.join(y, "bucket").where("a < b AND ca != cb").select("a", "b")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "near_pairs")
-        if pairs.isEmpty():
-            continue
-        found = cut(pairs.join(side("a", "ea"), "a").join(side("b", "eb"), "b").where(similar).select("a", "b"), "near_links")
+            pairs = (x.join(y, "bucket").where("a < b AND ca != cb").select("a", "b").distinct()
+                      .join(tried, ["a", "b"], "left_anti"))
+        tried = cut(pairs, "near_pairs")
+        if tried.isEmpty():
+            break
+        found = cut(tried.join(side("a", "ea"), "a").join(side("b", "eb"), "b").where(similar).select("a", "b"),
+                    "near_links")
         links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        classes = cut(connected_components(links, "a", "b").select(F.col("node").alias("doc_id"),
-                                                                  F.col("component").alias("c")), "near_classes")
+        classes = cut(connected_components(links, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("c")),
+                      "near_classes")
     top = copies if classes is None else copies.join(classes.withColumnRenamed("doc_id", "rep"), "rep", "left")
     top = cut(top.select("same", (F.col("rep") if classes is None else F.coalesce("c", "rep")).alias("class_id")), "near_top")
     rows_ = signed.select("doc_id", "same").join(top, "same", "left").select(
