@@ -37,7 +37,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (both.join(_minima(both), "u").where(F.col("v") > F.col("u"))
                      .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
-        large = cut(large, "cc_large")
         low = _minima(large)
         small = (large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
                       .unionByName(low.withColumnRenamed("m", "v")).distinct())
