@@ -5,9 +5,10 @@ kinds ``assign``, ``access`` and ``hex``, which are secrets on their own, and we
 parts, which are not: ``weak_id`` (a client, account or user id that is assigned),
 ``weak_secret`` (a short assigned secret, or an unassigned 40-character key) and
 ``weak_endpoint`` (a URL or host).  Parts of one scope (a paragraph) are then
-interval-joined: a part meets the parts that start within ``reach`` code points of
-its own start.  That is a range-framed window per document and scope, so a part
-is never paired with each of its partners.  A weak part is reported only if its
+interval-joined: a part meets the parts that overlap it or are at most ``reach`` code
+points away, from the end of the one to the start of the other.  For that, running windows
+per document and scope hold the greatest end before a part and the smallest start after it,
+so a part is never paired with each of its partners.  A weak part is reported only if its
 complement co-occurs:
 
 * ``weak_secret``: an identifier (``access``, ``weak_id``) is in reach;
@@ -46,7 +47,7 @@ _WEAK_MIN, _ASSIGN_MIN, _ACCESS_MIN, _HEX_MIN = 6, 12, 18, 16
 
 def parts(text: str) -> list[tuple[int, int, int, int]]:
     """``(kind, start, end, scope)`` of a text; base kinds first match leftmost, without overlap,
-    then too short ones are dropped.  Weak parts never overlap a base part."""
+    then too short ones are dropped.  Weak parts never overlap a base part or one of their own kind."""
     found = [(4 if len(m[2]) < _ASSIGN_MIN else 0, m.start(), m.end(), len(m[2])) for m in _ASSIGN.finditer(text)]
     base = [x[:3] for x in found if x[0] == 0]
     base += [(1, m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= _ACCESS_MIN]
@@ -56,7 +57,7 @@ def parts(text: str) -> list[tuple[int, int, int, int]]:
     weak += [(4, m.start(), m.end()) for m in _WEAK_KEY.finditer(text)
              if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])]
     weak += [(5, m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
-    taken, free, end = sorted((s, e) for _, s, e in base), [], 0
+    taken, free, ends = sorted((s, e) for _, s, e in base), [], {}
     bounds, at = [], 0
     for s, e in taken:                       # the union of the base spans
         if bounds and s <= bounds[-1][1]:
@@ -66,9 +67,9 @@ def parts(text: str) -> list[tuple[int, int, int, int]]:
     for kind, s, e in sorted(weak, key=lambda x: (x[1], -x[2])):
         while at < len(bounds) and bounds[at][1] <= s:
             at += 1
-        if s >= end and not (at < len(bounds) and bounds[at][0] < e):
+        if s >= ends.get(kind, 0) and not (at < len(bounds) and bounds[at][0] < e):
             free.append((kind, s, e))
-            end = e
+            ends[kind] = e
     out, scope, breaks = [], 0, _BLANK_LINE.finditer(text)
     nxt = next(breaks, None)
     for kind, s, e in sorted(base + free, key=lambda x: (x[1], x[0])):
@@ -112,8 +113,15 @@ def scan_secrets(df: DataFrame, reach: int = REACH, id_col: str = "doc_id", text
     # only scopes with a weak part and another part can link
     loose = (found.where(F.exists("parts", is_weak) & (F.size("parts") > 1))
                   .select("_row", F.inline("parts")))
-    near = Window.partitionBy("_row", "scope").orderBy("start").rangeBetween(-reach, reach)
-    has = lambda *kinds: F.max(F.col("kind").isin(*kinds)).over(near)
+    scope, running = Window.partitionBy("_row", "scope"), (Window.unboundedPreceding, Window.currentRow)
+    before, after = scope.orderBy("start").rangeBetween(*running), scope.orderBy(F.desc("start")).rangeBetween(*running)
+
+    def has(*kinds):
+        of = F.col("kind").isin(*kinds)
+        ended, starts = F.max(F.when(of, F.col("end"))).over(before), F.min(F.when(of, F.col("start"))).over(after)
+        near = F.coalesce(F.col("start") - ended <= reach, F.lit(False))
+        return near | F.coalesce(starts - F.col("end") <= reach, F.lit(False))
+
     identifier, secret = has(1, 3), has(0, 2, 4)
     linked = (loose.select("_row", "kind", "start", "end", identifier.alias("i"), secret.alias("s"))
               .where(F.when(F.col("kind") == 3, F.col("s")).when(F.col("kind") == 4, F.col("i"))
