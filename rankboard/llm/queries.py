@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, extraction, hmm, language, line_dedup, near_dedup, packing, secrets, suffix_dedup
+from . import (collocations, decontamination, embedding_dedup, exact_dedup, extraction, hard_negatives, hmm, language, line_dedup,
+               near_dedup, packing, secrets, suffix_dedup)
 from .common import table
 
 
@@ -56,6 +57,19 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"),
+                                         label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
@@ -67,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_html_text": op10_html_text,
+    "op11_collocations": op11_collocations,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -76,4 +93,71 @@ SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY body)
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents WHERE text IS NOT NULL),
+        worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+        total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM worded GROUP BY lang),
+        grams AS (
+            SELECT lang, len(g) AS size, array_to_string(g, ' ') AS phrase
+            FROM (SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda k:
+                         list_transform(range(0, greatest(len(ws) - k + 1, 0)), lambda i: ws[i + 1:i + k])))) AS g FROM worded)),
+        often AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+        cuts AS (
+            SELECT o.lang, o.size, o.phrase, o.a, k,
+                   array_to_string(string_split(o.phrase, ' ')[1:k], ' ') AS head,
+                   array_to_string(string_split(o.phrase, ' ')[k + 1:], ' ') AS tail
+            FROM often o, range(1, 5) t(k) WHERE k < o.size),
+        scored AS (
+            SELECT c.lang, c.size, c.phrase, c.a, h.a AS l, t.a AS r, total.n, c.k,
+                   (1000::HUGEINT * c.a * total.n) // (h.a::HUGEINT * t.a) AS score
+            FROM cuts c JOIN often h ON h.lang = c.lang AND h.phrase = c.head
+            JOIN often t ON t.lang = c.lang AND t.phrase = c.tail JOIN total ON total.lang = c.lang),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        free AS (
+            SELECT * FROM lowest s WHERE NOT EXISTS (
+                SELECT 1 FROM often o WHERE o.lang = s.lang AND o.size > s.size AND 100 * o.a >= 100 * s.a
+                AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' '))),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM free)
+        SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM placed WHERE rank <= 2000
+    """,
+    "op12_hard_negatives": """
+        WITH fit AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same,
+                   CAST(list_inner_product(a.q, o.q) AS BIGINT) AS score
+            FROM fit a JOIN fit o ON a.vec_id <> o.vec_id WHERE a.vec_id % 100 = 0),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scores USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+    """,
+    "op13_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach(vec_id, other) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+        component AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+        SELECT c.vec_id, (SELECT count(*) FROM links l WHERE l.a = c.vec_id) AS n_links, component_id,
+               c.vec_id = component_id AS kept
+        FROM component c
+    """,
 }
