@@ -2,8 +2,8 @@
 
 1. Texts are cut into pieces and words, and written once as chunks of about ``chunk`` words: the chunk's
    own vocabulary with its counts, and the words as numbers into it.  A chunk is what a task holds.
-2. The chunks' vocabularies are summed.  Only words that occur ``least`` times get an id: a phrase is
-   never more frequent than one of its words.  The ids travel back to the chunks that hold the words.
+2. The chunks' vocabularies are summed in ranges of the words' hashes.  Only words that occur ``least`` times get
+   an id: a phrase is never more frequent than one of its words.  The ids travel back to the chunks that hold the words.
 3. Phrases grow by a word at a time.  A phrase of k + 1 words is packed as the ids of its first k and of
    its last k words, which are both known to be frequent; every chunk counts its packed phrases in a
    quotient filter and sends the filter's ranges, in bytes, to the ranges' tasks.  There the sorted
@@ -13,7 +13,7 @@
    has the counts of both sides.  A phrase that a longer one explains is seen by the phrases of one word
    more (what holds for a longer phrase holds for those between).
 
-What a task holds is a chunk or a range of about a million keys.  No table of words or phrases is
+What a task holds is a chunk, or a range of about a million keys or words.  No table of words or phrases is
 broadcast or sent to the driver; hot words and phrases count once a chunk.
 """
 
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,20 +112,81 @@ def _states(rows) -> Iterator[pa.RecordBatch]:
                 [("shard", pa.int64()), ("n", pa.int64()), ("at", pa.binary()), ("ids", pa.binary())]))
 
 
-def _first(batches) -> Iterator[pa.RecordBatch]:
+_WORDS = "part int, lang string, shard long, n long, words binary, counts binary, numbers binary"
+
+
+def _vocabularies(batches, part_bits: int) -> Iterator[pa.RecordBatch]:
+    """Each chunk's words of a language and of a range of hashes, one after the other (no word holds a newline)."""
+    for b in batches:
+        for shard, words in zip(b.column("shard").to_pylist(), b.column("words"), strict=True):
+            lang, word, c = words.values.flatten()
+            lang, c = lang.dictionary_encode(), c.to_numpy()
+            word = np.array(word.to_pylist(), object)
+            part = np.array([xxhash.xxh32_intdigest(w) for w in word], np.int64) >> (32 - part_bits)
+            code = lang.indices.to_numpy()
+            order = np.lexsort((code, part))
+            key = part[order] << 32 | code[order]
+            ends = np.flatnonzero(np.diff(key)) + 1
+            rows = [(int(part[at[0]]), lang.dictionary[int(code[at[0]])].as_py(), shard, len(at), b"\n".join(word[at]),
+                     c[at].astype("<i8").tobytes(), (at + 1).astype("<u4").tobytes()) for at in np.split(order, ends)]
+            cols = list(zip(*rows, strict=True))
+            types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)],
+                                             names=[x.split()[0] for x in _WORDS.split(", ")])
+
+
+def _words_merger(least: int):
+    """A range of all vocabularies: each language's total (``counts``) and frequent words (``shard`` null), and for each chunk
+    which of its words these are.  ``n`` is the number of places taken in the range so far."""
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, places, part = [], 0, int(pdf["part"].iloc[0])
+        for lang, rows in pdf.groupby("lang", sort=False):
+            word = np.array([w for held in rows["words"] for w in held.split(b"\n")], object)
+            code, names = pd.factorize(word)
+            counts = np.zeros(len(names), np.int64)
+            np.add.at(counts, code, np.frombuffer(b"".join(rows["counts"]), "<i8"))
+            often = counts >= least
+            place = np.where(often, places + np.cumsum(often) - 1, -1)
+            total = np.array([counts.sum(), places], "<i8").tobytes()
+            places += int(often.sum())
+            out.append((part, lang, None, places, b"\n".join(names[often]), total + counts[often].astype("<i8").tobytes(), None))
+            mine, at = place[code], 0
+            for shard, n, numbers in zip(rows["shard"], rows["n"], rows["numbers"], strict=True):
+                live = np.flatnonzero(mine[at:at + n] >= 0)
+                if len(live):
+                    out.append((part, lang, shard, len(live), None, mine[at + live].astype("<u4").tobytes(),
+                                np.frombuffer(numbers, "<u4")[live].tobytes()))
+                at += n
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _WORDS.split(", ")]).astype({"shard": "Int64"})
+    return merge
+
+
+def _frequent_words(batches, place_bits: int) -> Iterator[pa.RecordBatch]:
+    """``id, lang, word, a, n``: the frequent words, and for every language and range a row without id with its total."""
+    names = ["id", "lang", "word", "a", "n"]
+    types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
+    for b in batches:
+        for part, lang, words, counts in zip(*(b.column(c).to_pylist() for c in ("part", "lang", "words", "counts")), strict=True):
+            total, first, *counts = np.frombuffer(counts, "<i8").tolist()
+            ids = [None, *(part << place_bits | first + i for i in range(len(counts)))]
+            cols = [ids, [lang] * len(ids), [None, *(words.split(b"\n") if counts else ())], [None, *counts], [total, *[None] * len(counts)]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
+
+
+def _first(batches, place_bits: int) -> Iterator[pa.RecordBatch]:
     """Chunks with the ids of their frequent words."""
     def rows():
         for b in batches:
-            for row in range(b.num_rows):
-                r = {k: b.column(k)[row] for k in b.schema.names}
-                sequence = np.frombuffer(zlib.decompress(r["sequence"].as_py()), "<u4")
-                found = r["found"].values.flatten()
-                number, ids = (x.to_numpy(zero_copy_only=False) for x in found)
-                table = np.zeros(int(max(sequence.max(), number.max())) + 1, np.uint64)
-                table[number] = ids.astype(np.uint64) + np.uint64(1)
+            for shard, sequence, found in zip(*(b.column(c).to_pylist() for c in ("shard", "sequence", "found")), strict=True):
+                sequence = np.frombuffer(zlib.decompress(sequence), "<u4")
+                table = np.zeros(int(sequence.max()) + 1, np.uint64)
+                for reply in found:
+                    place = np.frombuffer(reply["counts"], "<u4").astype(np.uint64)
+                    table[np.frombuffer(reply["numbers"], "<u4")] = (
+                        (np.uint64(reply["part"]) << np.uint64(place_bits)) | place) + np.uint64(1)
                 got = table[sequence]
                 at = np.flatnonzero(got)
-                yield _state(r["shard"].as_py(), at, got[at] - np.uint64(1))
+                yield _state(shard, at, got[at] - np.uint64(1))
     yield from _states(rows())
 
 
@@ -228,23 +290,23 @@ def collocations(df: DataFrame, longest: int = LONGEST, least: int = LEAST, best
     chunks = cut(docs.mapInArrow(lambda it: _chunks(it, chunk),
                                  "shard long, n long, words array<struct<lang: string, word: binary, c: long>>, sequence binary"),
                  "colloc_chunks")
-    words = chunks.select("shard", F.posexplode("words").alias("at", "w")).select(
-        "shard", (F.col("at") + 1).alias("number"), "w.*")
-    totals = cut(words.groupBy("lang").agg(F.sum("c").alias("n")), "colloc_totals")
-    numbered = cut(words.groupBy("lang", "word").agg(F.sum("c").alias("a")).where(F.col("a") >= least)
-                        .withColumn("_m", F.monotonically_increasing_id()), "colloc_words")
-    # the number within its file's partition, and the partition, without the unused bits between
-    within = F.col("_m").bitwiseAND(F.lit(2**33 - 1))
-    place_bits = _bits(numbered.agg(F.max(within)).first()[0])
-    id_bits = _bits(numbered.agg(F.max(F.shiftright("_m", 33))).first()[0]) + place_bits
-    ids = numbered.select("lang", "word", "a",
-                          F.shiftleft(F.shiftright("_m", 33), place_bits).bitwiseOR(within).alias("id"))
-
-    known = ids.select("id", "lang", F.array(F.col("word").cast("string")).alias("words"), "a",
-                       F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails"))
-    found = words.join(ids.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(
-        F.collect_list(F.struct(F.col("number").cast("long").alias("number"), "id")).alias("found"))
-    state = cut(chunks.select("shard", "sequence").join(found, "shard").mapInArrow(_first, _STATE), "colloc_state")
+    part_bits = (max(shuffle_partitions(spark), (chunks.agg(F.sum(F.size("words"))).first()[0] or 0) // keys) - 1).bit_length()
+    part_bits = min(part_bits, 31)
+    merged = cut(chunks.select("shard", "words").mapInArrow(lambda it, p=part_bits: _vocabularies(it, p), _WORDS)
+                       .groupBy("part").applyInPandas(_words_merger(least), _WORDS), "colloc_words")
+    summed = merged.where("shard IS NULL")
+    place_bits = _bits(summed.agg(F.max("n") - 1).first()[0])
+    numbered = cut(summed.select("part", "lang", "words", "counts").mapInArrow(
+        lambda it, b=place_bits: _frequent_words(it, b), "id long, lang string, word binary, a long, n long"), "colloc_numbered")
+    totals = cut(numbered.where("id IS NULL").groupBy("lang").agg(F.sum("n").alias("n")), "colloc_totals")
+    known = numbered.where("id IS NOT NULL").select(
+        "id", "lang", F.array(F.col("word").cast("string")).alias("words"), "a",
+        F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails"))
+    replies = merged.where("shard IS NOT NULL").groupBy("shard").agg(
+        F.collect_list(F.struct("part", "counts", "numbers")).alias("found"))
+    state = cut(chunks.select("shard", "sequence").join(replies, "shard").mapInArrow(
+        lambda it, b=place_bits: _first(it, b), _STATE), "colloc_state")
+    id_bits = part_bits + place_bits
 
     levels: list[DataFrame] = []
     for length in range(2, longest + 1):
