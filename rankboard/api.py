@@ -105,6 +105,17 @@ class Workshop:
         return ST.start_leaderboard(graded, self.users_table, totals_table, board_table, root.rstrip("/"),
                                     f"{root.rstrip('/')}/checkpoint", trigger)
 
+    def live_page(self, board_table: str = K.LEADERBOARD_TABLE, page_no: int = 1, page_size: int = K.PAGE_SIZE) -> DataFrame:
+        """A page of a live board, read through its rank index: only the buckets that hold these ranks."""
+        from .streaming.live_index import RankIndex
+        first = (page_no - 1) * page_size + 1
+        return L.podium(RankIndex.of(self.spark, board_table).ranks(first, first + page_size - 1))
+
+    def live_rank(self, user_id: str, board_table: str = K.LEADERBOARD_TABLE) -> DataFrame:
+        """One user's place on a live board, by a look into the user's bucket."""
+        from .streaming.live_index import RankIndex
+        return L.podium(RankIndex.of(self.spark, board_table).rank_of(user_id))
+
     def refresh_leaderboard_table(self, table: str = K.LEADERBOARD_TABLE) -> str:
         """Materialise the ranked board into ``table`` (created on first use), as one new version."""
         with lineage_scope(self.spark):   # rank lineage cut released once published

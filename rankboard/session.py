@@ -91,6 +91,12 @@ def release_path(spark: SparkSession, path: str) -> None:
     spark.range(0).write.mode("overwrite").parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a directory that this library has written; one that is gone already is fine."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def lineage_scope(spark: SparkSession):
     """Release every lineage cut written inside the block when the block ends.

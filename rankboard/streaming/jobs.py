@@ -6,11 +6,11 @@ T1  ``start_grading``: response stream -> guard -> broadcast stream-static join
 T2  ``start_leaderboard``: running per-user totals in the state store
     (``update`` mode: only users whose totals changed are emitted), merged by
     ``foreachBatch`` into a totals table that is partitioned by a hash of the
-    user.  A trigger rewrites the buckets of the users it changed and no others.
-    Ranking the whole board is a job of its own cadence (``rank_every`` triggers,
-    ``rebuild_board``, ``refresh_now``): it joins the totals with the static roster,
-    ranks them (distributed global rank) and publishes the board as a directory
-    named after the batch id, so a retried batch is idempotent.
+    user.  A trigger replaces the buckets of the users it changed and no others
+    (``sources.buckets``: new directories, old ones kept).  The same users bring the
+    rank index up to date (``live_index``), and the board is published from it at every
+    trigger, without a sort of all users.  A board version is a directory named after the
+    batch id, so a retried batch is idempotent.
 T3  ``refresh_now``: T2 with ``availableNow`` (the refresh button), ranked once at the end.
 
 Why foreachBatch: a static-left outer join with a streaming right side and
@@ -32,15 +32,17 @@ from ..operators.grading import grade, valid_submissions
 from ..operators.leaderboard import board_from_totals, podium, score_totals
 from ..operators.leaderboard import ranked_with_cut
 from ..session import STREAMING_CONF, lineage_scope
+from ..sources.buckets import bucket_count, create_bucket_table, in_buckets, replace_buckets
 from ..sources.tables import points_at, publish_version, table_location, table_property
+from .live_index import RankIndex
 
-TOTALS_DDL = "user_id STRING, total_points BIGINT, questions_answered BIGINT, bucket INT"
-# Buckets of a totals table (fixed when it is created) and the last batch merged into it.
+TOTALS_DDL = "user_id STRING, total_points BIGINT, questions_answered BIGINT"
+# Buckets of a totals table at least; a larger roster gets one for so many users (fixed when the table is created).
 BUCKETS = 64
-BUCKETS_PROPERTY = "rankboard.buckets"
+USERS_PER_BUCKET = 250_000
 BATCH_PROPERTY = "rankboard.batch"
-# A live board is ranked anew every so many triggers.
-RANK_EVERY = 10
+# A live board is published every so many triggers.
+RANK_EVERY = 1
 
 # Publishes of one board (micro-batches and on-demand rebuilds, all in the
 # driver) are serialised, so a rebuild never reads totals a batch is replacing
@@ -68,8 +70,11 @@ def _board(roster: DataFrame, totals: DataFrame, ranked: bool) -> tuple[DataFram
 
 
 def _roster(spark: SparkSession, roster: DataFrame | str) -> DataFrame:
-    """A roster given by table name is resolved afresh (its current version) on each use."""
-    return spark.table(roster) if isinstance(roster, str) else roster
+    """A roster given by table name is resolved afresh (its current version and files) on each use."""
+    if isinstance(roster, str):
+        spark.catalog.refreshTable(roster)
+        return spark.table(roster)
+    return roster
 
 
 def _publish_board(spark, roster, totals_table, board_table, path, ranked) -> None:
@@ -108,29 +113,24 @@ def start_grading(responses: DataFrame, bank: DataFrame, sink_path: str, checkpo
     return _trigger(w, trigger).start()
 
 
-def merge_totals(changed: DataFrame, totals_table: str) -> list[int]:
+def merge_totals(changed: DataFrame, totals_table: str, batch_id: int) -> list[int]:
     """Replace the totals of the ``changed`` users: only the buckets they fall into are read and rewritten.
 
-    A bucket is replaced as a whole by the write's commit; the values are absolute, so a merge that
-    was cut short is completed by running it again.  Returns the buckets (at most as many as there are).
+    The new buckets are written beside the old ones and then published (``replace_buckets``), the batch id
+    last; the values are absolute, so a merge that was cut short is completed by running it again, and
+    until then every user has the old or the new totals.  Returns the buckets.
     """
     spark = changed.sparkSession
-    n = int(table_property(spark, totals_table, BUCKETS_PROPERTY))
+    n = bucket_count(spark, totals_table)
     changed = changed.select("user_id", "total_points", "questions_answered",
                              F.pmod(F.xxhash64("user_id"), F.lit(n)).cast("int").alias("bucket")).persist()
-    mode = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(mode)
     try:
-        touched = [r["bucket"] for r in changed.select("bucket").distinct().collect()]
-        if touched:
-            held = spark.table(totals_table).where(F.col("bucket").isin(touched))
-            merged = held.join(changed.select("user_id"), "user_id", "left_anti").unionByName(changed)
-            spark.conf.set(mode, "dynamic")
-            merged.repartition("bucket").write.mode("overwrite").insertInto(totals_table)
-            spark.sql(f"REFRESH TABLE {totals_table}")
-        return sorted(touched)
+        touched = sorted(r["bucket"] for r in changed.select("bucket").distinct().collect())   # <= buckets
+        held = in_buckets(spark.table(totals_table), touched)
+        merged = held.join(changed.select("user_id"), "user_id", "left_anti").unionByName(changed)
+        replace_buckets(merged, totals_table, touched, f"{batch_id:012d}", {BATCH_PROPERTY: batch_id})
+        return touched
     finally:
-        spark.conf.set(mode, before)
         changed.unpersist()
 
 
@@ -140,7 +140,8 @@ def last_batch(spark: SparkSession, totals_table: str) -> int:
 
 
 class LeaderboardRefresher:
-    """``foreachBatch`` body: merge changed totals; every ``rank_every``-th batch (0: never) publish the board.
+    """``foreachBatch`` body: merge changed totals, bring the rank index up to date, and publish the board every
+    ``rank_every``-th batch (0: neither index nor board, ``refresh_now`` ranks at the end).
 
     ``batch`` holds the *current* running totals of users that changed in this
     micro-batch (absolute values, not deltas), so re-applying a batch is
@@ -151,8 +152,9 @@ class LeaderboardRefresher:
     """
 
     def __init__(self, roster: DataFrame | str, totals_table: str, board_table: str, root: str,
-                 ranked: bool = True, rank_every: int = 1):
+                 ranked: bool = True, rank_every: int = RANK_EVERY, index_buckets: int | None = None):
         self.rank_every = rank_every
+        self.index_buckets = index_buckets
         self.roster = roster
         self.totals_table = totals_table
         self.board_table = board_table
@@ -166,10 +168,21 @@ class LeaderboardRefresher:
     def _apply(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if last_batch(spark, self.totals_table) < batch_id:
-            merge_totals(batch, self.totals_table)
-            spark.sql(f"ALTER TABLE {self.totals_table} SET TBLPROPERTIES ('{BATCH_PROPERTY}' = '{batch_id}')")
-        if self.rank_every and batch_id % self.rank_every == 0:
-            _publish_batch(spark, self.roster, self.totals_table, self.board_table, self.root, batch_id, self.ranked)
+            merge_totals(batch, self.totals_table, batch_id)
+        if not self.rank_every:
+            return
+        index = None
+        if self.ranked:
+            index = RankIndex(spark, self.board_table, self.root, self.index_buckets)
+            index.update(batch, batch_id, self.roster, spark.table(self.totals_table).drop("bucket"))
+        if batch_id % self.rank_every == 0:
+            path = f"{self.root}/board/v{batch_id:012d}"
+            if points_at(spark, self.board_table, path):
+                return
+            if index is None:
+                _publish_board(spark, self.roster, self.totals_table, self.board_table, path, ranked=False)
+            else:
+                publish_version(podium(index.board()), self.board_table, path)
 
 
 def _publish_batch(spark, roster, totals_table, board_table, root, batch_id, ranked) -> None:
@@ -180,8 +193,9 @@ def _publish_batch(spark, roster, totals_table, board_table, root, batch_id, ran
 
 def _init_tables(spark: SparkSession, roster: DataFrame | str, totals_table: str, board_table: str,
                  root: str, zero_board: bool = True, ranked: bool = True) -> None:
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {totals_table} ({TOTALS_DDL}) USING parquet PARTITIONED BY (bucket) "
-              f"LOCATION '{root}/totals' TBLPROPERTIES ('{BUCKETS_PROPERTY}' = '{BUCKETS}')")
+    if not spark.catalog.tableExists(totals_table):
+        users = _roster(spark, roster).count()
+        create_bucket_table(spark, totals_table, TOTALS_DDL, f"{root}/totals", max(BUCKETS, -(-users // USERS_PER_BUCKET)))
     if not spark.catalog.tableExists(board_table):
         shape = _board(_roster(spark, roster), spark.table(totals_table).drop("bucket"), ranked=False)[0]
         if ranked:   # the ranked schema, built lazily (ranking itself would run jobs)
@@ -222,13 +236,15 @@ def start_leaderboard(graded: DataFrame, roster: DataFrame | str, totals_table:
                       root: str, checkpoint: str, trigger: str | None = None,
                       zero_board: bool = True, ranked: bool = True,
                       rank_every: int = RANK_EVERY) -> StreamingQuery:
-    """T2: keep the totals current with every trigger and rank ``board_table`` every ``rank_every``-th one
-    (the first included), when it equals the batch ``leaderboard`` of everything seen.
+    """T2: after every trigger ``board_table`` equals the batch ``leaderboard`` of everything seen.
+
+    With ``rank_every`` over 1 only every so many batches are published (the first included), and what comes after
+    the last of them waits for ``rebuild_board``.
 
     With ``zero_board`` an all-zero board is published before the first trigger,
     so readers of a live board never find it empty.  Pass the roster as a table
-    name for long-running streams (see ``LeaderboardRefresher``).  The totals and
-    board tables keep one previous version; read them by name on every refresh.
+    name for long-running streams (see ``LeaderboardRefresher``).  The board keeps one
+    previous version, and so does each bucket of the totals; read them by name on every refresh.
     """
     spark = graded.sparkSession
     if trigger not in (None, "availableNow") and not isinstance(roster, str):

@@ -1,0 +1,224 @@
+"""Atomic totals and the rank index of a live board."""
+
+import os
+import random
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from rankboard.operators import leaderboard as L
+from rankboard.operators import rank_index as X
+from rankboard.sources import buckets as B
+from rankboard.sources import tables as TB
+from rankboard.streaming import jobs as ST
+from rankboard.streaming.live_index import RankIndex
+
+ROSTER = "user_id string, email string, display_name string, user_name string"
+TOTALS = "user_id string, total_points long, questions_answered long"
+
+
+def _roster(spark, n):
+    return spark.createDataFrame([(f"u{i:03d}", f"{i}@x", f"N {i}", f"n{i}") for i in range(n)], ROSTER)
+
+
+def _names():
+    return f"t_{uuid.uuid4().hex[:8]}", f"b_{uuid.uuid4().hex[:8]}"
+
+
+def _totals(spark, table):
+    spark.sql(f"REFRESH TABLE {table}")
+    return {r["user_id"]: (r["total_points"], r["questions_answered"]) for r in spark.table(table).collect()}
+
+
+def _rows(df):
+    return sorted((r["rank"], r["user_id"], r["total_points"], r["questions_answered"]) for r in df.collect())
+
+
+def _want(users, totals):
+    rows = sorted((-totals.get(u, (0, 0))[0], -totals.get(u, (0, 0))[1], u) for u in users)
+    return [(i + 1, u, -p, -a) for i, (p, a, u) in enumerate(rows)]
+
+
+# -- totals -----------------------------------------------------------------------------------
+
+def test_a_lost_driver_leaves_every_user_old_or_new(spark, scratch, monkeypatch):
+    """The publish dies after some buckets, before others: nobody is missing, and the retry completes it."""
+    totals_t, board_t = _names()
+    ST._init_tables(spark, _roster(spark, 200), totals_t, board_t, f"{scratch}/lb", zero_board=False)
+    old = {f"u{i:03d}": (10, 1) for i in range(200)}
+    ST.merge_totals(spark.createDataFrame([(u, *v) for u, v in old.items()], TOTALS), totals_t, 0)
+    new = {u: (30, 2) for u in old}
+    changed = spark.createDataFrame([(u, *v) for u, v in new.items()], TOTALS)
+
+    real, done = B._repoint, []
+
+    def dying(spark_, table, bucket, path):
+        if len(done) >= 5:
+            raise RuntimeError("driver lost")
+        done.append(bucket)
+        real(spark_, table, bucket, path)
+
+    monkeypatch.setattr(B, "_repoint", dying)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        ST.merge_totals(changed, totals_t, 1)
+    now = _totals(spark, totals_t)
+    assert set(now) == set(old) and ST.last_batch(spark, totals_t) == 0
+    assert {v for v in now.values()} == {(10, 1), (30, 2)}          # whole buckets, old or new
+    monkeypatch.setattr(B, "_repoint", real)
+    ST.merge_totals(changed, totals_t, 1)
+    assert _totals(spark, totals_t) == new and ST.last_batch(spark, totals_t) == 1
+
+
+def test_a_failing_write_publishes_nothing(spark, scratch):
+    totals_t, board_t = _names()
+    ST._init_tables(spark, _roster(spark, 50), totals_t, board_t, f"{scratch}/lb", zero_board=False)
+    old = {f"u{i:03d}": (10, 1) for i in range(50)}
+    ST.merge_totals(spark.createDataFrame([(u, *v) for u, v in old.items()], TOTALS), totals_t, 0)
+    bad = spark.createDataFrame([(u, 20, 2) for u in old], TOTALS).withColumn(
+        "bucket", F.lit(0)).withColumn("total_points", F.when(F.col("user_id") == "u049", F.raise_error(F.lit("task lost")).cast("long"))
+                                       .otherwise(F.col("total_points")))
+    with pytest.raises(Exception, match="task lost"):
+        B.replace_buckets(bad, totals_t, [0], "x")
+    assert _totals(spark, totals_t) == old
+
+
+def test_old_directories_go_after_the_next_replacement(spark, scratch):
+    table = f"t_{uuid.uuid4().hex[:8]}"
+    B.create_bucket_table(spark, table, "user_id STRING", f"{scratch}/t", 4)
+    rows = lambda x: spark.createDataFrame([(f"{x}", 0), (f"{x}", 1)], "user_id string, bucket int")
+    paths = [B.replace_buckets(rows(i), table, [0, 1], str(i)) for i in range(3)]
+    assert [os.path.exists(f"{p.removeprefix('file:')}/bucket=0") for p in paths] == [False, True, True]
+    assert B.replace_buckets(rows(9).where("bucket = 0"), table, [0, 1], "9", {"k": "v"}) and TB.table_property(spark, table, "k") == "v"
+    assert [tuple(r) for r in spark.table(table).collect()] == [("9", 0)]   # a touched bucket without rows is empty
+    with pytest.raises(ValueError, match="not to be replaced"):
+        B.replace_buckets(rows(5), table, [1], "5")
+
+
+def test_no_session_setting_is_flipped(spark, scratch, monkeypatch):
+    totals_t, board_t = _names()
+    ST._init_tables(spark, _roster(spark, 5), totals_t, board_t, f"{scratch}/lb", zero_board=False)
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    seen = []
+    rows = spark.createDataFrame([("u001", 10, 1)], TOTALS)
+    before = spark.conf.get(mode)
+    monkeypatch.setattr(type(spark.conf), "set", lambda self, k, v: seen.append(k))
+    ST.merge_totals(rows, totals_t, 0)
+    assert mode not in seen and spark.conf.get(mode) == before
+
+
+# -- ranks ------------------------------------------------------------------------------------
+
+def test_ranks_from_counts_equal_a_sort(spark):
+    rng = random.Random(3)
+    users = [f"u{rng.randint(0, 10**6)}é"[:rng.randint(3, 9)] + str(i) for i in range(500)]
+    totals = {u: (10 * rng.randint(0, 4), rng.randint(0, 4)) for u in users if rng.random() < 0.5}
+    members = spark.createDataFrame([(u, None, None, *totals.get(u, (0, 0))) for u in users],
+                                    "user_id string, display_name string, email string, total_points long, questions_answered long")
+    for buckets in (1, 2, 7, 64):
+        bounds = X.range_bounds(members, buckets)
+        assert len(bounds) < buckets and bounds == sorted(bounds)
+        seats = X.seated(members.withColumn("bucket", X.bucket_of(bounds)))
+        got = X.with_rank(seats, X.offsets(X.count_cells(seats)))
+        assert _rows(got) == _want(users, totals)
+    with pytest.raises(ValueError):
+        X.range_bounds(members, 1000)
+
+
+def test_every_trigger_is_on_the_board(spark, scratch):
+    """Random batches, a user nobody knows, a batch run twice, a roster sync: always the batch board."""
+    rng = random.Random(5)
+    roster_t = f"r_{uuid.uuid4().hex[:8]}"
+    TB.create_roster_table(spark, roster_t, f"{scratch}/roster/v0")
+    TB.insert(_roster(spark, 60), roster_t)
+    users, totals = [f"u{i:03d}" for i in range(60)], {}
+    totals_t, board_t = _names()
+    root = f"{scratch}/lb"
+    ST._init_tables(spark, roster_t, totals_t, board_t, root)
+    fn = ST.LeaderboardRefresher(roster_t, totals_t, board_t, root, index_buckets=5)
+    how = []
+    real = RankIndex.update
+    for i in range(4):
+        batch = {u: (10 * rng.randint(1, 3), rng.randint(1, 3)) for u in rng.sample([*users, "stranger"], 8)}
+        totals |= batch
+        if i == 3:   # a sync adds a user, in place
+            TB.insert(spark.createDataFrame([("a-new-one", "n@x", "New One", "new")], ROSTER), roster_t)
+            users.append("a-new-one")
+        df = spark.createDataFrame([(u, *v) for u, v in batch.items()], TOTALS)
+        RankIndex.update = lambda *a: how.append(real(*a)) or how[-1]
+        try:
+            fn(df, i)
+            if i == 1:
+                fn(df, i)
+        finally:
+            RankIndex.update = real
+        assert _rows(spark.table(board_t)) == _want(users, totals)
+    assert how == ["rebuilt", "changed", "held", "changed", "rebuilt"]
+    index = RankIndex.of(spark, board_t)
+    want = _want(users, totals)
+    assert _rows(index.ranks(11, 20)) == want[10:20]
+    assert _rows(index.ranks(55, 99)) == want[54:]
+    assert _rows(index.ranks(900, 999)) == []
+    assert _rows(index.rank_of("u007")) == [r for r in want if r[1] == "u007"] and index.rank_of("stranger").count() == 0
+
+
+def test_an_index_that_missed_a_batch_is_rebuilt(spark, scratch):
+    totals_t, board_t = _names()
+    root, roster = f"{scratch}/lb", _roster(spark, 9)
+    ST._init_tables(spark, roster, totals_t, board_t, root, zero_board=False)
+    live = ST.LeaderboardRefresher(roster, totals_t, board_t, root, index_buckets=3)
+    quiet = ST.LeaderboardRefresher(roster, totals_t, board_t, root, rank_every=0)
+    row = lambda u, p: spark.createDataFrame([(u, p, 1)], TOTALS)
+    live(row("u001", 10), 0)
+    quiet(row("u002", 30), 1)
+    live(row("u003", 20), 2)
+    assert [r[1] for r in _rows(spark.table(board_t))[:3]] == ["u002", "u003", "u001"]
+
+
+def test_an_index_cut_short_is_completed_by_the_retry(spark, scratch, monkeypatch):
+    totals_t, board_t = _names()
+    root, roster = f"{scratch}/lb", _roster(spark, 9)
+    ST._init_tables(spark, roster, totals_t, board_t, root, zero_board=False)
+    fn = ST.LeaderboardRefresher(roster, totals_t, board_t, root, index_buckets=3)
+    fn(spark.createDataFrame([("u001", 10, 1)], TOTALS), 0)
+    batch = spark.createDataFrame([("u008", 50, 1)], TOTALS)
+    with monkeypatch.context() as m:
+        m.setattr(RankIndex, "_publish_cells", lambda self, cells: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        with pytest.raises(RuntimeError, match="driver lost"):
+            fn(batch, 1)
+    assert _rows(spark.table(board_t))[0][1] == "u001"          # the published board is the old one, whole
+    fn(batch, 1)
+    assert _rows(spark.table(board_t)) == _want([f"u{i:03d}" for i in range(9)], {"u001": (10, 1), "u008": (50, 1)})
+
+
+def test_the_default_live_board_shows_the_last_answers(spark, scratch):
+    """Two files, one a trigger, then silence: the board has both."""
+    from rankboard import api
+    roster_t, responses_t = f"r_{uuid.uuid4().hex[:8]}", f"s_{uuid.uuid4().hex[:8]}"
+    w = api.Workshop(spark, roster_t, responses_t, scratch)
+    w.create_tables()
+    TB.insert(_roster(spark, 4), roster_t)
+    schema = "response_id string, user_id string, question_id int, user_answer string"
+    for i, row in enumerate([("r1", "u001", 1, "x"), ("r2", "u002", 1, "yes")]):
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{scratch}/answers/part={i}")
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").option("recursiveFileLookup", "true")
+              .parquet(f"{scratch}/answers"))
+    bank = spark.createDataFrame([(1, "q", ["yes", "x"], "yes")], "id int, question string, options array<string>, correct_answer string")
+    board_t = f"b_{uuid.uuid4().hex[:8]}"
+    w.live_board(stream, bank, f"{scratch}/live", board_t, trigger=None).awaitTermination()
+    assert [r[1:] for r in _rows(spark.table(board_t))[:2]] == [("u002", 10, 1), ("u001", 0, 1)]
+    assert [r[1] for r in _rows(w.live_page(board_t, 1, 2))] == ["u002", "u001"]
+    assert [r[1] for r in _rows(w.live_page(board_t, 2, 2))] == ["u000", "u003"]
+
+
+def test_publishing_sorts_no_board(spark, scratch):
+    totals_t, board_t = _names()
+    root, roster = f"{scratch}/lb", _roster(spark, 40)
+    ST._init_tables(spark, roster, totals_t, board_t, root, zero_board=False)
+    ST.LeaderboardRefresher(roster, totals_t, board_t, root, index_buckets=4)(spark.createDataFrame([("u001", 10, 1)], TOTALS), 0)
+    index = RankIndex.of(spark, board_t)
+    plan = L.podium(index.board())._jdf.queryExecution().optimizedPlan().toString()
+    seats = plan[plan.index("_seats") - 400:]
+    assert "rangepartitioning" not in index.board()._jdf.queryExecution().executedPlan().toString() and "Sort" not in seats
+    page = index.ranks(1, 5)
+    assert len(page.inputFiles()) < len(index.seats().inputFiles())
