@@ -21,8 +21,14 @@ from .operators import grading as G
 from .operators import leaderboard as L
 from .operators import roster as R
 from .operators import snapshot as P
-from .session import lineage_scope
+from .operators.joins import hot_share
+from .operators.pages import RankedPages
+from .session import delete_path, lineage_scope, shared_path
+from .sources import statistics as ST
 from .sources import tables as TB
+from .sources.buckets import set_properties
+
+PAGES, PAGES_BEFORE = "rankboard.pages", "rankboard.pages.previous"
 
 
 class Workshop:
@@ -69,15 +75,43 @@ class Workshop:
     def responses(self) -> DataFrame:
         return self.spark.table(self.responses_table)
 
-    def submit_responses(self, answers: DataFrame, bank: DataFrame | None = None) -> None:
+    def submit_responses(self, answers: DataFrame, bank: DataFrame | None = None, once: bool = False) -> None:
         """Guard, grade (against ``bank``, or the supplied ``correct_answer``) and append.
 
-        Re-submissions append further rows, as in the reference.
+        Answers whose question the bank lacks go to the table of ``ungraded``.  Re-submissions append
+        further rows, as in the reference; with ``once`` the answers carry their ``response_id`` and ids that
+        are stored already are left out, so a load may be sent again.
         """
-        valid = G.assign_response_ids(G.valid_submissions(answers))
-        graded = G.grade(valid, bank) if bank is not None else G.grade_supplied(valid)
-        cols = [c for c in S.RESPONSE_COLUMNS if c in graded.columns]
-        TB.insert(graded, self.responses_table, cols)
+        if once and "response_id" not in answers.columns:
+            raise ValueError("answers need a response_id to be stored once")
+        valid = G.valid_submissions(answers)
+        if bank is not None:   # ids are drawn after the split: the sides share no row
+            unknown = G.ungraded(valid, bank)
+            cols = [c for c in S.RESPONSE_COLUMNS if c in unknown.columns and c not in ("correct_answer", "points_earned")]
+            table = self._ungraded_table()
+            TB.create_responses_table(self.spark, table, self._loc(table))
+            self._append(G.assign_response_ids(unknown.select(*cols)), table, once)
+            graded = G.grade(valid, bank)
+        else:
+            graded = G.grade_supplied(valid)
+        self._append(G.assign_response_ids(graded), self.responses_table, once)
+
+    def _ungraded_table(self) -> str:
+        return f"{self.responses_table}_ungraded"
+
+    def _append(self, rows: DataFrame, table: str, once: bool) -> None:
+        cols = [c for c in S.RESPONSE_COLUMNS if c in rows.columns]
+        if once:
+            TB.append_new(rows, table, "response_id", cols)
+        else:
+            TB.insert(rows, table, cols)
+
+    def ungraded(self) -> DataFrame:
+        """Submitted answers that no bank had a question for (no grade, no points)."""
+        table = self._ungraded_table()
+        if not self.spark.catalog.tableExists(table):
+            return self.responses().where("false")
+        return self.spark.table(table)
 
     def get_user_score(self, user_id: str) -> int:
         return int(L.user_score(self.responses(), user_id).first()["total_points"])
@@ -117,14 +151,24 @@ class Workshop:
         return L.podium(RankIndex.of(self.spark, board_table).rank_of(user_id))
 
     def refresh_leaderboard_table(self, table: str = K.LEADERBOARD_TABLE) -> str:
-        """Materialise the ranked board into ``table`` (created on first use), as one new version."""
-        with lineage_scope(self.spark):   # rank lineage cut released once published
-            board = self.ranked_leaderboard()
-            if not self.spark.catalog.tableExists(table):
-                loc = f" LOCATION '{self._loc(table)}'" if self.location else ""
-                cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in board.schema.fields)
-                self.spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet{loc}")
-            return TB.replace_contents(board, table)
+        """Materialise the ranked board into ``table`` (created on first use), as one new version, with its pages
+        (``board_page``)."""
+        pages = L.board_pages(self.get_leaderboard(keep_key=True), shared_path(self.spark, "pages", table))
+        board = L.podium(pages.all())
+        if not self.spark.catalog.tableExists(table):
+            loc = f" LOCATION '{self._loc(table)}'" if self.location else ""
+            cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in board.schema.fields)
+            self.spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet{loc}")
+        path = TB.replace_contents(board, table)
+        old = {k: TB.table_property(self.spark, table, k) for k in (PAGES, PAGES_BEFORE)}
+        set_properties(self.spark, table, {PAGES: pages.path, PAGES_BEFORE: old[PAGES] or ""})
+        if old[PAGES_BEFORE]:   # as with the versions, the previous pages stay for their readers
+            delete_path(self.spark, old[PAGES_BEFORE])
+        return path
+
+    def board_page(self, page_no: int, page_size: int = K.PAGE_SIZE, table: str = K.LEADERBOARD_TABLE) -> DataFrame:
+        """A page of the board that ``refresh_leaderboard_table`` published last: a scan of the files of its ranks."""
+        return L.board_page(RankedPages(self.spark, TB.table_property(self.spark, table, PAGES)), page_no, page_size)
 
 
 class Snapshot:
@@ -144,15 +188,36 @@ class Snapshot:
     def refresh(self, roster: DataFrame, demo_when_empty: bool = True) -> str:
         """Full refresh from the roster: every score back to 0 (as the reference does)."""
         src = R.label_status(roster)
-        if demo_when_empty:
-            src = R.with_defaults(src, R.demo_participants(self.spark))
         with lineage_scope(self.spark):
-            return TB.replace_contents(P.participants_seed(src), self.table)
+            if demo_when_empty:   # the roster is evaluated once
+                src = R.stored_with_defaults(src, R.demo_participants(self.spark))
+            path = TB.refresh(P.participants_seed(src), self.table)
+        if not TB.has_row_level_operations(self.spark, self.table):
+            ST.record(self.spark, self.table, "email")
+        return path
 
     def add_points(self, increments: DataFrame) -> str:
-        """Apply ``(email, points)`` increments and publish the new version; if another writer came
-        first, they are applied to what it left."""
-        return TB.rewrite(self.spark, self.table, lambda snap: P.apply_increments(snap, increments))
+        """Apply ``(email, points)`` increments: the format's own MERGE where it has one, else a new version; if another
+        writer came first, they are applied to what it left.  Hot emails are known from the table's statistics."""
+        if TB.has_row_level_operations(self.spark, self.table):
+            TB.native_increment(P.score_deltas(increments), self.table, "email", "score", "_delta")
+            return TB.table_location(self.spark, self.table)
+        known = []
+
+        def change(snap: DataFrame) -> DataFrame:
+            known[:] = [ST.current(self.spark, self.table, "email")]
+            return P.apply_increments(snap, increments, hot=ST.hot_keys(self.spark, self.table, "email", hot_share(snap)))
+
+        path = TB.rewrite(self.spark, self.table, change)
+        ST.carry(self.spark, self.table, "email", known[0])   # increments change no email
+        return path
+
+    def add_points_to(self, email: str, points: int) -> str:
+        """``UPDATE ... SET score = score + points WHERE email = ...``: one statement where the format has it."""
+        if TB.has_row_level_operations(self.spark, self.table):
+            TB.native_update(self.spark, self.table, "score", points, "email", email)
+            return TB.table_location(self.spark, self.table)
+        return self.add_points(self.spark.createDataFrame([(email, points)], "email string, points int"))
 
     def view(self) -> DataFrame:
         return P.leaderboard_view(self.spark.table(self.table))

@@ -72,6 +72,16 @@ def grade(responses: DataFrame, bank: DataFrame | None, points: int = K.POINTS_P
                 .drop("_correct_norm"))
 
 
+def grade_or_flag(responses: DataFrame, bank: DataFrame, points: int = K.POINTS_PER_QUESTION) -> DataFrame:
+    """Every response, graded like ``grade``, with ``known``: whether its question is in the bank (if not, it has
+    no grade).  One join for both outcomes."""
+    key = answer_key(bank).withColumn("known", F.lit(True))
+    base = responses.drop("correct_answer", "points_earned")
+    earned = grade_points("user_answer", "_correct_norm", points, correct_is_normalized=True)
+    return (base.join(key, "question_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+                .withColumn("points_earned", F.when(F.col("known"), earned)).drop("_correct_norm"))
+
+
 def ungraded(responses: DataFrame, bank: DataFrame) -> DataFrame:
     """The responses that ``grade`` has no answer for: their question is not in the bank (or NULL)."""
     return responses.join(bank.select(F.col("id").cast("int").alias("question_id")), "question_id", "left_anti")

@@ -9,7 +9,8 @@ from .. import constants as K
 from ..functions import answered_label, is_complete, medal, progress_label, progress_pct, row_class, tier
 from .joins import left_join_skew_safe
 from ..sources.literal import literal_frame
-from .rank import global_row_number, global_row_number_with_cut, rank_window, top_k
+from .pages import RankedPages
+from .rank import global_row_number, global_row_number_with_cut, top_k
 
 
 def score_totals(graded: DataFrame, key: str = "user_id") -> DataFrame:
@@ -89,13 +90,20 @@ def top(board: DataFrame, n: int = K.DISPLAY_LIMIT) -> DataFrame:
     return podium(top_k(board, board_order(), n, "rank"))
 
 
+def board_pages(board: DataFrame, path: str | None = None, num_partitions: int | None = None) -> RankedPages:
+    """The board written in rank order, to be read by pages (``pages.RankedPages``)."""
+    return RankedPages.write(board, board_order(), path, num_partitions)
+
+
+def board_page(pages: RankedPages, page_no: int, page_size: int = K.PAGE_SIZE) -> DataFrame:
+    """Page ``page_no`` (1-based) with podium columns: a scan of the files that hold its ranks."""
+    return podium(pages.page(page_no, page_size)).withColumn("page", F.lit(page_no))
+
+
 def page(board: DataFrame, page_no: int, page_size: int = K.PAGE_SIZE,
          num_partitions: int | None = None) -> DataFrame:
-    """Page ``page_no`` (1-based) of the ranked board."""
-    first = (page_no - 1) * page_size + 1
-    last = page_no * page_size
-    out = rank_window(board, board_order(), first, last, "rank", num_partitions)
-    return podium(out).withColumn("page", F.lit(page_no))
+    """Page ``page_no`` (1-based) of a board that is not published; keep ``board_pages`` for more than one."""
+    return board_page(board_pages(board, num_partitions=num_partitions), page_no, page_size)
 
 
 def progress(board: DataFrame, max_score: int, n_questions: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .. import schemas as S
 from ..functions import first_email
+from ..session import cut_lineage
 from ..sources.literal import literal_frame
 
 
@@ -114,6 +115,18 @@ def with_defaults(df: DataFrame, defaults: DataFrame) -> DataFrame:
     return df.unionByName(fill, allowMissingColumns=True)
 
 
+def stored_with_defaults(df: DataFrame, defaults: DataFrame) -> DataFrame:
+    """``with_defaults`` that evaluates ``df`` once: its rows are written to the shared folder when this is called, and
+    whether there are any is told by what was written.
+
+    For a source that is costly to evaluate (a directory export that is parsed, a join); the write is
+    released by an enclosing ``session.lineage_scope``."""
+    held = cut_lineage(df, "defaults")
+    if held.isEmpty():
+        return held.unionByName(defaults, allowMissingColumns=True)
+    return held
+
+
 def label_status(roster: DataFrame) -> DataFrame:
     """Directory rows carry the active label unless they already have one."""
     if "status_label" in roster.columns:

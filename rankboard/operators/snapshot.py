@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import first_token, last_token
 from .joins import left_join_skew_safe
-from .rank import global_row_number, rank_window, top_k
+from .pages import RankedPages
+from .rank import global_row_number, top_k
 from .roster import label_status
 
 
@@ -54,16 +55,17 @@ def score_deltas(increments: DataFrame) -> DataFrame:
 
 
 def apply_increments(snapshot: DataFrame, increments: DataFrame,
-                     share: int | None = None) -> DataFrame:
+                     share: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Bulk form of ``UPDATE t SET score = score + p WHERE email = e``.
 
     Every snapshot row with that email gets the summed increments; rank and
     last_updated are untouched.  Increments are summed per email first; snapshot
     rows sharing one email (e.g. ``''``) are salted across reducers and rows
-    without an email are scattered (``joins.left_join_skew_safe``).
+    without an email are scattered (``joins.left_join_skew_safe``).  With ``hot`` (the
+    table's stored statistics) the snapshot is read once.
     """
     deltas = score_deltas(increments)
-    joined = left_join_skew_safe(snapshot, deltas, "email", "email", share)
+    joined = left_join_skew_safe(snapshot, deltas, "email", "email", share, hot)
     score = (F.col("score") + F.coalesce(F.col("_delta"), F.lit(0))).cast("int")
     return joined.withColumn("score", score).select(*snapshot.columns)
 
@@ -94,12 +96,16 @@ def view_sorted(snapshot: DataFrame, by: str, ascending: bool = True,
                              num_partitions).select(*VIEW_COLUMNS)
 
 
-def view_page(snapshot: DataFrame, page_no: int, page_size: int = K.PAGE_SIZE,
+def view_pages(snapshot: DataFrame, path: str | None = None, num_partitions: int | None = None) -> RankedPages:
+    """The view written in its order, to be read by pages."""
+    return RankedPages.write(view_rows(snapshot), viewer_order(), path, num_partitions)
+
+
+def view_page(snapshot: DataFrame | RankedPages, page_no: int, page_size: int = K.PAGE_SIZE,
               num_partitions: int | None = None) -> DataFrame:
-    """Page ``page_no`` (1-based) of the view."""
-    rows = rank_window(view_rows(snapshot), viewer_order(), (page_no - 1) * page_size + 1, page_no * page_size,
-                       "position", num_partitions)
-    return rows.select(*VIEW_COLUMNS, F.lit(page_no).alias("page"))
+    """Page ``page_no`` (1-based) of the view (of a snapshot, or of ``view_pages`` that are there already)."""
+    pages = snapshot if isinstance(snapshot, RankedPages) else view_pages(snapshot, num_partitions=num_partitions)
+    return pages.page(page_no, page_size, "position").select(*VIEW_COLUMNS, F.lit(page_no).alias("page"))
 
 
 def highlighted(view: DataFrame) -> DataFrame:

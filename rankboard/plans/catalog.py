@@ -205,9 +205,9 @@ def q_leaderboard_page(spark, sf):
 
 
 def q_leaderboard_page_last(spark, sf):
-    """The last page, by the same path as any other."""
-    last = -(-_roster(spark, sf).count() // K.PAGE_SIZE)
-    return L.page(_board(spark, sf), last, K.PAGE_SIZE).select(*PODIUM_COLUMNS, "page")
+    """The last page, by the same path as any other; its number comes from the page index."""
+    pages = L.board_pages(_board(spark, sf))
+    return L.board_page(pages, pages.last_page(K.PAGE_SIZE)).select(*PODIUM_COLUMNS, "page")
 
 
 def q_leaderboard_progress(spark, sf):

@@ -16,9 +16,11 @@ name per refresh.  ``release_older=False`` keeps every version.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +69,23 @@ def points_at(spark: SparkSession, table: str, path: str) -> bool:
     return _bare(table_location(spark, table)) == _bare(path)
 
 
+def append_new(df: DataFrame, table: str, key: str, columns: list[str] | None = None) -> None:
+    """``insert`` of the rows whose ``key`` the table does not hold yet, one for each key: sending them again adds nothing.
+
+    Rows of the batch that share a key are reduced to the greatest; a NULL key is always new.  The
+    keys that are there already are found by a semi-join on the table's key column alone, where the
+    batch is the side that adaptive execution may broadcast, so a large table is scanned but not
+    shuffled for a small batch.
+    """
+    spark = df.sparkSession
+    cols = columns or df.columns
+    rows = df.select(*cols)
+    one = (rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*[c for c in cols if c != key])).alias("_r"))
+               .select(key, "_r.*").select(*cols))
+    there = spark.table(table).select(key).join(one.select(key), key, "left_semi").distinct()
+    insert(one.join(there, key, "left_anti").select(*cols).unionByName(rows.where(F.col(key).isNull())), table, cols)
+
+
 def insert(df: DataFrame, table: str, columns: list[str] | None = None) -> None:
     """``INSERT INTO table (columns) SELECT ...``: omitted columns take their DEFAULT."""
     spark = df.sparkSession
@@ -94,6 +113,13 @@ def table_property(spark: SparkSession, table: str, key: str) -> str | None:
     return rows[0]["value"] if rows else None
 
 
+def table_version(spark: SparkSession, table: str) -> str:
+    """What tells one state of a file table from another without reading it: its location and files."""
+    spark.catalog.refreshTable(table)
+    files = sorted(spark.table(table).inputFiles())
+    return f"{table_location(spark, table)}#{len(files)}#{crc32(json.dumps(files).encode())}"
+
+
 class ConcurrentRewrite(RuntimeError):
     """Another writer published the table between this writer's read and its publish."""
 
@@ -114,6 +140,12 @@ def publish_version(df: DataFrame, table: str, version_path: str, release_older:
     spark = df.sparkSession
     target_cols = spark.table(table).columns
     df.select(*target_cols).write.mode("overwrite").parquet(version_path)
+    return point_to(spark, table, version_path, release_older, read_from)
+
+
+def point_to(spark: SparkSession, table: str, version_path: str, release_older: bool = True,
+             read_from: str | None = None) -> str:
+    """The last step of a publish: repoint ``table`` at a version that has been written (see ``publish_version``)."""
     old = table_location(spark, table)
     if read_from is not None and _bare(old) != _bare(read_from):
         release(spark, version_path)
@@ -180,3 +212,29 @@ def native_merge(source: DataFrame, table: str, key: str, update_cols: list[str]
            .whenMatched().update(value)
            .whenNotMatched().insert({key: F.col(f"source.{key}"), **value})
            .merge())
+
+
+def native_refresh(df: DataFrame, table: str) -> None:
+    """The format's own overwrite of all rows, one atomic commit."""
+    df.select(*df.sparkSession.table(table).columns).writeTo(table).overwrite(F.lit(True))
+
+
+def refresh(df: DataFrame, table: str) -> str:
+    """Full refresh by what the table can do: its own atomic overwrite, or a new version."""
+    spark = df.sparkSession
+    if has_row_level_operations(spark, table):
+        native_refresh(df, table)
+        return table_location(spark, table)
+    return replace_contents(df, table)
+
+
+def native_increment(deltas: DataFrame, table: str, key: str, column: str, delta: str) -> None:
+    """The format's own UPDATE from a source with one row per ``key``: matched rows get ``delta`` added to ``column``."""
+    on = F.col(f"source.{key}") == F.col(f"{table}.{key}")
+    value = (F.col(f"{table}.{column}") + F.col(f"source.{delta}")).cast(deltas.sparkSession.table(table).schema[column].dataType)
+    deltas.alias("source").mergeInto(table, on).whenMatched().update({column: value}).merge()
+
+
+def native_update(spark: SparkSession, table: str, column: str, by: int, key: str, value: str) -> None:
+    """``UPDATE table SET column = column + by WHERE key = value``, for a format that has it."""
+    spark.sql(f"UPDATE {table} SET {column} = {column} + :by WHERE {key} = :value", args={"by": by, "value": value})

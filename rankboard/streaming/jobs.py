@@ -1,8 +1,8 @@
 """Streaming re-expression of the reference's polling loop.
 
-T1  ``start_grading``: response stream -> guard -> broadcast stream-static join
-    with the answer key -> grade -> append to a parquet sink (file-sink log and
-    checkpoint make it exactly-once; response ids come from the source).
+T1  ``start_grading``: response stream -> guard -> join with the answer key -> grade; graded
+    answers and those whose question the bank lacks go to two sinks, a directory per
+    micro-batch (a retried batch overwrites its own; response ids come from the source).
 T2  ``start_leaderboard``: running per-user totals in the state store
     (``update`` mode: only users whose totals changed are emitted), merged by
     ``foreachBatch`` into a totals table that is partitioned by a hash of the
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.grading import grade, valid_submissions
+from ..operators.grading import grade, grade_or_flag, valid_submissions
 from ..operators.leaderboard import board_from_totals, podium, score_totals
 from ..operators.leaderboard import ranked_with_cut
 from ..session import STREAMING_CONF, lineage_scope
@@ -104,12 +104,32 @@ def _trigger(writer, trigger: str | None):
     return writer.trigger(processingTime=trigger)
 
 
+class GradingSink:
+    """``foreachBatch`` body of T1: one micro-batch into two sinks, each a directory of the batch's own.
+
+    A batch that is run again overwrites its own two directories, so every valid answer is in exactly one
+    of the sinks: graded, or (its question is not in the bank) ungraded.
+    """
+
+    def __init__(self, bank: DataFrame, graded_path: str, ungraded_path: str):
+        self.bank, self.graded_path, self.ungraded_path = bank, graded_path.rstrip("/"), ungraded_path.rstrip("/")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        answers = grade_or_flag(valid_submissions(batch), self.bank).persist()
+        try:
+            out = (("known", self.graded_path, ["known"]), ("NOT known", self.ungraded_path, ["known", "correct_answer", "points_earned"]))
+            for which, path, without in out:
+                answers.where(which).drop(*without).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id:012d}")
+        finally:
+            answers.unpersist()
+
+
 def start_grading(responses: DataFrame, bank: DataFrame, sink_path: str, checkpoint: str,
-                  trigger: str | None = None) -> StreamingQuery:
-    """T1: grade a response stream and append it to ``sink_path`` (parquet)."""
-    graded = graded_stream(responses, bank)
-    w = (graded.writeStream.format("parquet").outputMode("append")
-               .option("path", sink_path).option("checkpointLocation", checkpoint))
+                  trigger: str | None = None, ungraded_path: str | None = None) -> StreamingQuery:
+    """T1: grade a response stream into ``sink_path``, and what cannot be graded into ``ungraded_path``
+    (default: ``<sink_path>_ungraded``); both parquet, partitioned by ``batch_id``."""
+    sink = GradingSink(bank, sink_path, ungraded_path or f"{sink_path.rstrip('/')}_ungraded")
+    w = responses.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
     return _trigger(w, trigger).start()
 
 

@@ -9,10 +9,8 @@ that the index has not seen.
 
 from __future__ import annotations
 
-import json
 import uuid
 from bisect import bisect_right
-from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 from ..operators import rank_index as X
 from ..operators.leaderboard import board_from_totals
 from ..sources.buckets import BUCKETS_PROPERTY, bucket_count, create_bucket_table, in_buckets, replace_buckets, set_properties
-from ..sources.tables import publish_version, table_location, table_property
+from ..sources.tables import publish_version, table_location, table_property, table_version
 
 SEATS_DDL = ("user_id STRING, display_name STRING, email STRING, total_points BIGINT, questions_answered BIGINT, "
              "seat BIGINT")
@@ -30,15 +28,6 @@ BATCH, ROSTER, BOUNDS = "rankboard.index.batch", "rankboard.index.roster", "rank
 SEATS = 100_000
 
 
-def roster_version(spark: SparkSession, roster: DataFrame | str) -> str:
-    """What tells one state of a roster table from another without reading it: its location and files."""
-    if not isinstance(roster, str):
-        return "frame"
-    spark.catalog.refreshTable(roster)
-    files = sorted(spark.table(roster).inputFiles())
-    return f"{table_location(spark, roster)}#{len(files)}#{crc32(json.dumps(files).encode())}"
-
-
 class RankIndex:
     """The index of the board ``board_table``, under ``root`` (shared storage)."""
 
@@ -78,7 +67,7 @@ class RankIndex:
         """Bring the index to ``batch_id``; ``totals`` hold that batch already, ``changed`` its users' totals.
 
         Returns how: ``held`` (nothing to do), ``changed`` (the users' buckets) or ``rebuilt``."""
-        version = roster_version(self.spark, roster)
+        version = table_version(self.spark, roster) if isinstance(roster, str) else "frame"
         if self.batch is None or self._property(ROSTER) != version or self.batch not in (batch_id, batch_id - 1):
             rows = self.spark.table(roster) if isinstance(roster, str) else roster
             self.rebuild(board_from_totals(rows, totals, keep_key=True), batch_id, version)
