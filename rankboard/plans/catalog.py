@@ -20,9 +20,12 @@ from ..operators import leaderboard as L
 from ..operators import roster as R
 from ..operators import snapshot as P
 from ..session import cut_lineage, ensure_checkpoint_dir, lineage_scope, shared_path
+from ..sources import colocated as CO
 from ..sources import directory as D
 from ..sources import tables as TB
+from ..streaming import directory as SD
 from ..streaming import jobs as ST
+from ..streaming.live_index import RankIndex
 from . import inputs as I
 
 GRADED_COLUMNS = ["response_id", "user_id", "question_id", "user_answer", "correct_answer",
@@ -105,11 +108,11 @@ def _empty_roster(roster):
 
 
 def q_default_rows_empty(spark, sf):
-    return R.with_defaults(_empty_roster(_roster(spark, sf)), R.default_users(spark))
+    return R.stored_with_defaults(_empty_roster(_roster(spark, sf)), R.default_users(spark))
 
 
 def q_default_rows_nonempty(spark, sf):
-    return R.with_defaults(_roster(spark, sf), R.default_users(spark))
+    return R.stored_with_defaults(_roster(spark, sf), R.default_users(spark))
 
 
 def q_eligibility_check(spark, sf):
@@ -165,6 +168,17 @@ def q_submit_append(spark, sf):
     return spark.table(table).select(*GRADED_COLUMNS)
 
 
+def q_submit_once(spark, sf):
+    """Replay-safe append: the same graded answers sent twice are stored once."""
+    ensure_checkpoint_dir(spark)
+    table = _unique("rb_responses")
+    TB.create_responses_table(spark, table, shared_path(spark, "tables", table, "v0", unique=False))
+    graded = cut_lineage(_graded(spark, sf).select(*GRADED_COLUMNS), "graded")
+    for _ in range(2):
+        TB.append_new(graded, table, "response_id", GRADED_COLUMNS)
+    return spark.table(table).select(*GRADED_COLUMNS)
+
+
 def q_answer_feedback(spark, sf):
     return G.answer_feedback(_graded(spark, sf).select(*GRADED_COLUMNS))
 
@@ -183,6 +197,19 @@ def q_leaderboard(spark, sf):
     return L.leaderboard(_roster(spark, sf), _graded(spark, sf))
 
 
+def q_leaderboard_colocated(spark, sf):
+    """The board from roster and responses that are stored in buckets of the user: joined where they lie."""
+    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    users, answers = _unique("rb_users"), _unique("rb_answers")
+    place = lambda t: shared_path(spark, "tables", t, "v0", unique=False)
+    CO.create(spark, users, S.ROSTER_DDL, "user_id", n, place(users))
+    CO.create(spark, answers, "response_id STRING, user_id STRING, points_earned INT", "user_id", n, place(answers))
+    CO.publish(_roster(spark, sf).withColumn("created_at", F.current_timestamp()), users)
+    CO.publish(_graded(spark, sf).select("response_id", "user_id", "points_earned"), answers)
+    return L.leaderboard(spark.table(users), spark.table(answers))
+
+
 def q_leaderboard_by_email(spark, sf):
     graded = _graded(spark, sf, I.responses_by_email(_t(spark, sf, "events")))
     return L.leaderboard(_roster(spark, sf), graded, key="email", response_key="user_id")
@@ -349,15 +376,59 @@ def _event_stream_in_batches(spark, sf, root):
     return ST.stream_files(spark, path, events.schema, max_files_per_trigger=1)
 
 
+def q_stream_ungraded(spark, sf):
+    """The grading stream's second sink: what a bank that lacks some questions cannot grade."""
+    ensure_checkpoint_dir(spark)
+    root = shared_path(spark, "stream_ungraded")
+    q = ST.start_grading(I.responses(_event_stream(spark, sf)), I.narrow_bank(spark), f"{root}/sink", f"{root}/checkpoint")
+    _finish(q)
+    return spark.read.parquet(f"{root}/sink_ungraded").select("response_id", "user_id", "question_id", "user_answer")
+
+
+def q_roster_stream(spark, sf):
+    """The directory export as a stream of page files, several triggers long, MERGEd into the roster table."""
+    export = _export(spark, sf)
+    table, root = _unique("rb_roster"), shared_path(spark, "roster_stream")
+    TB.create_roster_table(spark, table, f"{root}/v0")
+    files = -(-len(spark.read.text(export).inputFiles()) // 3)
+    _finish(SD.start_directory_sync(SD.stream_directory_pages(spark, export, files), table, f"{root}/checkpoint"))
+    return spark.table(table).select(*S.ROSTER_COLUMNS)
+
+
+def _live_board(spark, sf) -> str:
+    """A live board after all events, a file a trigger; it is published from the rank index at every trigger."""
+    ensure_checkpoint_dir(spark)
+    root, board = shared_path(spark, "live_board"), _unique("rb_live")
+    graded = ST.graded_stream(I.responses(_event_stream_in_batches(spark, sf, root)), I.quiz_bank(spark))
+    _finish(ST.start_leaderboard(graded, _roster(spark, sf), _unique("rb_totals"), board, root, f"{root}/checkpoint",
+                                 zero_board=False))
+    return board
+
+
+def q_stream_live_board(spark, sf):
+    return spark.table(_live_board(spark, sf)).select(*PODIUM_COLUMNS)
+
+
+def q_live_board_page(spark, sf):
+    """The second page of a live board, looked up in its rank index."""
+    first = K.PAGE_SIZE + 1
+    page = RankIndex.of(spark, _live_board(spark, sf)).ranks(first, first + K.PAGE_SIZE - 1)
+    return L.podium(page).select(*PODIUM_COLUMNS, F.lit(2).alias("page"))
+
+
+def _finish(q):
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+
+
 def q_stream_grade(spark, sf):
     ensure_checkpoint_dir(spark)
     root = shared_path(spark, "stream_grade")
     events = _event_stream(spark, sf)
     bank = I.quiz_bank(spark)
     q = ST.start_grading(I.responses(events), bank, f"{root}/sink", f"{root}/checkpoint")
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
+    _finish(q)
     return spark.read.parquet(f"{root}/sink").select(*GRADED_COLUMNS)
 
 
@@ -396,6 +467,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "question_options": q_question_options,
     "max_score": q_max_score,
     "stream_leaderboard": q_stream_leaderboard,
+    "stream_live_board": q_stream_live_board,
+    "live_board_page": q_live_board_page,
+    "stream_ungraded": q_stream_ungraded,
+    "roster_stream": q_roster_stream,
+    "submit_once": q_submit_once,
+    "leaderboard_colocated": q_leaderboard_colocated,
     "leaderboard_by_email": q_leaderboard_by_email,
     "leaderboard_ranked": q_leaderboard_ranked,
     "leaderboard_progress": q_leaderboard_progress,

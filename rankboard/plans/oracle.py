@@ -277,3 +277,13 @@ SELECT 'roster', NOT EXISTS (SELECT 1 FROM roster)""",
     "submitted_clock": """
 SELECT CAST(event_id AS VARCHAR) AS response_id, strftime(ts, '%H:%M:%S') AS clock FROM events""",
 }
+
+# the same results by another path
+SQL |= {
+    "submit_once": SQL["submit_append"],
+    "stream_ungraded": SQL["ungraded_responses"],
+    "roster_stream": SQL["roster_ingest"],
+    "leaderboard_colocated": SQL["leaderboard"],
+    "stream_live_board": SQL["stream_leaderboard"],
+    "live_board_page": SQL["leaderboard_page"],
+}
