@@ -159,7 +159,7 @@ class Workshop:
             loc = f" LOCATION '{self._loc(table)}'" if self.location else ""
             cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in board.schema.fields)
             self.spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet{loc}")
-        path = TB.replace_contents(board, table)
+        path = TB.refresh(board, table)
         old = {k: TB.table_property(self.spark, table, k) for k in (PAGES, PAGES_BEFORE)}
         set_properties(self.spark, table, {PAGES: pages.path, PAGES_BEFORE: old[PAGES] or ""})
         if old[PAGES_BEFORE]:   # as with the versions, the previous pages stay for their readers

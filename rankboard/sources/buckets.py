@@ -59,11 +59,13 @@ def _repoint(spark: SparkSession, table: str, bucket: int, path: str) -> None:
     spark.sql(f"ALTER TABLE {table} PARTITION (bucket = {bucket}) SET LOCATION '{path}'")
 
 
-def replace_buckets(contents: DataFrame, table: str, touched: list[int], label: str, properties: dict | None = None) -> str | None:
+def replace_buckets(contents: DataFrame, table: str, touched: list[int], label: str, properties: dict | None = None,
+                    none_empty: bool = False) -> str | None:
     """Make ``contents`` (all rows of the ``touched`` buckets, with the column ``bucket``) what these buckets hold.
 
     ``contents`` may read ``table`` itself.  A touched bucket without rows becomes empty.  ``properties``
-    are set on the table in the last step.  Returns the new version's directory.
+    are set on the table in the last step.  ``none_empty``: the caller knows that every touched bucket has rows
+    and no other has, so the written directories need no listing.  Returns the new version's directory.
     """
     spark = contents.sparkSession
     properties = dict(properties or {})
@@ -74,8 +76,10 @@ def replace_buckets(contents: DataFrame, table: str, touched: list[int], label:
     version = f"v{label}-{uuid.uuid4().hex[:8]}"
     schema = spark.table(table).schema
     contents.select(*schema.names).repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/{version}")
-    files = spark.read.schema(schema).parquet(f"{root}/{version}").inputFiles()
-    written = {int(re.search(r"/bucket=(\d+)/", f)[1]) for f in files}
+    written = set(touched)
+    if not none_empty:
+        files = spark.read.schema(schema).parquet(f"{root}/{version}").inputFiles()
+        written = {int(re.search(r"/bucket=(\d+)/", f)[1]) for f in files}
     if not written <= set(touched):
         raise ValueError(f"contents hold rows of buckets {sorted(written - set(touched))}, which are not to be replaced")
 

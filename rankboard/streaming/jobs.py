@@ -148,7 +148,7 @@ def merge_totals(changed: DataFrame, totals_table: str, batch_id: int) -> list[i
         touched = sorted(r["bucket"] for r in changed.select("bucket").distinct().collect())   # <= buckets
         held = in_buckets(spark.table(totals_table), touched)
         merged = held.join(changed.select("user_id"), "user_id", "left_anti").unionByName(changed)
-        replace_buckets(merged, totals_table, touched, f"{batch_id:012d}", {BATCH_PROPERTY: batch_id})
+        replace_buckets(merged, totals_table, touched, f"{batch_id:012d}", {BATCH_PROPERTY: batch_id}, none_empty=True)
         return touched
     finally:
         changed.unpersist()

@@ -102,7 +102,7 @@ class RankIndex:
             now = held.join(new, "user_id", "left")
             for c in X.SCORE:
                 now = now.withColumn(c, F.coalesce(f"_{c}", c))
-            replace_buckets(X.seated(now.select(*held.columns)), self.seats_table, touched, f"{batch_id:012d}")
+            replace_buckets(X.seated(now.select(*held.columns)), self.seats_table, touched, f"{batch_id:012d}")   # may be empty: strangers
             recounted = X.count_cells(in_buckets(self.seats(), touched))
             rest = self.cells().where(~F.col("bucket").isin(touched))
             self._publish_cells(rest.unionByName(recounted))
