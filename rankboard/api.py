@@ -24,6 +24,7 @@ from .operators import snapshot as P
 from .operators.joins import hot_share
 from .operators.pages import RankedPages
 from .session import delete_path, lineage_scope, shared_path
+from .sources import colocated as CO
 from .sources import statistics as ST
 from .sources import tables as TB
 from .sources.buckets import set_properties
@@ -35,8 +36,13 @@ class Workshop:
     """Response-sum model over a roster table and an append-only response table."""
 
     def __init__(self, spark: SparkSession, users_table: str = K.USERS_TABLE,
-                 responses_table: str = K.RESPONSES_TABLE, location: str | None = None):
+                 responses_table: str = K.RESPONSES_TABLE, location: str | None = None, colocated: int | None = None):
+        """``colocated``: keep roster and responses in so many buckets of the user, so that a board is joined without
+        moving either (``sources.colocated``); needs a ``location``."""
+        if colocated and not location:
+            raise ValueError("co-located tables need a location")
         self.spark = spark
+        self.colocated = colocated
         self.users_table = users_table
         self.responses_table = responses_table
         self.location = location.rstrip("/") if location else None
@@ -50,6 +56,10 @@ class Workshop:
             TB.ensure_namespace(self.spark, self.users_table.rsplit(".", 1)[0])
         if "." in self.responses_table:
             TB.ensure_namespace(self.spark, self.responses_table.rsplit(".", 1)[0])
+        if self.colocated:
+            for table, ddl in ((self.users_table, S.ROSTER_DDL), (self.responses_table, S.RESPONSES_DDL)):
+                CO.create(self.spark, table, ddl, "user_id", self.colocated, self._loc(table))
+            return
         TB.create_roster_table(self.spark, self.users_table, self._loc(self.users_table))
         TB.create_responses_table(self.spark, self.responses_table, self._loc(self.responses_table))
 
@@ -63,7 +73,8 @@ class Workshop:
         if TB.has_row_level_operations(self.spark, self.users_table):
             TB.native_merge(source, self.users_table, "user_id", ["email", "display_name", "user_name"])
             return TB.table_location(self.spark, self.users_table)
-        return TB.rewrite(self.spark, self.users_table, lambda users: R.upsert(users, source, source_is_unique=True))
+        rewrite = CO.rewrite if self.colocated else TB.rewrite
+        return rewrite(self.spark, self.users_table, lambda users: R.upsert(users, source, source_is_unique=True))
 
     def is_user_eligible(self, email: str) -> bool:
         return bool(R.eligibility(self.users(), email).first()["eligible"])

@@ -11,17 +11,39 @@ def hot_share(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+# The most items that a frequent-items sketch may track.
+_SKETCH_MAX = 1_000_000
+
+
+def key_sketch(df: DataFrame, key: str, tracked: int) -> DataFrame:
+    """One row ``(s, total)``: a frequent-items sketch of ``tracked`` keys and the non-NULL rows.
+
+    Every task sketches its own rows, so what is shuffled is bounded by the tasks, not by the keys."""
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"))
+    return rows.agg(F.expr(f"approx_top_k_accumulate(k, {tracked})").alias("s"), F.count(F.lit(1)).alias("total"))
+
+
+def hot_from_sketch(sketches: DataFrame, share: int) -> DataFrame:
+    """``(_hk, _hs)`` from one row of ``key_sketch``.
+
+    A sketch never under-counts a key and over-counts it by 3.5 / tracked of the rows at most: with 8 * share
+    tracked keys no hot one is missed, and 2 * share places hold all that look hot."""
+    rows = sketches.select(F.explode(F.expr(f"approx_top_k_estimate(s, {2 * share})")).alias("i"), "total")
+    parts = F.col("i.count") * share / F.col("total")
+    return rows.where(parts >= 1).select(F.col("i.item").alias("_hk"), F.ceil(parts).cast("int").alias("_hs"))
+
+
 def hot_keys(df: DataFrame, key: str, share: int | None = None) -> DataFrame:
     """``(_hk, _hs)``: the keys that hold at least one ``share``-th of the non-NULL rows, and over how
-    many reducers (``_hs``) each is to be spread.  There can be at most ``share`` of them.
+    many reducers (``_hs``) each is to be spread.  There can be at most ``share`` of them; a key that holds
+    a little less may be among them too.
 
-    One partial aggregation on one column.
+    One pass over one column, sketched in the tasks; no key is shuffled.
     """
     share = share or hot_share(df)
-    counts = (df.where(F.col(key).isNotNull())
-                .groupBy(F.col(key).alias("_hk")).agg(F.count(F.lit(1)).alias("_hn")))
-    parts = F.col("_hn") * share / counts.agg(F.sum("_hn")).scalar()
-    return counts.where(parts >= 1).select("_hk", F.ceil(parts).cast("int").alias("_hs"))
+    if 8 * share > _SKETCH_MAX:
+        raise ValueError(f"hot keys of one {share}-th of the rows cannot be told: at most one {_SKETCH_MAX // 8}-th")
+    return hot_from_sketch(key_sketch(df, key, 8 * share), share)
 
 
 def left_join_skew_safe(left: DataFrame, right: DataFrame, left_key: str, right_key: str,

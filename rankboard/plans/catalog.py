@@ -19,9 +19,11 @@ from ..operators import grading as G
 from ..operators import leaderboard as L
 from ..operators import roster as R
 from ..operators import snapshot as P
+from ..operators.joins import hot_share
 from ..session import cut_lineage, ensure_checkpoint_dir, lineage_scope, shared_path
 from ..sources import colocated as CO
 from ..sources import directory as D
+from ..sources import statistics as SX
 from ..sources import tables as TB
 from ..streaming import directory as SD
 from ..streaming import jobs as ST
@@ -285,6 +287,7 @@ def _stored_snapshot(spark, sf) -> str:
     TB.create_snapshot_table(spark, table, shared_path(spark, "tables", table, "v0", unique=False))
     with lineage_scope(spark):
         TB.replace_contents(_seed(spark, sf, with_timestamp=True), table)
+    SX.record(spark, table, "email")
     return table
 
 
@@ -294,9 +297,11 @@ def q_snapshot_refresh(spark, sf):
 
 
 def _incremented(spark, sf):
-    """The stored snapshot with the increments applied."""
-    snapshot = spark.table(_stored_snapshot(spark, sf))
-    return P.apply_increments(snapshot, I.increments(_t(spark, sf, "events"), _roster(spark, sf)))
+    """The stored snapshot with the increments applied; its hot emails are known from the stored statistics."""
+    table = _stored_snapshot(spark, sf)
+    snapshot = spark.table(table)
+    hot = SX.hot_keys(spark, table, "email", hot_share(snapshot))
+    return P.apply_increments(snapshot, I.increments(_t(spark, sf, "events"), _roster(spark, sf)), hot=hot)
 
 
 def q_score_increment(spark, sf):

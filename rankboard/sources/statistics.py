@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import hot_from_sketch, key_sketch
 from ..session import shared_path
 from .tables import insert, table_property, table_version
 
@@ -22,8 +23,7 @@ TRACKED = 10_000
 
 def sketch(df: DataFrame, key: str) -> DataFrame:
     """One row ``(s, total)``: the sketch of the column and its non-NULL rows."""
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"))
-    return rows.agg(F.expr(f"approx_top_k_accumulate(k, {TRACKED})").alias("s"), F.count(F.lit(1)).alias("total"))
+    return key_sketch(df.select(F.col(key).cast("string").alias(key)), key, TRACKED)
 
 
 def combine(sketches: DataFrame) -> DataFrame:
@@ -76,15 +76,9 @@ def append(df: DataFrame, table: str, key: str, columns: list[str] | None = None
 
 
 def hot_keys(spark: SparkSession, table: str, key: str, share: int) -> DataFrame | None:
-    """``(_hk, _hs)`` as ``joins.hot_keys`` gives them, from the stored sketch; None without a current one.
-
-    At most ``share`` keys can hold one ``share``-th of the rows.  A sketch over-counts by a small part of
-    the rows at most, so a key may be salted that is not quite hot, and none that is hot is left out
-    while ``share`` is well below ``TRACKED``."""
+    """``(_hk, _hs)`` as ``joins.hot_keys`` gives them, from the stored sketch; None without a current one that
+    is fine enough (``joins.hot_from_sketch``)."""
     path = _fresh(spark, table, key)
-    if path is None or 2 * share > TRACKED:
+    if path is None or 8 * share > TRACKED:
         return None
-    rows = spark.read.parquet(path).select(
-        F.explode(F.expr(f"approx_top_k_estimate(s, {2 * share})")).alias("i"), "total")
-    parts = F.col("i.count") * share / F.col("total")
-    return rows.where(parts >= 1).select(F.col("i.item").alias("_hk"), F.ceil(parts).cast("int").alias("_hs"))
+    return hot_from_sketch(spark.read.parquet(path), share)

@@ -184,6 +184,32 @@ def test_a_refresh_of_colocated_tables_moves_nothing(spark, scratch, no_broadcas
     assert len(spark.table(users).inputFiles()) <= 4                # a file a bucket
 
 
+def test_a_colocated_workshop(spark, scratch, no_broadcast):
+    import json
+
+    from rankboard.sources import directory as D
+    w = api.Workshop(spark, _name("users"), _name("responses"), scratch, colocated=4)
+    w.create_tables()
+    w.create_tables()
+    for n in (20, 30):   # a sync, and another that adds users
+        users = [{"id": f"u{i}", "userName": f"n{i}", "displayName": f"N {i}", "active": True, "emails": []} for i in range(n)]
+        path = f"{scratch}/pages-{n}"
+        spark.createDataFrame([(json.dumps({"Resources": users}),)], "value string").write.text(path)
+        w.sync_users(D.read_directory_pages(spark, path))
+    answers = [(f"u{i % 6}", i, "a" if i % 2 else "b", "a") for i in range(40)]
+    for half in (answers[:25], answers[25:]):
+        w.submit_responses(spark.createDataFrame(half, "user_id string, question_id int, user_answer string, correct_answer string"))
+    board = w.get_leaderboard(keep_key=True)
+    assert "Exchange" not in _plan(board)
+    got = {r["user_id"]: (r["total_points"], r["questions_answered"]) for r in board.collect()}
+    assert len(got) == 30 and got["u9"] == (0, 0)
+    for k in range(6):
+        mine = [a for a in answers if a[0] == f"u{k}"]
+        assert got[f"u{k}"] == (10 * sum(a[2] == "a" for a in mine), len(mine))
+    with pytest.raises(ValueError, match="location"):
+        api.Workshop(spark, "x", "y", colocated=4)
+
+
 # -- defaults -------------------------------------------------------------------------------------
 
 def test_defaults_evaluate_the_source_once(spark):
