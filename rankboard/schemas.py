@@ -1,4 +1,7 @@
-"""Schemas of the tables the library reads and writes."""
+"""Schemas of the tables the library reads and writes.
+
+Fixed values: names, order and types of the columns are those that users' tables have.
+"""
 
 from pyspark.sql import types as T
 
@@ -60,31 +63,16 @@ DIRECTORY_PAGE = T.StructType([
 LEADERBOARD_COLUMNS = ["display_name", "email", "total_points", "questions_answered"]
 VIEWER_COLUMNS = ["first_name", "last_name", "email", "score"]
 
-# DDL bodies used by ``sources.tables`` (DEFAULT works on parquet datasource tables).
-ROSTER_DDL = """
-    user_id STRING NOT NULL,
-    email STRING,
-    display_name STRING,
-    user_name STRING,
-    created_at TIMESTAMP DEFAULT current_timestamp()
-"""
-RESPONSES_DDL = """
-    response_id STRING NOT NULL,
-    user_id STRING,
-    question_id INT,
-    user_answer STRING,
-    correct_answer STRING,
-    points_earned INT,
-    submitted_at TIMESTAMP DEFAULT current_timestamp()
-"""
-SNAPSHOT_DDL = """
-    participant_id STRING NOT NULL,
-    rank INT,
-    display_name STRING,
-    email STRING,
-    username STRING,
-    is_active BOOLEAN,
-    status STRING,
-    score INT,
-    last_updated TIMESTAMP
-"""
+
+
+def _ddl(schema: T.StructType, now: str | None = None) -> str:
+    """The DDL body of a schema; the column ``now`` defaults to the current time (works on parquet tables)."""
+    def column(f: T.StructField) -> str:
+        rest = " NOT NULL" if not f.nullable else " DEFAULT current_timestamp()" if f.name == now else ""
+        return f"{f.name} {f.dataType.simpleString().upper()}{rest}"
+    return ", ".join(column(f) for f in schema.fields)
+
+
+ROSTER_DDL = _ddl(ROSTER, now="created_at")
+RESPONSES_DDL = _ddl(RESPONSES, now="submitted_at")
+SNAPSHOT_DDL = _ddl(SNAPSHOT)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
 from contextlib import contextmanager
@@ -59,7 +60,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     The folder named by the cluster is used as is.  Where none is named, a folder
     beside the session's tables (``spark.sql.warehouse.dir``, which driver and
-    executors share) is set; never a machine-local temporary one.
+    executors share) is set; never a machine-local one on a cluster (that raises).
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -67,7 +68,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rankboard_shared"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        local = re.match(r"file:|(?![A-Za-z][A-Za-z0-9+.-]*:)", warehouse)
+        if local and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"the warehouse {warehouse} is a folder of one machine: set spark.checkpoint.dir to a shared one")
+        conf_dir = f"{warehouse}/_rankboard_shared"
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
