@@ -133,6 +133,15 @@ class Workshop:
     def ranked_leaderboard(self) -> DataFrame:
         return L.ranked(self.get_leaderboard(keep_key=True))
 
+    def sync_stream(self, path: str, checkpoint: str, missing_active: bool = False, trigger: str | None = "30 seconds"):
+        """Keep the roster in step with directory pages that arrive as files under ``path``, in any order
+        (``streaming.directory``); returns the ``StreamingQuery``.  Not for co-located tables."""
+        from .streaming import directory as SD
+        if self.colocated:
+            raise ValueError("a co-located roster is synced with sync_users")
+        pages = SD.stream_directory_pages(self.spark, path)
+        return SD.start_directory_sync(pages, self.users_table, checkpoint, missing_active, trigger=trigger)
+
     def live_board(self, answers: DataFrame, bank: DataFrame, root: str,
                    board_table: str = K.LEADERBOARD_TABLE, trigger: str | None = "30 seconds"):
         """Start the refreshing board (T2) over a stream of answers.

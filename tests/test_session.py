@@ -1,0 +1,28 @@
+"""Where shared files may go."""
+
+from types import SimpleNamespace
+
+import pytest
+
+from rankboard.session import ensure_checkpoint_dir
+
+
+def _session(master, warehouse, shared=None):
+    known = {"spark.sql.warehouse.dir": warehouse, "spark.checkpoint.dir": shared}
+    get = lambda key, default=None: known.get(key) or default
+    held = []
+    context = SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=get),
+                              getCheckpointDir=lambda: held[0] if held else None, setCheckpointDir=held.append)
+    return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=get))
+
+
+@pytest.mark.parametrize("warehouse", ["file:/home/me/spark-warehouse", "/home/me/spark-warehouse"])
+def test_a_cluster_gets_no_folder_of_one_machine(warehouse):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(_session("yarn", warehouse))
+    assert ensure_checkpoint_dir(_session("local[8]", warehouse)).startswith(warehouse)
+
+
+def test_shared_folders_are_taken():
+    assert ensure_checkpoint_dir(_session("yarn", "hdfs://nn/warehouse")) == "hdfs://nn/warehouse/_rankboard_shared"
+    assert ensure_checkpoint_dir(_session("yarn", "/home/me/wh", "s3a://bucket/ck")) == "s3a://bucket/ck"

@@ -83,3 +83,18 @@ def test_a_merge_that_runs_again_changes_nothing(spark, scratch):
     merge(batch, 0)
     merge(batch.where("false"), 1)
     assert [tuple(r) for r in spark.table(table).collect()] == first
+
+
+def test_a_workshop_syncs_from_a_stream(spark, scratch):
+    import pytest
+
+    from rankboard.api import Workshop
+    sfx = uuid.uuid4().hex[:8]
+    w = Workshop(spark, f"ws_users_{sfx}", f"ws_answers_{sfx}", scratch)
+    w.create_tables()
+    user = {"id": "u1", "userName": "n", "displayName": "N", "active": True, "emails": [{"value": "a@x"}]}
+    spark.createDataFrame([(_page(1, [user]),)], "value string").write.text(f"{scratch}/in")
+    w.sync_stream(f"{scratch}/in", f"{scratch}/ck", trigger=None).awaitTermination()
+    assert [r["email"] for r in w.users().collect()] == ["a@x"]
+    with pytest.raises(ValueError, match="sync_users"):
+        Workshop(spark, "x", "y", scratch, colocated=2).sync_stream(scratch, scratch)
