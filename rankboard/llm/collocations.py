@@ -13,7 +13,8 @@
    has the counts of both sides.  A phrase that a longer one explains is seen by the phrases of one word
    more (what holds for a longer phrase holds for those between).
 
-What a task holds is a chunk, or a range of about a million keys or words.  No table of words or phrases is
+What a task holds is a chunk, or a range of about a million keys or words; words and keys travel packed, a row for
+each chunk and range.  No table of words or phrases is
 broadcast or sent to the driver; hot words and phrases count once a chunk.
 """
 
