@@ -23,8 +23,8 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def cut(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder (with ``by``, a folder for each of its values) and read it back.
 
     A lost executor then re-reads files instead of recomputing, and what was
     numbered or sampled before the cut stays as it was.
@@ -32,7 +32,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = shared_path(spark, "llm", label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     stack = getattr(_open, "stack", None)
     if stack:
         stack[-1].append(path)

@@ -97,6 +97,22 @@ def test_baum_welch_learns_an_order(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 5 * len(got)
 
 
+def test_frequent_words_stop_at_the_lookup(spark):
+    counts = [(f"w{i}", 1 + 1000 // (i + 1)) for i in range(300)]
+    df = spark.createDataFrame(counts, "word string, c long").repartition(3)
+    for lookup in (0, 1, 20, 120, 300):
+        got = hmm.frequent_words(df, lookup)
+        want = sorted(counts, key=lambda x: (-x[1], x[0]))
+        assert got == want[:len(got)] and len(got) <= lookup
+        assert lookup < 20 or len(got) > lookup // 3
+
+
+def test_held_out_texts_score_well_above_the_base(spark):
+    """Production parameters over whole tables: 0.15 a token or more over the unigram base."""
+    got = hmm.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    assert sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got) >= 0.15
+
+
 def test_word_probabilities_sum_to_one():
     top = [("a", 9), ("b", 4), ("c", 3), ("d", 1)]
     v = hmm.Vocabulary(top, 6, 17, 4, [(3, 1), (1, 1)], 2)
@@ -105,4 +121,4 @@ def test_word_probabilities_sum_to_one():
         assert abs(sum((c + 0.5) for c in [n]) / 10**log + 0.5 / 10**log - 1) < 1e-12 and k == 1
     assert abs(v.unigram.sum() - 1) < 1e-12
     again = pickle.loads(pickle.dumps(v))
-    assert again.known == v.known and (again.unigram == v.unigram).all() and again.n == v.n
+    assert again.known == v.known and (again.counts == v.counts).all() and (again.unigram == v.unigram).all() and again.n == v.n

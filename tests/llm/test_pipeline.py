@@ -55,5 +55,5 @@ def test_near_stage_keeps_one_of_each_class(spark, scratch):
 
 def test_registered_queries():
     names = set(E.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and C.ORACLE_SQL is None
