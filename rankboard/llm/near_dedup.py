@@ -14,8 +14,9 @@ Signatures are cut into bands.  Texts with equal words are one class from the
 start, so only one of them is banded.  In each bucket two leaders (the text that shares
 buckets with most others, and the first) are verified (exact weighted Jaccard) against
 all members, never all against each other; the links are
-joined into classes; then the pairs of a bucket that still lie in different classes are
-verified one by one.  So any two texts that share a bucket end up in one class or have been compared.
+joined into classes.  The texts of buckets that still hold several classes are then paired by the
+rarest of their elements (``prefixes``, without loss), and such pairs of different classes verified one by
+one.  So any two similar texts that share a bucket end up in one class.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, small, stored
 from .components import connected_components
+from .prefixes import prefix_pairs
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -198,10 +200,9 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, words: int = WOR
                 m = members.drop("n").join(classes, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
             several = (m.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
                         .where("lo < hi AND n > 2").select("bucket"))
-            still = cut(m.join(cut(several, "near_several"), "bucket"), "near_open")
-            x, y = (still.select("bucket", F.col("doc_id").alias(n), F.col("c").alias(f"c{n}")) for n in "ab")
-            pairs = (x.join(y, "bucket").where("a < b AND ca != cb").select("a", "b").distinct()
-                      .join(tried, ["a", "b"], "left_anti"))
+            still = cut(m.join(cut(several, "near_several"), "bucket").select("doc_id", "c").distinct(), "near_open")
+            sets = held.join(still, "doc_id").select(F.col("doc_id").alias("node"), "c", "elements")
+            pairs = prefix_pairs(sets, similarity, "near").join(tried, ["a", "b"], "left_anti")
         tried = cut(pairs, "near_pairs")
         if tried.isEmpty():
             break
