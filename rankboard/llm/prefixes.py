@@ -2,7 +2,8 @@
 
 Put the elements of all sets in one order, rarest first.  Two sets of Jaccard similarity of at least
 ``t`` share an element among the first n - ceil(t n) + 1 of each (n: the set's size).  A set whose
-rare elements are its own thus meets nothing, however many sets its frequent ones are in.
+rare elements are its own thus meets nothing, however many sets its frequent ones are in.  What
+follows their first common element bounds how many they share, so a pair that first agrees too late is left out.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ def prefix_pairs(sets: DataFrame, similarity: float, label: str) -> DataFrame:
     # one row per set again: no more than the set itself
     ordered = (elements.join(several, "e", "left").groupBy("node", "c", "n")
                        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "e"))).alias("o")))
-    firsts = cut(ordered.select("node", "c", "n", F.explode(F.slice("o", F.lit(1), length.cast("int"))).alias("x"))
-                        .where("x.f > 1").select("node", "c", "n", F.col("x.e").alias("e")), f"{label}_prefixes")
+    firsts = cut(ordered.select("node", "c", "n", F.posexplode(F.slice("o", F.lit(1), length.cast("int"))).alias("at", "x"))
+                        .where("x.f > 1").select("node", "c", F.col("x.e").alias("e"), "n", "at"), f"{label}_prefixes")
     between = cut(firsts.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("e"),
                   f"{label}_between")
     met = cut(firsts.join(between, "e"), f"{label}_met")
-    x, y = (met.select("e", F.col("node").alias(k), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+    x, y = (met.select("e", F.col("node").alias(k), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"),
+                       (F.col("n") - F.col("at")).alias(f"left{k}")) for k in "ab")
     sized = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-9)
-    return x.join(y, "e").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized).select("a", "b").distinct()
+    # at the first common element all others still lie ahead; similar sets share t / (1 + t) of both sizes
+    enough = F.least("lefta", "leftb") >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9)
+    return x.join(y, "e").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized & enough).select("a", "b").distinct()
