@@ -170,6 +170,15 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
                   min_match: int = MIN_MATCH) -> DataFrame:
-    """The documents (all columns) that hold no leaked item."""
-    leaks = cut(leaked_items(docs, benchmark, threshold, min_match).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti")
+    """The documents (all columns) that hold no leaked item.
+
+    Each row is judged by its own text, also where its id is null or another row's.  An item of fewer than
+    ``min_match`` words stands in clean documents as well; it counts only where its words are at least
+    ``threshold`` of the document's.  Rows are told apart by a 64-bit hash of id and text.
+    """
+    row = F.xxhash64("doc_id", "text")
+    found = leaked_items(docs.select(row.alias("doc_id"), "text"), benchmark, threshold, min_match)
+    leaks = cut(found.groupBy("doc_id").agg(F.max("n_words").alias("longest")), "leaks")
+    own = F.regexp_count(docs["text"], F.lit(r"[\p{L}\p{N}]+"))
+    counts = (leaks["longest"] >= min_match) | (leaks["longest"] >= own * threshold)
+    return docs.join(leaks, (F.xxhash64(docs["doc_id"], docs["text"]) == leaks["doc_id"]) & counts, "left_anti")
