@@ -112,7 +112,7 @@ class RankIndex:
             new.unpersist()
 
     def _publish_cells(self, cells: DataFrame) -> None:
-        publish_version(cells.coalesce(1), self.cells_table, f"{self.root}/cells/v{uuid.uuid4().hex[:12]}")
+        publish_version(cells.repartition(1), self.cells_table, f"{self.root}/cells/v{uuid.uuid4().hex[:12]}")
 
     # -- reads -----------------------------------------------------------------------
     def board(self) -> DataFrame:

@@ -12,6 +12,7 @@ from rankboard.operators import rank_index as X
 from rankboard.sources import buckets as B
 from rankboard.sources import tables as TB
 from rankboard.streaming import jobs as ST
+from rankboard.streaming import live_index
 from rankboard.streaming.live_index import RankIndex
 
 ROSTER = "user_id string, email string, display_name string, user_name string"
@@ -222,3 +223,13 @@ def test_publishing_sorts_no_board(spark, scratch):
     assert "rangepartitioning" not in index.board()._jdf.queryExecution().executedPlan().toString() and "Sort" not in seats
     page = index.ranks(1, 5)
     assert len(page.inputFiles()) < len(index.seats().inputFiles())
+
+
+def test_cells_are_counted_in_tasks_of_their_own(spark, scratch, monkeypatch):
+    """One task writes the cells, but does not count those of all partitions (each count holds pages of its own)."""
+    seen = []
+    monkeypatch.setattr(live_index, "publish_version", lambda cells, *_: seen.append(cells))
+    task = F.spark_partition_id().alias("task")
+    RankIndex(spark, "b", scratch)._publish_cells(spark.range(0, 80, numPartitions=8).select(task))
+    assert len(seen[0].select("task").distinct().collect()) == 8
+    assert len(seen[0].select(task).distinct().collect()) == 1
