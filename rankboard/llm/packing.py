@@ -30,23 +30,69 @@ from ..operators.rank import global_row_number
 from .common import cut, id_text, small
 
 CAPACITY = 2048
-#: Words and pieces of words whose ids a Python worker holds at once; beyond it a cache starts anew.
+#: Words or pieces of words of a generation of a cache; a Python worker holds two generations.
 CACHE_WORDS = 250_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                      ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-# The split pattern of the tokenizer, for words of these characters only (their lower
-# case and normal form need no context).
-_SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+#: Characters of texts that are split into pieces at once.
+GROUP = 2_000_000
+
+# The split pattern of the tokenizer, for texts of these characters only (their lower
+# case and normal form need no context, and each is one byte in Latin-1).
+_SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ \n]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[32, 10]] = 0
+_KIND[48:58] = _DIGIT
+_KIND[[*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = _LETTER
+
+
+def _piece_starts(data: np.ndarray) -> np.ndarray:
+    """Whether a piece starts at each byte (lower-case Latin-1); the same pieces that ``_PIECE`` finds.
+
+    Every byte but blanks is in a piece, and a piece ends where the next one or a blank follows."""
+    kind = _KIND[data]
+    starts = np.empty(len(data), bool)
+    starts[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=starts[1:])
+    starts |= kind == _DIGIT
+    starts &= kind != 0
+    marks = np.flatnonzero(starts & (data == 39))   # only an apostrophe that starts a piece can shorten a word
+    if len(marks):
+        x, y = (np.append(data, [0, 0])[marks + k] for k in (1, 2))
+        one = np.isin(x, list(b"stmd"))
+        two = ((x == 114) | (x == 118)) & (y == 101) | (x == 108) & (y == 108)
+        starts[marks[one | two] + 1] = False
+        after = np.concatenate([marks[one] + 2, marks[two] + 3])
+        after = after[after < len(data)]
+        starts[after[kind[after] == _LETTER]] = True
+    return starts
+
+
+class _Cache:
+    """What ``make`` gives for a key.  When a generation is full it becomes the older one, from which keys that
+    are met again move on, so the frequent ones stay."""
+
+    def __init__(self, make):
+        self.make, self.young, self.old = make, {}, {}
+
+    def __call__(self, key):
+        made = self.young.get(key) or self.old.get(key) or self.make(key)
+        if len(self.young) >= CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        self.young[key] = made
+        return made
 
 
 class WordEncoder:
-    """Ids of texts by word: no piece that the tokenizer merges spans a blank or a line end, so each word
-    is encoded once and remembered.  Words of plain letters go to the merge table directly; any other word
-    (and one that may hold a special token) takes the tokenizer's whole way."""
+    """Ids of texts by piece: no piece that the tokenizer merges spans a blank or a line end, so each is
+    encoded once and remembered.  Texts of plain letters are split into pieces many at a time, and their different pieces
+    go to the merge table directly; in any other text (and one that may hold a special token) a word of plain
+    letters does so, and any other word takes the tokenizer's whole way."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -54,30 +100,54 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.direct = bool(self.tokenizer.pre_tokenizer) and _is_word_bpe(path)
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else self.bytes_of(piece)[0][0]
-        ids = np.asarray([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        self.pieces[piece] = ids
-        return ids
-
-    def word(self, word: str) -> bytes:
-        if self.direct and "<|" not in word and _SAFE.fullmatch(word):
-            ids = b"".join([self.pieces.get(p) or self.piece(p) for p in _PIECE.findall(word.lower())])
-        else:
-            ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        self.words[word] = ids
-        return ids
+        self.words, self.pieces = _Cache(self._word), _Cache(self._piece)
+
+    def _piece(self, piece: bytes) -> bytes:
+        shown = piece.decode("ascii") if piece.isascii() else self.bytes_of(piece.decode("latin-1"))[0][0]
+        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if self._plain(word):
+            return b"".join([self.pieces(p.encode("latin-1")) for p in _PIECE.findall(word.lower())])
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, text: str) -> bool:
+        return self.direct and "<|" not in text and bool(_SAFE.fullmatch(text))
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        data = np.frombuffer("\n".join(texts).lower().encode("latin-1"), np.uint8)
+        starts = _piece_starts(data)
+        shown = data[_KIND[data] != 0]
+        at = np.flatnonzero(starts[_KIND[data] != 0]).astype("int32")
+        n, offsets = len(at), np.append(at, np.int32(len(shown)))
+        pieces = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(shown)]).dictionary_encode()
+        known, make = self.pieces.young.get, self.pieces
+        ids = pa.array([known(p) or make(p) for p in pieces.dictionary.to_numpy(zero_copy_only=False)], pa.large_binary()).take(pieces.indices)
+        # where each text's pieces begin among all
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+        of = np.frombuffer(ids.buffers()[1], np.int64, n + 1)[np.searchsorted(np.flatnonzero(starts), begins)].tolist() if n else [0] * len(begins)
+        held = memoryview(ids.buffers()[2] or b"")
+        return [bytes(held[a:b]) for a, b in zip(of[:-1], of[1:], strict=True)]
+
+    def many(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        group, size = [], 0
+        for text in texts:
+            plain = self._plain(text)
+            if group and (not plain or size + len(text) > GROUP):
+                yield from self._group(group)
+                group, size = [], 0
+            if plain:
+                group.append(text)
+                size += len(text) + 1
+            else:
+                known, make = self.words.young.get, self.words
+                yield b"".join([known(w) or make(w) for w in text.replace("\n", " ").split(" ") if w])
+        if group:
+            yield from self._group(group)
 
     def __call__(self, text: str) -> bytes:
-        known, make = self.words.get, self.word
-        return b"".join([known(w) or make(w) for w in text.replace("\n", " ").split(" ") if w])
+        return next(self.many([text]))
 
 
 def _is_word_bpe(path: str) -> bool:
@@ -103,8 +173,8 @@ def _piece_task(tokenizer_path: str, capacity: int, with_ids: bool):
         end = np.zeros(1, "<u4").tobytes()
         for b in small(batches):
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            for doc, ids in zip(b.column(0).to_pylist(), encode.many(b.column(1).to_pylist()), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for k, at in enumerate(range(0, n, capacity)):
                     part = ids[4 * at:4 * (at + capacity)]

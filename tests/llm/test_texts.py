@@ -126,6 +126,22 @@ def test_word_encoder_equals_the_tokenizer():
         assert np.frombuffer(encode(t), "<u4").tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_frequent_pieces_outlive_a_full_cache(monkeypatch):
+    """A piece is merged once whatever words hold it, and texts taken together get the ids they get alone."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 6)
+    monkeypatch.setattr(packing, "GROUP", 200)
+    encode, rng = packing.WordEncoder(FILE), random.Random(5)
+    texts = ["".join(rng.choice("ab'sStévrlemd ,.9\n'É") for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    texts += ["", "x<|endoftext|>y", "a\tb", "don't's we'll''ve 'r'", "é 中 it's"]
+    want = [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encode.many(texts)] == want
+    made, real = Counter(), encode.pieces.make
+    encode.pieces.make = lambda p: made.update([p]) or real(p)
+    for k in range(40):   # more different words than a generation holds
+        encode(f"Often, often. (often) x{'abcdefghij'[k % 10]}{'klmn'[k % 4]}")
+    assert made[b"often"] <= 1 < 10 < len(made)
+
+
 def test_best_fit_runs_equal_best_fit_decreasing():
     rng = random.Random(3)
     for capacity, n in ((10, 40), (64, 300), (2048, 200), (5, 0)):
