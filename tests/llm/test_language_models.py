@@ -4,10 +4,12 @@ import itertools
 import math
 import pickle
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from rankboard.llm import hmm, language
 
@@ -26,6 +28,24 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_texts_are_scored_in_little_memory(monkeypatch):
+    """A batch of 8 MB takes little more than itself, and the scores do not depend on how much is scored at once."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(97, 123, int(k)))) for k in rng.integers(0, 4000, 4000)]
+    model = {"langs": ["de", "en", "fr"], "families": ["germanic", "romance"], "pairs": [("de", "en")],
+             "w": rng.normal(size=(3, language.BUCKETS + 1))}
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([bool(t) for t in texts])], names=["_t", "_letter"])
+    run = lambda: pa.Table.from_batches(list(language._predict(iter([batch]), model, language.BUCKETS)))
+    tracemalloc.start()
+    try:
+        got, peak = run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40e6
+    monkeypatch.setattr(language, "_SCORED", 1 << 40)
+    assert run().equals(got)
+
+
 def test_language_of_odd_rows(spark):
     got = language.identify_languages(odd(spark))
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == len(rows())
