@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from rankboard.llm import prefixes
 from rankboard.llm.prefixes import prefix_pairs
 
 
@@ -30,3 +33,28 @@ def test_common_elements_alone_make_no_pair(spark):
     df = spark.createDataFrame(sets, "node long, c long, elements array<long>")
     assert prefix_pairs(df, 0.8, "test").isEmpty()
     assert prefix_pairs(df.limit(0), 0.8, "test").isEmpty()
+
+
+def test_sets_that_differ_in_many_elements_make_no_pair(spark):
+    """Sets of one family that share rare elements with many others, none of them similar."""
+    rng = random.Random(9)
+    sets = [(i, i, [*range(70), *rng.sample(range(1000, 1600), 30)]) for i in range(80)]
+    df = spark.createDataFrame(sets, "node long, c long, elements array<long>").withColumn(
+        "elements", F.transform("elements", lambda x: F.xxhash64(x)))
+    assert prefix_pairs(df, 0.8, "test").isEmpty()
+
+
+def test_an_element_of_many_sets_is_joined_in_few_rows(spark, monkeypatch):
+    """What is joined to an element's frequency grows with the different elements, not with their holders."""
+    sets = [(i, i, [*range(20), 1000 + i]) for i in range(1500)]
+    df = spark.createDataFrame(sets, "node long, c long, elements array<long>").repartition(4)
+    rows, real = {}, prefixes.cut
+
+    def cut(df, label, by=None):
+        out = real(df, label, by)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(prefixes, "cut", cut)
+    prefix_pairs(df, 0.8, "test").count()
+    assert rows["test_shared"] <= 20 * prefixes._PARTS
