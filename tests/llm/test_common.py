@@ -1,6 +1,9 @@
 """What an operator leaves in the shared folder."""
 
 import os
+import time
+
+from pyspark.sql import functions as F
 
 from rankboard.llm import common, near_dedup
 
@@ -34,3 +37,21 @@ def test_nested_operators_hand_their_results_up(spark):
     got = outer(spark.range(3))
     assert got.count() == 6
     assert {d.rsplit("-", 1)[0] for d in _folders(spark) - before} == {"outer"}
+
+
+def _shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for top in dirs for _, _, names in os.walk(str(top)) for f in names if f.startswith("shuffle_")}
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    before, setting = _shuffle_files(spark), spark.conf.get(common._CLEANUP)
+    out = common.cut(spark.range(1000).groupBy((F.col("id") % 50).alias("k")).count().repartition(3), "shuffled")
+    for _ in range(100):
+        left = _shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(common._CLEANUP) == setting
+    common.drop(out)
+    assert not os.path.exists(out._cut_path.removeprefix("file:"))

@@ -1,6 +1,9 @@
 """Pairs by prefixes lose no similar pair of different components."""
 
+import os
 import random
+from collections import Counter
+from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
@@ -58,3 +61,30 @@ def test_an_element_of_many_sets_is_joined_in_few_rows(spark, monkeypatch):
     monkeypatch.setattr(prefixes, "cut", cut)
     prefix_pairs(df, 0.8, "test").count()
     assert rows["test_shared"] <= 20 * prefixes._PARTS
+
+
+def test_slices_give_the_same_pairs_and_go_one_by_one(spark, monkeypatch):
+    """Elements in slices give the pairs that all at once give; what a slice writes is deleted before the next."""
+    rng, sets = random.Random(7), []
+    for family in range(10):
+        core = rng.sample(range(400), 30)
+        for _ in range(6):
+            s = set(core) - set(rng.sample(core, rng.randint(0, 4))) | {rng.randrange(10**6)}
+            sets.append((len(sets), family if rng.random() < 0.3 else 100 + len(sets), sorted(s)))
+    df = spark.createDataFrame(sets, "node long, c long, elements array<long>").repartition(4)
+    whole = sorted(tuple(r) for r in prefix_pairs(df, 0.8, "test").collect())
+    made, most, real = [], Counter(), prefixes.cut
+
+    def cut(df, label, by=None):
+        out = real(df, label, by)
+        made.append((label, urlparse(out.inputFiles()[0]).path))
+        held = Counter(x for x, path in made if os.path.exists(path))
+        most.update({x: n - most[x] for x, n in held.items() if n > most[x]})
+        return out
+
+    monkeypatch.setattr(prefixes, "cut", cut)
+    monkeypatch.setattr(prefixes, "_FEW", 100)
+    assert whole and sorted(tuple(r) for r in prefix_pairs(df, 0.8, "test").collect()) == whole
+    assert Counter(x for x, _ in made)["test_holders"] == prefixes._SLICES
+    assert most["test_holders"] == most["test_shared"] == most["test_met"] == 1
+    assert not any(os.path.exists(path) for _, path in made)
