@@ -45,6 +45,22 @@ def test_stages(spark, scratch):
         map(tuple, docs.drop("sequence_id", "offset").collect()))
 
 
+def test_line_stage_joins_the_text_once(spark, scratch):
+    """What the lines' join shuffles holds each text once; a column of the document's own with an odd name stays."""
+    texts = _tables(spark, scratch)
+    docs = spark.read.parquet(f"{scratch}/documents.parquet").selectExpr("*", "doc_id AS _text")
+    out = C.line_stage(spark, docs, scratch)
+    plan = out._jdf.queryExecution().optimizedPlan()
+    while not plan.nodeName().startswith("Join"):
+        plan = plan.children().head()
+    side = plan.children().head().output()
+    strings = [side.apply(i).name() for i in range(side.size()) if side.apply(i).dataType().simpleString() == "string"]
+    assert sorted(strings) == ["lang", "source", "text"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(r._text == r.doc_id for r in got.values())
+    assert got[7].text is None and got[7].n_chars is None and 4 not in got and got[2].n_chars == len(texts[2])
+
+
 def test_near_stage_keeps_one_of_each_class(spark, scratch):
     rng = random.Random(3)
     body = words(rng, 100).split()
